@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .special import log_gamma, log_gamma_ratio, negbin_cdf
+from .special import log_choose, negbin_cdf
 
 ALTERNATIVES = (None, "two-sided", "less", "greater")
 
@@ -77,11 +77,11 @@ class NegativeBinomial:
     def log_prob(self, x) -> Column:
         """Logarithm of the probability of ``x``; minus infinity for ``x <= -1``."""
         x = _double(x)
-        inside = F.when(x > -1.0, x)
-        value = (log_gamma_ratio(self.r, inside) - log_gamma(inside + 1.0)
-                 + self.r * self.log_1p + inside * self.log_p)
-        defined = self.r.isNotNull() & self.mean.isNotNull()
-        return F.when((x <= -1.0) & defined, F.lit(float("-inf"))).otherwise(value)
+        # log1p(m / r), not log_1p: exact to the last digits for a huge r
+        value = (log_choose(self.r, x) - self.r * F.log1p(self.mean / self.r)
+                 + x * F.log(self.mean / (self.r + self.mean)))
+        return F.when((self.r > 0) & (x > -1.0), value).when(
+            (self.r > 0) & (self.mean > 0), F.lit(float("-inf")))
 
     def prob(self, x) -> Column:
         return F.exp(self.log_prob(x))

@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import named_col
-from ..plans.ordered import running_totals
+from ..plans.ordered import running_totals, with_group_totals
 from ..plans.storage import is_small
 
 
@@ -38,11 +38,8 @@ def scores_long(df: DataFrame, y_trues: str | Sequence[str], y_preds: str | Sequ
     return df.select(F.explode(F.array(*rows)).alias("s")).select("s.model", "s.y_true", "s.y_pred")
 
 
-def _thresholds(scores: DataFrame, slices: int | None) -> tuple[DataFrame, bool]:
-    """Distinct scores with the running counts and the totals of their model.
-
-    Also tells whether each model was small enough for one window.
-    """
+def _counted(scores: DataFrame, slices: int | None) -> DataFrame:
+    """Distinct scores with their counts, the running counts, rank and precision."""
     score = F.col("y_pred").cast("double")
     truth = F.col("y_true").cast("double")
     # missing values have no place in a curve
@@ -51,39 +48,36 @@ def _thresholds(scores: DataFrame, slices: int | None) -> tuple[DataFrame, bool]
     points = (scores.select("model", truth.cast("long").alias("positive"), score.alias("threshold"))
               .groupBy("model", "threshold")
               .agg(F.sum("positive").alias("positive"), F.count("*").alias("rows")))
-    whole = slices is None and is_small(scores)
-    counted = running_totals(
+    return running_totals(
         points, ["model"], [F.col("threshold").desc()],
         {"true_positive": F.col("positive"), "predicted": F.col("rows"), "rank": F.lit(1)},
-        {"positives": (F.sum, F.col("positive")), "thresholds": (F.sum, F.lit(1)),
-         "lowest": (F.min, F.col("threshold")), "highest": (F.max, F.col("threshold"))},
-        slices, whole)
-    return counted.withColumns({
-        "precision": F.col("true_positive") / F.col("predicted"),
-        "recall": _recall(F.col("true_positive"))}), whole
+        slices, whole_groups=slices is None and is_small(scores)
+    ).withColumn("precision", F.col("true_positive") / F.col("predicted"))
 
 
-def _recall(true_positive: Column) -> Column:
-    return F.when(F.col("positives") == 0, F.lit(1.0)).otherwise(F.try_divide(true_positive, F.col("positives")))
+def _curve(scores: DataFrame, slices: int | None) -> DataFrame:
+    """:func:`_counted` with recall, average precision and the totals of the model."""
+    totalled = with_group_totals(_counted(scores, slices), ["model"], {
+        "positives": (F.sum, F.col("positive")), "thresholds": (F.sum, F.lit(1)),
+        "lowest": (F.min, F.col("threshold")), "highest": (F.max, F.col("threshold")),
+        # a threshold's recall gain is its own positives over all positives
+        "gains": (F.sum, F.col("positive") * F.col("precision"))})
+    return totalled.withColumns({
+        "recall": _recall(F.col("true_positive")), "auc": _auc(F.col("gains"), F.col("positives"))})
 
 
-def _average_precision() -> Column:
-    # a threshold's recall gain is its own positives over all positives
-    gain = F.coalesce(F.try_divide("positive", "positives"), F.lit(0.0))
-    return F.sum(gain * F.col("precision"))
+def _auc(gains: Column, positives: Column) -> Column:
+    return F.coalesce(F.try_divide(gains, positives), F.lit(0.0))
 
 
-def _curve(scores: DataFrame, slices: int | None) -> DataFrame:
-    """The thresholds of each model, with its average precision as ``auc``."""
-    curve, whole = _thresholds(scores, slices)
-    if whole:
-        return curve.withColumn("auc", _average_precision().over(Window.partitionBy("model")))
-    return curve.join(curve.groupBy("model").agg(_average_precision().alias("auc")), on="model")
+def _recall(true_positive: Column) -> Column:
+    return F.when(F.col("positives") == 0, F.lit(1.0)).otherwise(F.try_divide(true_positive, F.col("positives")))
 
 
 def average_precision(scores: DataFrame, slices: int | None = None) -> DataFrame:
     """``model, auc``: the sum over thresholds of recall gain times precision."""
-    return _thresholds(scores, slices)[0].groupBy("model").agg(_average_precision().alias("auc"))
+    gains = F.sum(F.col("positive") * F.col("precision"))
+    return _counted(scores, slices).groupBy("model").agg(_auc(gains, F.sum("positive")).alias("auc"))
 
 
 def _as_points(curve: DataFrame) -> DataFrame:
@@ -103,6 +97,9 @@ def prc_curve(scores: DataFrame, binary_as_point: bool = True, slices: int | Non
     ``point_idx`` counts from the highest threshold. The closing point (precision 1,
     recall 0) is left out. With ``binary_as_point`` a model with at most two distinct
     scores gives one point.
+
+    :param slices: number of slices for the running totals; by default one window per
+        model if little data is read, else as many slices as shuffle partitions
     """
     curve = _curve(scores, slices)
     if binary_as_point:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.names import named_col
 from .storage import checkpointed
 
-_SLICE = "__slice"
+# Column that numbers the slices of a frame.
+SLICE = "__slice"
 
 
 def sliced(df: DataFrame, order: Sequence[Column], slices: int | None = None) -> DataFrame:
@@ -20,43 +21,53 @@ def sliced(df: DataFrame, order: Sequence[Column], slices: int | None = None) ->
     and all later uses must see the same slices.
     """
     ranged = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
-    return checkpointed(ranged.withColumn(_SLICE, F.spark_partition_id()))
+    return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                   running: Mapping[str, Column], overall: Mapping[str, tuple[Callable, Column]],
+def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column], running: Mapping[str, Column],
                    slices: int | None = None, whole_groups: bool = False) -> DataFrame:
-    """Add inclusive running sums along ``order`` within each group, and group aggregates.
+    """Add inclusive running sums of ``running`` along ``order`` within each group.
 
-    ``overall`` maps a name to ``(F.sum | F.min | F.max, column)``. With ``whole_groups``
-    each group is one window, for frames small enough. Otherwise the frame is
-    range-partitioned into slices. The aggregates per (group, slice) -- at most groups +
-    slices rows -- give each slice its starting values, and the windows run within slices.
+    With ``whole_groups`` each group is one window, for frames small enough. Otherwise the
+    frame is range-partitioned into slices (column ``__slice`` of the result). The sums
+    per (group, slice) -- at most groups + slices rows -- give each slice its starting
+    value, and the windows run within slices. Those sums meet the rows in the shuffle that
+    the windows need anyway.
     """
-    group = list(group)
     keys = [named_col(c) for c in group]
     sums = {name: value.cast("long") for name, value in running.items()}
     if whole_groups:
-        window, entire = _upto(group, order), Window.partitionBy(*keys)
-        return df.select(
-            "*", *(F.sum(value).over(window).alias(name) for name, value in sums.items()),
-            *(how(value).over(entire).alias(name) for name, (how, value) in overall.items()))
+        window = _upto(keys, order)
+        return df.select("*", *(F.sum(value).over(window).alias(name) for name, value in sums.items()))
 
     cut = sliced(df, [*keys, *order], slices)
-    entire = Window.partitionBy(*keys)
-    earlier = entire.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = cut.groupBy(*keys, _SLICE).agg(
-        *(F.sum(value).alias(f"__{name}") for name, value in sums.items()),
-        *(how(value).alias(name) for name, (how, value) in overall.items()))
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = cut.groupBy(*keys, SLICE).agg(*(F.sum(value).alias(f"__{name}") for name, value in sums.items()))
     starts = per_slice.select(
-        *keys, _SLICE,
-        *(F.coalesce(F.sum(f"__{name}").over(earlier), F.lit(0)).alias(f"__before_{name}") for name in sums),
-        *(how(name).over(entire).alias(name) for name, (how, _) in overall.items()))
-    window = _upto([*group, _SLICE], order)
-    return cut.join(starts, on=[*group, _SLICE]).select(
-        *(named_col(c) for c in df.columns),
-        *((F.col(f"__before_{name}") + F.sum(value).over(window)).alias(name) for name, value in sums.items()),
-        *overall)
+        *keys, SLICE,
+        *(F.coalesce(F.sum(f"__{name}").over(earlier), F.lit(0)).alias(f"__before_{name}") for name in sums))
+    window = _upto([*keys, F.col(SLICE)], order)
+    return cut.join(starts.hint("shuffle_hash"), on=[*group, SLICE]).select(
+        *(named_col(c) for c in df.columns), SLICE,
+        *((F.col(f"__before_{name}") + F.sum(value).over(window)).alias(name) for name, value in sums.items()))
+
+
+def with_group_totals(df: DataFrame, group: Sequence[str],
+                      totals: Mapping[str, tuple[Callable[[Column], Column], Column]]) -> DataFrame:
+    """Add aggregates of each group to its rows: name -> (``F.sum | F.min | F.max``, column).
+
+    On a sliced frame, as :func:`running_totals` gives, the rows stay where they are: the
+    aggregates are taken per slice, combined, and brought back by (group, slice). A plain
+    join on the group would send a large group to one task.
+    """
+    entire = Window.partitionBy(*map(named_col, group))
+    if SLICE not in df.columns:
+        return df.select("*", *(how(value).over(entire).alias(name) for name, (how, value) in totals.items()))
+    keys = [*map(named_col, group), F.col(SLICE)]
+    per_slice = df.groupBy(*keys).agg(*(how(value).alias(name) for name, (how, value) in totals.items()))
+    combined = per_slice.select(*keys, *(how(named_col(name)).over(entire).alias(name)
+                                         for name, (how, _) in totals.items()))
+    return df.join(combined.hint("shuffle_hash"), on=[*group, SLICE])
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -70,18 +81,18 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFram
     stored = checkpointed(ranged.withColumn("__id", F.monotonically_increasing_id()))
     # the id is (partition number << 33) + row number within the partition
     part = F.shiftright("__id", 33)
-    counts = stored.groupBy(part.alias(_SLICE)).count().orderBy(_SLICE).collect()
+    counts = stored.groupBy(part.alias(SLICE)).count().orderBy(SLICE).collect()
     starts, total = {}, 0
     for row in counts:
-        starts[row[_SLICE]] = total
+        starts[row[SLICE]] = total
         total += row["count"]
     start_table = df.sparkSession.createDataFrame(
-        [(s, n) for s, n in starts.items()], f"{_SLICE} long, __start long")
+        [(s, n) for s, n in starts.items()], f"{SLICE} long, __start long")
     position = F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return (stored.withColumn(_SLICE, part).join(F.broadcast(start_table), on=_SLICE)
+    return (stored.withColumn(SLICE, part).join(F.broadcast(start_table), on=SLICE)
             .select(position.alias(name), *(named_col(c) for c in df.columns)))
 
 
-def _upto(group: Sequence[str], order: Sequence[Column]):
-    return (Window.partitionBy(*map(named_col, group)).orderBy(*order)
+def _upto(keys: Sequence[Column], order: Sequence[Column]):
+    return (Window.partitionBy(*keys).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
