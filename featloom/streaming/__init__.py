@@ -1,0 +1,15 @@
+"""Operators that work on streaming frames as they are.
+
+They look at one row at a time and keep no state, so a frame from ``spark.readStream``
+passes through them unchanged in meaning. There are no stream-only operators.
+"""
+
+from ..functions import rename_values, select_nested_fields
+from ..operators.featuresets import transform_featureset
+from ..operators.masked import dense_array
+from ..operators.reshape import flatten, melt, normalise_fields_names, zip_explode_cols
+
+__all__ = [
+    "dense_array", "flatten", "melt", "normalise_fields_names", "rename_values", "select_nested_fields",
+    "transform_featureset", "zip_explode_cols",
+]
