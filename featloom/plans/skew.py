@@ -138,8 +138,7 @@ def _salted(df: DataFrame, on: list[str], table: list[Row], own: int, hot: HotKe
     """
     spark, columns = df.sparkSession, list(df.columns)
     if hot:
-        # Round-robin deals out even equal rows, and repeats itself exactly on a retry.
-        df = df.repartition(shuffle_partitions(spark)).withColumn(_SPREAD, F.spark_partition_id())
+        df = _dealt_out(df)
     else:
         hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         df = df.withColumn(_SPREAD, F.xxhash64(*map(named_col, hashable)))
@@ -167,6 +166,18 @@ def _salted(df: DataFrame, on: list[str], table: list[Row], own: int, hot: HotKe
     return df
 
 
+def _dealt_out(df: DataFrame) -> DataFrame:
+    """``df`` with a number in ``__spread`` that differs even between equal rows.
+
+    A retried task must give its rows the same numbers. Scans and projections repeat the
+    order of their rows; behind a shuffle the order may differ, so there the rows are dealt
+    out round-robin, which Spark makes repeatable by sorting each partition first.
+    """
+    if "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
+        return df.withColumn(_SPREAD, F.monotonically_increasing_id())
+    return df.repartition(shuffle_partitions(df.sparkSession)).withColumn(_SPREAD, F.spark_partition_id())
+
+
 def with_all_values(df: DataFrame, values: DataFrame, inline_limit: int = 1_000) -> DataFrame:
     """Every row of ``df`` once per row of ``values``.
 

@@ -23,8 +23,9 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("how", HOWS)
-def test_split_join_equals_plain_join(sides, how):
-    left, right = sides
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_split_join_equals_plain_join(sides, how, shuffled):
+    left, right = (side.repartition(3, "k") for side in sides) if shuffled else sides
     hot_left, hot_right = (find_hot_keys(side, ["k"], EAGER) for side in sides)
     assert set(hot_left.parts) == {(1,), (3,), (4,)} and hot_left.nulls
     assert set(hot_right.parts) == {(2,), (3,), (5,)} and hot_right.nulls
