@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,24 +36,37 @@ def transform_featureset(fset_df: DataFrame, fset_name: str, variables, index_co
         *(column.alias(f"feature.{fset_name}@{alias}") for alias, column in select_nested_fields(variables)))
 
 
+@dataclass
+class _Part:
+    """One input frame, and whether its caller promised that its keys do not repeat."""
+
+    df: DataFrame
+    unique: bool = False
+
+    def can_repeat(self, on: list[str], index_cols: list[str]) -> bool:
+        held = [c for c in index_cols if c in self.df.columns]
+        return set(on) <= set(held) and not (self.unique and set(on) == set(held))
+
+
 class _Joined:
     """A frame on its way through the joins, with the index columns it carries.
 
-    ``parts`` are the frames it was joined from. Hot keys are looked up in those: they
-    are scans and projections, while the joined frame would have to be recomputed.
+    ``parts`` are inputs all of whose keys are still in the frame. Hot keys are looked up
+    in those: they are scans and projections, while the joined frame would have to be
+    recomputed.
     """
 
-    def __init__(self, name: str, df: DataFrame, keys: list[str], parts: list[DataFrame]):
+    def __init__(self, name: str, df: DataFrame, keys: list[str], parts: list[_Part]):
         self.name, self.df, self.keys, self.parts = name, df, keys, parts
         self.has_gaps = False  # rows of some parts have nulls in keys they lack
 
-    def hot(self, on: list[str], policy: SkewPolicy | None, seen: dict) -> HotKeys:
+    def hot(self, on: list[str], index_cols: list[str], policy: SkewPolicy | None, seen: dict) -> HotKeys:
         total = HotKeys()
         for part in self.parts:
-            if set(on) <= set(part.columns):
+            if part.can_repeat(on, index_cols):
                 key = (id(part), tuple(on))
                 if key not in seen:
-                    seen[key] = find_hot_keys(part, on, policy)
+                    seen[key] = find_hot_keys(part.df, on, policy)
                 total = total.merge(seen[key])
         return total
 
@@ -60,16 +74,19 @@ class _Joined:
         on = [c for c in index_cols if c in self.keys and c in other.keys]
         if not on:
             raise ValueError(f"{self.name} and {other.name} share none of the index columns {index_cols}")
-        hot_left = self.hot(on, policy, seen)
-        hot_right = HotKeys() if how in ("left_semi", "left_anti") else other.hot(on, policy, seen)
+        hot_left = self.hot(on, index_cols, policy, seen)
+        filtering = how in ("left_semi", "left_anti")
+        hot_right = HotKeys() if filtering else other.hot(on, index_cols, policy, seen)
+        gaps = self.has_gaps or other.has_gaps
         df = split_join(self.df, other.df, on, how, hot_left, hot_right,
-                        spread_nulls=policy is not None and (self.has_gaps or other.has_gaps))
+                        spread_nulls=policy is not None and gaps and how != "inner")
         out = _Joined(f"{self.name} + {other.name}", df, self.keys, self.parts)
         out.has_gaps = self.has_gaps
-        if how not in ("left_semi", "left_anti"):
+        if not filtering:
             out.keys = [c for c in index_cols if c in self.keys or c in other.keys]
-            out.parts = self.parts + other.parts
-            out.has_gaps = out.has_gaps or other.has_gaps or set(self.keys) != set(other.keys)
+            # a right join may lose keys of the left side
+            out.parts = other.parts if how == "right" else self.parts + other.parts
+            out.has_gaps = gaps or set(self.keys) != set(other.keys)
         return out
 
 
@@ -134,14 +151,15 @@ def join_featuresets(
         side = _join_group(list(keys), members, unique_keys, skew, seen)
         for column in lacking:
             values = spread_values[column]
-            side.parts = [with_all_values(part.select(*map(named_col, side.keys)), values) for part in side.parts]
+            side.parts = [_Part(with_all_values(part.df.select(*map(named_col, side.keys)), values), part.unique)
+                          for part in side.parts]
             side.df = with_all_values(side.df, values)
             side.keys = [c for c in index_cols if c in side.keys or c == column]
         sides.append(side)
 
     if initial_df is not None:
         keys = [c for c in index_cols if c in initial_df.columns]
-        sides.insert(0, _Joined("the initial table", initial_df, keys, [initial_df]))
+        sides.insert(0, _Joined("the initial table", initial_df, keys, [_Part(initial_df)]))
     full = sides[0]
     for side in sides[1:]:
         full = full.join(side, how, index_cols, skew, seen)
@@ -181,13 +199,12 @@ def _broadcast_values(broadcast_columns, groups, index_cols) -> Mapping[str, Dat
 
 def _join_group(keys: list[str], members: list[tuple[str, DataFrame]], unique_keys: bool,
                 skew: SkewPolicy | None, seen: dict) -> _Joined:
-    sides = [_Joined(name, frame, keys, [frame]) for name, frame in members]
+    sides = [_Joined(name, frame, keys, [_Part(frame, unique_keys)]) for name, frame in members]
     if len(sides) == 1:
         return sides[0]
     if unique_keys:
-        merged = _merge_unique(keys, members)
-        # no key repeats, so none is hot and there is nothing to look for
-        return _Joined(" + ".join(name for name, _ in members), merged, keys, [])
+        return _Joined(" + ".join(name for name, _ in members), _merge_unique(keys, members), keys,
+                       [part for side in sides for part in side.parts])
     full = sides[0]
     for side in sides[1:]:
         full = full.join(side, "full", keys, skew, seen)

@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.names import named_col, quoted
+from ..functions.names import named_col
 from .storage import SMALL_BYTES, is_small, shuffle_partitions
 
 # A key with more rows than this on one side is worth splitting.
@@ -27,8 +28,9 @@ SAMPLE = 0.01
 MAX_HOT_KEYS = 1_000
 MAX_PARTS = 4_096
 
-_OWN, _OTHER, _SPREAD = "__salt_own", "__salt_other", "__spread"
+_SPREAD = "__spread"
 _SALTS = ("__salt_left", "__salt_right")
+_PARTS = ("__parts_left", "__parts_right")
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,6 @@ class SkewPolicy:
     small_bytes: int = SMALL_BYTES
 
 
-NO_SKEW = None
 DEFAULT_POLICY = SkewPolicy()
 
 
@@ -68,7 +69,8 @@ def find_hot_keys(df: DataFrame, on: Sequence[str], policy: SkewPolicy | None =
     The scan reads the key columns only, rows are counted before the shuffle, and at
     most ``MAX_HOT_KEYS`` keys reach the driver.
     """
-    if policy is None or is_small(df, policy.small_bytes):
+    atomic = all(not isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) for c in on)
+    if policy is None or not atomic or is_small(df, policy.small_bytes):
         return HotKeys()
     keys = df.select(*map(named_col, on))
     if policy.sample < 1:
@@ -78,7 +80,7 @@ def find_hot_keys(df: DataFrame, on: Sequence[str], policy: SkewPolicy | None =
                .orderBy(F.desc("__rows")).limit(MAX_HOT_KEYS).collect())
     found = HotKeys()
     for row in hottest:
-        *key, rows = row
+        *key, rows = (bytes(v) if isinstance(v, bytearray) else v for v in row)
         if any(part is None for part in key):
             found.nulls = True
         else:
@@ -110,12 +112,18 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     table = [Row(*key, hot_left.parts.get(key, 1), hot_right.parts.get(key, 1))
              for key in sorted(keys, key=repr)]
     left_out, right_out = _unique_columns(left, right, on, how)
-    salted_left = _salted(left, on, table, own=0, hot=hot_left, mark="__in_left")
-    salted_right = _salted(right, on, table, own=1, hot=hot_right, mark="__in_right")
+    hot_keys = None
+    if table:
+        # the types that the join itself would bring both sides to
+        keys_of = left.select(*map(named_col, on)).union(right.select(*map(named_col, on)))
+        schema = T.StructType([*keys_of.schema.fields, *(T.StructField(p, T.IntegerType()) for p in _PARTS)])
+        hot_keys = left.sparkSession.createDataFrame(table, schema)
+    salted_left = _salted(left, on, hot_keys, own=0, hot=hot_left, mark="__in_left")
+    salted_right = _salted(right, on, hot_keys, own=1, hot=hot_right, mark="__in_right")
     joined = salted_left.join(salted_right, on=on + list(_SALTS), how=how)
     if how in ("left_semi", "left_anti"):
-        return joined.select(*on, *left_out)
-    if table and how in ("left", "full", "right"):
+        return joined.select(*map(named_col, on), *left_out)
+    if hot_keys is not None and how in ("left", "full", "right"):
         stray_left = F.col("__in_right").isNull() & F.coalesce("__in_left", F.lit(False))
         stray_right = F.col("__in_left").isNull() & F.coalesce("__in_right", F.lit(False))
         joined = joined.where(~stray_left & ~stray_right)
@@ -131,12 +139,12 @@ def _unique_columns(left, right, on, how) -> tuple[list[Column], list[Column]]:
     return [named_col(c) for c in mine], [named_col(c) for c in theirs]
 
 
-def _salted(df: DataFrame, on: list[str], table: list[Row], own: int, hot: HotKeys, mark: str) -> DataFrame:
+def _salted(df: DataFrame, on: list[str], hot_keys: DataFrame | None, own: int, hot: HotKeys, mark: str) -> DataFrame:
     """``df`` with both salt columns; rows copied where the other side has parts.
 
     ``mark`` is never null, and true for rows that were copied.
     """
-    spark, columns = df.sparkSession, list(df.columns)
+    columns = list(df.columns)
     if hot:
         df = _dealt_out(df)
     else:
@@ -146,24 +154,15 @@ def _salted(df: DataFrame, on: list[str], table: list[Row], own: int, hot: HotKe
     for name in on:
         null_key = null_key | named_col(name).isNull()
 
-    if table:
-        schema = ", ".join(f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in on)
-        hot_keys = spark.createDataFrame(table, f"{schema}, __parts0 int, __parts1 int")
-        df = df.join(F.broadcast(hot_keys), on=on, how="left")
-        my_parts = F.coalesce(f"__parts{own}", F.lit(1))
-        their_parts = F.coalesce(f"__parts{1 - own}", F.lit(1))
-    else:
+    if hot_keys is None:
         my_parts = their_parts = F.lit(1)
-
+    else:
+        df = df.join(F.broadcast(hot_keys), on=on, how="left")  # at most 2 * MAX_HOT_KEYS rows
+        my_parts, their_parts = (F.coalesce(_PARTS[side], F.lit(1)) for side in (own, 1 - own))
     my_salt = F.when(null_key, F.pmod(_SPREAD, F.lit(MAX_PARTS))).otherwise(F.pmod(_SPREAD, my_parts)).cast("int")
-    df = df.select(
-        *map(named_col, columns),
-        my_salt.alias(_SALTS[own]),
-        (their_parts > 1).alias(mark),
-        F.explode(F.sequence(F.lit(0), their_parts - 1)).alias(_SALTS[1 - own]) if table
-        else F.lit(0).alias(_SALTS[1 - own]),
-    )
-    return df
+    their_salt = F.lit(0) if hot_keys is None else F.explode(F.sequence(F.lit(0), their_parts - 1))
+    return df.select(*map(named_col, columns), my_salt.alias(_SALTS[own]), (their_parts > 1).alias(mark),
+                     their_salt.alias(_SALTS[1 - own]))
 
 
 def _dealt_out(df: DataFrame) -> DataFrame:

@@ -57,6 +57,20 @@ def test_small_frames_are_not_searched(sides):
     assert not find_hot_keys(sides[0], ["k"])
 
 
+@pytest.mark.parametrize("kinds", [("int", "bigint"), ("bigint", "int"), ("binary", "binary"), ("date", "date")])
+def test_other_key_types(sides, kinds):
+    def typed(side, kind):
+        key = F.date_add(F.lit("2020-01-01").cast("date"), "k") if kind == "date" else (
+            F.col("k").cast("string").cast("binary") if kind == "binary" else F.col("k").cast(kind))
+        return side.withColumn("k", key)
+    left, right = (typed(side, kind) for side, kind in zip(sides, kinds))
+    if kinds == ("bigint", "int"):
+        left = left.union(left.sparkSession.createDataFrame([(1 << 40, "big")] * 9, left.schema))
+    hot = [find_hot_keys(side, ["k"], EAGER) for side in (left, right)]
+    assert all(hot)
+    assert rows(split_join(left, right, ["k"], "full", *hot)) == rows(left.join(right, ["k"], "full"))
+
+
 def test_two_column_keys(spark):
     left = spark.createDataFrame([(1, "a", i) for i in range(20)] + [(1, None, 99), (2, "b", 5)], "k int, g string, l int")
     right = spark.createDataFrame([(1, "a", 1), (1, None, 2), (3, "c", 3)], "k int, g string, r int")
@@ -65,11 +79,21 @@ def test_two_column_keys(spark):
     assert rows(split_join(left, right, ["k", "g"], "full", hot)) == rows(left.join(right, ["k", "g"], "full"))
 
 
-@pytest.mark.parametrize("join", ["outer", "left"])
+def test_right_joins_lose_no_hot_rows(sides, spark):
+    """Key 4 is hot in the initial table, gone after the first right join, and back in the second set."""
+    initial = sides[0]
+    first = spark.createDataFrame([(1, "t", "f")], "k int, t string, v string")
+    second = spark.createDataFrame([(4, "only here"), (1, "one")], "k int, v string")
+    args = ({"f": first, "s": second}, {"f": ["v"], "s": ["v"]}, ["k", "t"])
+    plain, salted = (join_featuresets(*args, join="right", initial_df=initial, skew=skew) for skew in (None, EAGER))
+    assert rows(salted) == rows(plain) and (4, None, None, None, "only here") in rows(salted)
+
+
+@pytest.mark.parametrize("join", ["outer", "left", "inner", "right", "left_anti"])
 def test_featuresets_with_hot_keys(sides, spark, join):
     left, right = sides
     third = spark.createDataFrame([(k, t, f"v{k}{t}") for k in (1, 2, 8) for t in "xy"], "k int, t string, v string")
-    initial = None if join == "outer" else spark.createDataFrame([(1, "x"), (3, "y"), (9, None)], "k int, t string")
+    initial = None if join in ("outer", "inner") else spark.createDataFrame([(1, "x"), (3, "y"), (9, None)], "k int, t string")
     args = ({"l": left, "r": right, "t": third}, {"l": ["l"], "r": ["r"], "t": ["v"]}, ["k", "t"])
     plain = join_featuresets(*args, join=join, initial_df=initial, skew=None)
     salted = join_featuresets(*args, join=join, initial_df=initial, skew=EAGER)
