@@ -13,7 +13,8 @@ from urllib.parse import quote, unquote
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# What Python calls whitespace: Java's Unicode class lacks the four separators.
+# What Python calls whitespace. Java's Unicode class lacks four of these separators.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _SPACE = r"[\s\x1c-\x1f]"
 
 
@@ -44,15 +45,15 @@ def java_regex(pattern: str) -> str:
 
 def strip(col: Column | str) -> Column:
     """Unicode-aware trim on both ends."""
-    return F.regexp_replace(_as_col(col), f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(_as_col(col), F.lit(_SPACES))
 
 
 def encode_names(col: Column | str) -> Column:
     """:func:`normalise_name` for string values."""
     out = F.url_encode(strip(col))
     # form encoding -> path encoding: the four characters on which they differ
-    for form, path in ((r"\+", "%20"), (r"\*", "%2A"), ("%7E", "~"), ("%2F", "/")):
-        out = F.regexp_replace(out, form, path)
+    for form, path in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(form), F.lit(path))
     return out
 
 
@@ -63,7 +64,7 @@ def decode_names(col: Column | str) -> Column:
     mixes valid and malformed escapes still decodes.
     """
     literal_percent = F.regexp_replace(strip(col), "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.try_url_decode(F.regexp_replace(literal_percent, r"\+", "%2B"))
+    return F.try_url_decode(F.replace(literal_percent, F.lit("+"), F.lit("%2B")))
 
 
 def require_distinct(spark: SparkSession, names: Iterable[str], what: str) -> None:

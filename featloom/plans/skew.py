@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import named_col
-from .storage import SMALL_BYTES, is_small, shuffle_partitions
+from .storage import SMALL_BYTES, is_small, known_unique, shuffle_partitions
 
 # A key with more rows than this on one side is worth splitting.
 HOT_ROWS = 1_000_000
@@ -70,7 +70,7 @@ def find_hot_keys(df: DataFrame, on: Sequence[str], policy: SkewPolicy | None =
     most ``MAX_HOT_KEYS`` keys reach the driver.
     """
     atomic = all(not isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) for c in on)
-    if policy is None or not atomic or is_small(df, policy.small_bytes):
+    if policy is None or not atomic or is_small(df, policy.small_bytes) or known_unique(df, on):
         return HotKeys()
     keys = df.select(*map(named_col, on))
     if policy.sample < 1:

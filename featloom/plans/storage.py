@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,17 @@ def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     return scanned_bytes(df) < limit
 
 
+def known_unique(df: DataFrame, on: Sequence[str]) -> bool:
+    """Whether Catalyst knows that ``on`` does not repeat, as behind a ``groupBy``."""
+    key_sets = df._jdf.queryExecution().optimizedPlan().distinctKeys().toSeq()
+    for i in range(key_sets.size()):
+        attributes = key_sets.apply(i).toSeq()
+        expressions = [attributes.apply(j) for j in range(attributes.size())]
+        if all(e.prettyName() == "attributereference" and e.name() in on for e in expressions):
+            return True
+    return False
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so lost executors cost no rerun.
 

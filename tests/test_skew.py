@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from featloom.operators.featuresets import join_featuresets
 from featloom.plans.skew import HotKeys, SkewPolicy, find_hot_keys, split_join, with_all_values
+from featloom.plans.storage import known_unique
 
 from .conftest import rows
 
@@ -57,6 +58,15 @@ def test_small_frames_are_not_searched(sides):
     assert not find_hot_keys(sides[0], ["k"])
 
 
+def test_grouped_frames_are_not_searched(sides):
+    left = sides[0]
+    grouped = left.groupBy("k", "l").count()
+    assert not known_unique(left, ["k", "l"]) and not known_unique(grouped, ["k"])
+    assert known_unique(grouped.select("l", "k"), ["k", "l"]) and known_unique(left.select("k").distinct(), ["k"])
+    assert find_hot_keys(grouped.drop("count").union(left), ["k"], EAGER)
+    assert not find_hot_keys(grouped, ["k", "l"], EAGER)
+
+
 @pytest.mark.parametrize("kinds", [("int", "bigint"), ("bigint", "int"), ("binary", "binary"), ("date", "date")])
 def test_other_key_types(sides, kinds):
     def typed(side, kind):
