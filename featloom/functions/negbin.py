@@ -57,6 +57,12 @@ class NegativeBinomial:
         self.r = r if variance is None else F.when(
             variance > mean, F.try_divide(mean * mean, variance - mean))
 
+    @classmethod
+    def mme(cls, value) -> "NegativeBinomial":
+        """Method-of-moments fit as aggregate Columns, for use in ``groupBy(...).agg(...)``."""
+        data = _double(value)
+        return cls(mean=F.avg(data), variance=F.var_pop(data))
+
     @property
     def variance(self) -> Column:
         return self.mean + F.try_divide(self.mean * self.mean, self.r)

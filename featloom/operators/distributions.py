@@ -24,12 +24,11 @@ def nb_fit(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     Columns: the keys, ``n, mean, variance, r, p, overdispersed``. Where the variance does
     not exceed the mean, ``r`` and ``p`` are null. Null keys form a group of their own.
     """
-    data = named_col(value).cast("double")
-    moments = df.groupBy(*map(named_col, keys)).agg(
-        F.count(data).alias("n"), F.avg(data).alias("mean"), F.var_pop(data).alias("variance"))
-    fitted = NegativeBinomial(mean="mean", variance="variance")
-    return moments.withColumn("r", fitted.r).withColumn(
-        "p", NegativeBinomial(mean="mean", r="r").p).withColumn("overdispersed", fitted.overdispersed)
+    fitted = NegativeBinomial.mme(named_col(value))
+    return df.groupBy(*map(named_col, keys)).agg(
+        F.count(named_col(value)).alias("n"), fitted.mean.alias("mean"),
+        F.var_pop(named_col(value).cast("double")).alias("variance"), fitted.r.alias("r"),
+        fitted.p.alias("p"), fitted.overdispersed.alias("overdispersed"))
 
 
 def nb_reparameterise(params: DataFrame, **given: str) -> DataFrame:

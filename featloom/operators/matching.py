@@ -22,12 +22,11 @@ def str_normalize(names: DataFrame, column: str = "name", regex: str = NAME_SEPA
                   replace: str = NAME_REPLACEMENT) -> DataFrame:
     """Distinct names by normal form: columns ``norm`` and ``name``. Nulls are left out.
 
-    Two names with one normal form fail the query. One aggregation finds the names and
-    checks them: equal names collapse before the shuffle.
+    Two names with one normal form fail the query. Equal names collapse before anything is
+    shuffled, so only distinct names are normalised and checked.
     """
-    name = named_col(column).alias("name")
-    formed = names.select(name).where(F.col("name").isNotNull()).select(
-        "name", normal_form("name", regex, replace).alias("norm"))
+    distinct = names.select(named_col(column).alias("name")).where(F.col("name").isNotNull()).distinct()
+    formed = distinct.select("name", normal_form("name", regex, replace).alias("norm"))
     bounds = formed.groupBy("norm").agg(F.min("name").alias("__low"), F.max("name").alias("__high"))
     clash = F.concat(F.lit("non-unique names after normalisation: "), "__low", F.lit(" / "), "__high")
     return bounds.select("norm", F.when(F.col("__low") == F.col("__high"), F.col("__low"))

@@ -26,6 +26,9 @@ def display_head(df: DataFrame, nrows: int = 5) -> pd.DataFrame:
     return head(df, nrows).toPandas()
 
 
+displayHead = display_head  # noqa: N816
+
+
 def zip_explode_cols(df: DataFrame, cols: Sequence[str], result_name: str,
                      rename_fields: Mapping[str, str] | None = None, *,
                      drop_sources: bool = False, outer: bool = False, strict: bool = False) -> DataFrame:

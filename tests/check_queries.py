@@ -3,6 +3,7 @@
     python tests/check_queries.py /root/testdata/sf0.01 [query ...]
 """
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -16,7 +17,7 @@ from tests.compare import connect, differences  # noqa: E402
 
 
 def main(folder: str, names: list[str]) -> int:
-    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("CHECK_PARTITIONS", "8"))
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

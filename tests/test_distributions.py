@@ -129,6 +129,14 @@ def test_fit_and_score_with_underdispersed_group(spark):
     assert not any(g is None for g, _ in got)  # a null key meets no parameters
 
 
+def test_mme_inside_an_aggregation(spark):
+    df = spark.createDataFrame([("g", float(v)) for v in (0, 0, 1, 9)], "g string, v double")
+    fit = fl.NegativeBinomial.mme("v")
+    row = df.groupBy("g").agg(fit.mean, fit.r, fit.variance, fit.p).collect()[0]
+    variance = np.var([0, 0, 1, 9])
+    assert tuple(row)[1:] == pytest.approx((2.5, 6.25 / (variance - 2.5), variance, 1 - 2.5 / variance))
+
+
 def test_only_the_cdf_uses_python(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     params = fl.nb_fit(lines, ["l_suppkey"], "l_quantity")
