@@ -117,9 +117,9 @@ def tail_pvalue(cdf: Column, density: Column, alternative: str | None) -> Column
     greater = 1.0 - cdf + density
     if alternative == "greater":
         return greater
-    both = F.least(cdf, greater)
-    # least() skips nulls, but an undefined distribution has no p-value
-    return F.when(cdf.isNotNull() & density.isNotNull(), 2.0 * F.least(F.lit(0.5), both))
+    # least() skips nulls, but an undefined distribution has no p-value. The condition
+    # names the CDF only: the density is a long expression, and would be generated twice.
+    return F.when(cdf.isNotNull(), 2.0 * F.least(F.lit(0.5), cdf, greater))
 
 
 class Normal:

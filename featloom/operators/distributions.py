@@ -64,14 +64,23 @@ def nb_score(df: DataFrame, params: DataFrame, keys: Sequence[str], value: str,
 
 
 def nb_apply(df: DataFrame, params: DataFrame, keys: Sequence[str], value: str, measure: str,
-             result: str | None = None, **options) -> DataFrame:
-    """One method of :class:`NegativeBinomial` on ``value``: ``log_prob``, ``prob``, ``cdf``,
-    ``log_cdf`` or ``pval`` (with ``alternative=``), as column ``result``."""
+             result: str | None = None, alternative: str | None = None) -> DataFrame:
+    """One method of :class:`NegativeBinomial` on ``value``, as column ``result``.
+
+    ``measure`` is ``log_prob``, ``prob``, ``cdf``, ``log_cdf`` or ``pval``; ``alternative``
+    applies to ``pval``.
+    """
     if measure not in ("log_prob", "prob", "cdf", "log_cdf", "pval"):
         raise ValueError(f"unknown measure {measure!r}")
-    joined = _with_params(df, params, keys)
-    column = getattr(NegativeBinomial(mean="__mean", r="__r"), measure)(named_col(value), **options)
-    return joined.select(*map(named_col, df.columns), column.alias(result or measure))
+    scored = _with_params(df, params, keys)
+    dist = NegativeBinomial(mean="__mean", r="__r")
+    if measure == "pval":
+        # columns of their own, so that the density is computed in one place
+        scored = scored.withColumns({"__cdf": dist.cdf(named_col(value)), "__density": dist.prob(named_col(value))})
+        column = tail_pvalue(F.col("__cdf"), F.col("__density"), alternative)
+    else:
+        column = getattr(dist, measure)(named_col(value))
+    return scored.select(*map(named_col, df.columns), column.alias(result or measure))
 
 
 def _with_params(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
