@@ -27,7 +27,7 @@ def select_nested_fields(fields, sep: str = ".") -> list[tuple[str, Column]]:
 
     The first step of a path is a column reference, where a dot means nesting.
     The later steps are literal names of struct fields or map keys, so
-    ``{"vep": {"any": ["stop_gained.max"]}}`` gives ``vep.any.stop_gained.max``.
+    ``{"price": {"net": ["per.unit"]}}`` gives ``price.net.per.unit``.
     """
     out = []
     for root, *steps in field_paths(fields):

@@ -59,8 +59,10 @@ def subset_variable(variable: DataFrame, core_dim_labels: DataFrame, core_dims:
             labels = with_all_values(labels, variable.select(named_col(dim)).distinct())
         on = shared + extra
     cells = variable.select(*map(named_col, dims), named_col(value))
-    joined = split_join(labels, cells, on, "left",
-                        find_hot_keys(labels, on, skew), find_hot_keys(cells, on, skew))
+    # a cell occurs once, so keys can repeat only where they leave a dimension out
+    hot_labels = None if set(core_dims) <= set(on) else find_hot_keys(labels, on, skew)
+    hot_cells = None if set(dims) <= set(on) else find_hot_keys(cells, on, skew)
+    joined = split_join(labels, cells, on, "left", hot_labels, hot_cells)
     return joined.select(*map(named_col, core_dim_labels.columns), *map(named_col, extra), named_col(value))
 
 
@@ -84,10 +86,11 @@ def dataset_masked_indexing(dataset: Mapping[str, DataFrame], mask: DataFrame, c
                             skew: SkewPolicy | None = DEFAULT_POLICY) -> MaskedDataset:
     """:func:`subset_variable` for every variable that shares a dimension with the mask.
 
-    The others pass unchanged. The labels are computed once and persisted.
+    The others pass unchanged. The labels are computed once: numbered labels are stored
+    anyway, others are persisted.
     """
     labels = core_dim_labels_from_mask(mask, core_dims, new_dim_name, mask_col)
-    if persist:
+    if persist and new_dim_name is None:
         labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
     return MaskedDataset({
         name: subset_variable(variable, labels, core_dims, value, dense=dense, skew=skew)
