@@ -42,12 +42,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``. Only a local session may
     fall back to a temporary folder.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_checkpoint_dir(df.sparkSession))
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set from its configuration if need be."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_checkpoint_dir(spark))
+    return context.getCheckpointDir()
+
+
 def _checkpoint_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
