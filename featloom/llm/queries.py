@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontam import op10_decontaminate
+from .rules import op8_quality_rules
 from .tokenpack import op2_token_ids
 
 QUERIES = {
     "op2_token_ids": op2_token_ids,
+    "op8_quality_rules": op8_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}

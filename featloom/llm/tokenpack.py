@@ -306,8 +306,8 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                             columns.append(pa.array([reader.document(d).astype(np.int64) for d in docs], pa.list_(pa.int64())))
                         yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields.split(", ")])
 
-    files = manifest.select("shard", "path", "start")
-    return files.repartition(F.col("shard")).mapInArrow(read, fields)
+    n = max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism))
+    return manifest.select("shard", "path", "start").repartition(n).mapInArrow(read, fields)
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
