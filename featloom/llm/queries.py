@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontam import op10_decontaminate
+from .neardup import op9_near_duplicates
 from .rules import op8_quality_rules
 from .tokenpack import op2_token_ids
 
 QUERIES = {
     "op2_token_ids": op2_token_ids,
     "op8_quality_rules": op8_quality_rules,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}

@@ -111,3 +111,13 @@ def window_starts(word_offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     rows = np.repeat(np.arange(len(counts)), counts)
     before = np.cumsum(counts) - counts
     return np.arange(len(rows)) - np.repeat(before - word_offsets[:-1], counts), rows
+
+
+def pieces(batch: pa.RecordBatch, text: int, limit: int = 4 << 20):
+    """Consecutive slices of a batch with about ``limit`` bytes of text each, and one row at least."""
+    _, offsets = utf8(batch.column(text))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
