@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontam import op10_decontaminate
+from .mixing import op1_mix_sources
 from .neardup import op9_near_duplicates
 from .rules import op8_quality_rules
 from .tokenpack import op2_token_ids
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_token_ids": op2_token_ids,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
