@@ -6,11 +6,13 @@ from .decontam import op10_decontaminate
 from .mixing import op1_mix_sources
 from .neardup import op9_near_duplicates
 from .rules import op8_quality_rules
+from .substring import op4_substring_dedup
 from .tokenpack import op2_token_ids
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_ids": op2_token_ids,
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontaminate": op10_decontaminate,
