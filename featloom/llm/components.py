@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
                            .select("id", F.least("id", "m").alias("class")))
     for _ in range(MAX_ROUNDS):
         seen = both.join(classes.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("m"))
-        nearer = classes.join(seen, "id").select("id", F.col("class").alias("old"), F.least("class", "m").alias("class"))
+        nearer = checkpointed(classes.join(seen, "id").select("id", F.col("class").alias("old"), F.least("class", "m").alias("class")))
         jump = nearer.select(F.col("id").alias("class"), F.col("class").alias("further"))
         step = checkpointed(nearer.join(jump, "class", "left").select("id", "old", F.least("class", "further").alias("class")))
         classes = step.select("id", "class")

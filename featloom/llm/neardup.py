@@ -167,13 +167,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     marked = checkpointed(_bands(source, bands, rows))
     members = marked.where("bands IS NOT NULL AND id IS NOT NULL")
     # One document stands for all of equal text: the smallest id of the digest.
-    firsts = members.groupBy("digest").agg(F.min("id").alias("of"))
+    # (Aggregates are stored before they are joined: only then can a hot key of the other side be split.)
+    firsts = checkpointed(members.groupBy("digest").agg(F.min("id").alias("of")))
     members = checkpointed(members.join(firsts, "digest"))
     distinct = members.where("id = of").select("id", "digest", "bands").dropDuplicates(["id", "digest"])
     copies = members.where("id <> of").select(F.col("of").alias("a"), F.col("id").alias("b"))
 
     banded = distinct.select("id", F.posexplode("bands").alias("band", "hash"))
-    heads = banded.groupBy("band", "hash").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = checkpointed(banded.groupBy("band", "hash").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"))
     buckets = checkpointed(banded.join(heads, ["band", "hash"]).select("id", "band", "hash", "head"))
     texts = source.where("id IS NOT NULL")
     tried = checkpointed(buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
@@ -200,9 +201,9 @@ def _unmet(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of documents of one bucket and different classes, one of them outside the bucket's largest class."""
     known = buckets.join(classes, "id", "left").select("band", "hash", "id", F.coalesce("class", "id").alias("class"))
     sizes = known.groupBy("band", "hash", "class").count()
-    per_bucket = (sizes.groupBy("band", "hash").agg(F.count("*").alias("n"), F.max_by("class", F.struct("count", "class")).alias("main"))
-                  .where("n > 1").select("band", "hash", "main"))
-    mixed = known.join(per_bucket, ["band", "hash"])
+    per_bucket = checkpointed(sizes.groupBy("band", "hash").agg(F.count("*").alias("n"), F.max(F.struct("count", "class"))["class"].alias("main"))
+                              .where("n > 1").select("band", "hash", "main"))
+    mixed = checkpointed(known.join(per_bucket, ["band", "hash"]))
     outside = mixed.where("class <> main").select("band", "hash", F.col("id").alias("x"), F.col("class").alias("of"))
     pairs = mixed.select("band", "hash", "id", "class").join(outside, ["band", "hash"]).where("class <> of")
     return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()

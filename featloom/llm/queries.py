@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from .chat import op6_format_chats
 from .decontam import op10_decontaminate
+from .mainline import op5_main_text
 from .mixing import op1_mix_sources
 from .neardup import op9_near_duplicates
 from .rules import op8_quality_rules
+from .secretscan import op3_secret_scan
+from .shards import op7_shards
 from .substring import op4_substring_dedup
 from .tokenpack import op2_token_ids
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_ids": op2_token_ids,
+    "op3_secret_scan": op3_secret_scan,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_main_text": op5_main_text,
+    "op6_format_chats": op6_format_chats,
+    "op7_shards": op7_shards,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontaminate": op10_decontaminate,
