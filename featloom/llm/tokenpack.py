@@ -22,6 +22,7 @@ repeated task leaves at most an unnamed file behind. Paths go through pyarrow's
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -156,9 +157,9 @@ def _opened(path: str):
 
 # How the normalizer and the pre-tokenizer of a file must look for its words to be encoded independently.
 WORDWISE_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
-# The pieces that such a pre-tokenizer makes of lower-case printable ASCII, in its own notation and in Python's.
+# The pieces that such a pre-tokenizer makes of words, in its own notation, and in Python's of lower-case printable Latin-1.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
 class Encoder:
@@ -166,7 +167,7 @@ class Encoder:
 
     Where the tokenizer file turns white space into borders that it drops, and lower-cases, the words between
     ASCII blanks are encoded independently of each other; then each distinct word, and each distinct piece of
-    the ASCII words, is encoded once and remembered. Any other tokenizer encodes whole texts.
+    the Latin words, is encoded once and remembered. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -199,8 +200,9 @@ class Encoder:
         cut = {}
         for word in new:
             w = word.decode()
-            plain = w.isascii() and w.isprintable() and not any(m in w for m in self.marks)
-            cut[word] = ASCII_PIECES.findall(w.lower()) if plain else [w]
+            # Latin-1 is in normal form already and lower-cased letter by letter.
+            plain = max(w) <= "\xff" and w.isprintable() and not any(m in w for m in self.marks)
+            cut[word] = LATIN_PIECES.findall(w.lower()) if plain else [w]
         unknown = list({p for pieces in cut.values() for p in pieces}.difference(self.pieces))
         if len(self.pieces) + len(unknown) > REMEMBERED:
             self.pieces, unknown = {}, list({p for pieces in cut.values() for p in pieces})
@@ -221,7 +223,8 @@ class Encoder:
 
 
 def worker_encoder(path: str) -> Encoder:
-    """The encoder of this Python worker, kept from task to task."""
+    """The encoder of this Python worker, kept from task to task; it stays on the task's core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
 
     kept = tokenizers.__dict__.setdefault("_encoders_by_path", {})
