@@ -6,10 +6,11 @@ component of the signature; a component keeps the shingle that arrived first. A
 next arrival is later than all components' first ones. Two documents agree in a component with their probability
 Jaccard similarity, which for sets is the Jaccard similarity.
 
-Equal texts count once. Documents that share a band of their signatures meet the smallest document of that
-bucket; where different classes remain in a bucket after that, every document outside the bucket's
-largest class meets all documents of the other classes. So a bucket of many copies costs one comparison a
-document, and no two documents of a bucket stay apart without a comparison or a chain of links.
+Equal texts count once. Documents that share a band of their signatures meet one document of that
+bucket, the one that shares most buckets with others. Where different classes remain in a bucket after that, the documents
+outside its largest class meet those of other classes in blocks: a task compares two blocks by signatures, and only pairs
+that may be similar go on to verification. So a bucket of many copies costs one verification a
+document, and no pair of a bucket is written unless it is likely to be a link.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ THRESHOLD = 0.8
 # With similarity 0.8, two documents share no band once in 1,900 pairs; with 0.85, once in 230,000. Long bands keep
 # documents apart that share one common passage only.
 BANDS, ROWS = 32, 7
+# Pairs in blocks go on if they agree in this share of components: 3.7 standard deviations below the threshold.
+PLAUSIBLE = 0.7
+# Documents in a block of those outside the largest class, and of the members they meet.
+OUTSIDE, MEMBERS = 256, 1024
 # Shingles whose arrivals are drawn together.
 BATCH = 200_000
 
@@ -92,18 +97,19 @@ def signatures(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_rows
 
 
 def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``id``, ``digest`` of the text and the hash of each band; null for a text without words."""
+    """``id``, ``digest`` of the text, the hash of each band (null for a text without words), and 16 bits of each component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in pieces(whole, 2)):
             hashes, owners, weights = counted(*shingles(batch.column(2)))
             n = batch.num_rows
-            out = np.zeros((n, bands), np.uint64)
+            out, short = np.zeros((n, bands), np.uint64), np.zeros((n, bands * rows), np.uint16)
             ends = np.searchsorted(owners, np.arange(n + 1))
             start = 0
             while start < n:  # rows up to about a batch of shingles at a time
                 stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BATCH, "right")) - 1)
                 part = slice(ends[start], ends[stop])
                 made = signatures(hashes[part], owners[part] - start, weights[part], stop - start, bands * rows)
+                short[start:stop] = made & np.uint64(0xFFFF)
                 made = made.reshape(-1, bands, rows)
                 folded = np.zeros(made.shape[:2], np.uint64)
                 for k in range(rows):
@@ -113,9 +119,10 @@ def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             values = pa.array(out.ravel().view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), values,
                                              mask=pa.array(ends[1:] == ends[:-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array([r.tobytes() for r in short], pa.binary())],
+                                             names=["id", "digest", "bands", "signature"])
 
-    return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest binary, bands array<long>")
+    return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest binary, bands array<long>, signature binary")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -169,20 +176,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # One document stands for all of equal text: the smallest id of the digest.
     # (Aggregates are stored before they are joined: only then can a hot key of the other side be split.)
     firsts = checkpointed(members.groupBy("digest").agg(F.min("id").alias("of")))
-    members = checkpointed(members.join(firsts, "digest"))
-    distinct = members.where("id = of").select("id", "digest", "bands").dropDuplicates(["id", "digest"])
-    copies = members.where("id <> of").select(F.col("of").alias("a"), F.col("id").alias("b"))
+    paired = members.select("id", "digest").join(firsts, "digest")
+    copies = checkpointed(paired.where("id <> of").select(F.col("of").alias("a"), F.col("id").alias("b")))
+    distinct = checkpointed(members.join(firsts.withColumnRenamed("of", "id"), ["digest", "id"]).dropDuplicates(["digest", "id"]))
 
     banded = distinct.select("id", F.posexplode("bands").alias("band", "hash"))
-    heads = checkpointed(banded.groupBy("band", "hash").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"))
-    buckets = checkpointed(banded.join(heads, ["band", "hash"]).select("id", "band", "hash", "head"))
+    counts = checkpointed(banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = checkpointed(banded.join(counts, ["band", "hash"]))
+    degrees = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = shared.join(degrees, "id").groupBy("band", "hash").agg(F.max(F.struct("degree", (-F.col("id")).alias("less")))["less"].alias("less"))
+    heads = checkpointed(ranked.select("band", "hash", (-F.col("less")).alias("head")))
+    buckets = checkpointed(shared.join(heads, ["band", "hash"]).select("id", "band", "hash", "head"))
     texts = source.where("id IS NOT NULL")
-    tried = checkpointed(buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    tried = checkpointed(buckets.where("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
     links = checkpointed(_similar(tried, texts, threshold))
     while True:
         classes = components(links)
-        left = _unmet(buckets, classes).join(tried, ["a", "b"], "left_anti")
-        left = checkpointed(left)
+        met = _plausible(buckets.select("id", "band", "hash"), classes, distinct.select("id", "signature"), bands * rows)
+        left = checkpointed(met.join(tried, ["a", "b"], "left_anti"))
         if not left.limit(1).count():
             break
         found = checkpointed(_similar(left, texts, threshold))
@@ -197,16 +208,45 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select(F.col("id").alias(doc_id), F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _unmet(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of documents of one bucket and different classes, one of them outside the bucket's largest class."""
-    known = buckets.join(classes, "id", "left").select("band", "hash", "id", F.coalesce("class", "id").alias("class"))
+def _plausible(buckets: DataFrame, classes: DataFrame, signatures: DataFrame, size: int) -> DataFrame:
+    """Pairs of one bucket and different classes, one outside the bucket's largest class, whose signatures agree enough."""
+    known = checkpointed(buckets.join(classes, "id", "left").select("band", "hash", "id", F.coalesce("class", "id").alias("class")))
     sizes = known.groupBy("band", "hash", "class").count()
-    per_bucket = checkpointed(sizes.groupBy("band", "hash").agg(F.count("*").alias("n"), F.max(F.struct("count", "class"))["class"].alias("main"))
-                              .where("n > 1").select("band", "hash", "main"))
-    mixed = checkpointed(known.join(per_bucket, ["band", "hash"]))
-    outside = mixed.where("class <> main").select("band", "hash", F.col("id").alias("x"), F.col("class").alias("of"))
-    pairs = mixed.select("band", "hash", "id", "class").join(outside, ["band", "hash"]).where("class <> of")
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    mixed = checkpointed(sizes.groupBy("band", "hash").agg(
+        F.count("*").alias("n"), F.max(F.struct("count", "class"))["class"].alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+        .where("n > 1").select("band", "hash", "main", F.ceil((F.col("all") - F.col("most")) / OUTSIDE).alias("outer"),
+                               F.ceil(F.col("all") / MEMBERS).alias("inner")))
+    rows = checkpointed(known.join(mixed, ["band", "hash"]))
+    rows = checkpointed(rows.join(signatures, "id"))
+    doc = F.struct("id", "class", "signature")
+
+    def blocks(frame: DataFrame, number: str, name: str) -> DataFrame:
+        # a bucket is cut into blocks by a hash of the id, so that no task gathers all of it
+        cut = frame.withColumn("block", F.pmod(F.xxhash64("id"), F.col(number)))
+        return cut.groupBy("band", "hash", "block", "inner").agg(F.collect_list(doc).alias(name))
+
+    outside = (blocks(rows.where("class <> main"), "outer", "x").drop("block")
+               .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("inner") - 1))))
+    inside = blocks(rows, "inner", "y").drop("inner")
+    met = outside.join(inside, ["band", "hash", "block"]).select("x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(docs: pa.StructArray):
+            ids, of, marks = (docs.field(k) for k in range(3))
+            return ids.to_numpy(), of.to_numpy(), np.frombuffer(b"".join(marks.to_pylist()), np.uint16).reshape(-1, size)
+
+        for batch in batches:
+            found = set()
+            for x, y in zip(batch.column(0), batch.column(1)):
+                (ids, of, marks), (others, theirs, known) = parts(x.values), parts(y.values)
+                for k in range(len(ids)):
+                    agree = (known == marks[k]).sum(axis=1)
+                    for other in others[(agree >= PLAUSIBLE * size) & (theirs != of[k])]:
+                        found.add((min(ids[k], other), max(ids[k], other)))
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return met.mapInArrow(compare, "a long, b long").distinct()
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
