@@ -172,23 +172,26 @@ def fit_rates(rows: DataFrame, domains: Sequence[str], weights: Mapping[str, flo
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], budget: float | None = None,
-          text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, Mixture]:
-    """Rows of ``docs`` (struct ``doc``) with ``tokens``, ``posterior``, ``rate`` and ``copies``; and the mixture.
+          text: str = "text", doc_id: str = "doc_id", keep: Sequence[str] | None = None) -> tuple[DataFrame, Mixture]:
+    """Rows of ``docs`` (struct ``doc``, of the columns ``keep`` or all) with ``tokens``, ``posterior``, ``rate`` and ``copies``; and the mixture.
 
     ``copies`` is the rate rounded down or up, up with the probability of its fraction by a hash of id and text, so
     it does not depend on partitioning. A null text has no tokens, and its rate follows from the priors. Repeated
     rows are judged alike. An empty table gives no rows.
     """
     if not docs.limit(1).count():
-        return (docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.lit(0).cast("long").alias("tokens"),
+        return (docs.select(F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep))).alias("doc"), F.lit(0).cast("long").alias("tokens"),
                             F.array().cast("array<double>").alias("posterior"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies")),
                 Mixture((), (), (), (), ()))
     classifier = fit_domains(docs, labelled, text, doc_id)
-    rows = with_posteriors(docs, classifier, text)
-    mixture = fit_rates(rewritten(rows.select("tokens", "posterior"), "posteriors"), classifier.domains, weights, budget)
-    rated = rows.withColumn("rate", mixture.rate())
     chance = F.pmod(F.xxhash64(F.col("doc").getField(doc_id), F.col("doc").getField(text), F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
-    return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")), mixture
+    kept = F.struct(*(F.col("doc").getField(c).alias(c) for c in (docs.columns if keep is None else keep)))
+    # Texts are classified once: what later steps need is stored, the documents with it.
+    rows = rewritten(with_posteriors(docs, classifier, text).select(kept.alias("doc"), "tokens", "posterior", chance.alias("chance")), "posteriors")
+    mixture = fit_rates(rows, classifier.domains, weights, budget)
+    rated = rows.withColumn("rate", mixture.rate())
+    copies = (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    return rated.withColumn("copies", copies).drop("chance"), mixture
 
 
 def mixture_of(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], **options) -> DataFrame:
@@ -206,6 +209,6 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates and copies of all documents for a mixture of 90 % good, 8 % low-quality and 2 % toxic tokens."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.expr(DOMAIN).alias("domain"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rated, mixture = mixed(docs, labels, WEIGHTS)
+    rated, mixture = mixed(docs, labels, WEIGHTS, keep=["doc_id"])
     return rated.select("doc.doc_id", "tokens", *(F.round(F.col("posterior")[k], 6).alias(f"p_{d}") for k, d in enumerate(mixture.domains)),
                         F.round("rate", 4).alias("rate"), "copies")
