@@ -113,3 +113,37 @@ def pr_step_points(t):
        + "SELECT model, round(auc, 6) AS auc FROM auc")
 def average_precision(t):
     return _rounded(curves.average_precision(curves.scores_long(_lines(t), "returned", _LINE_SCORES)))
+
+
+# Models by line status, one of them null; SQL joins on a stand-in for it.
+_STATUS = """SELECT (l_returnflag = 'R')::INT AS y, l_extendedprice::DOUBLE AS score,
+  CASE WHEN l_linestatus = 'F' THEN '~' ELSE l_linestatus END AS model FROM lineitem"""
+_NULL_MODELS = ("SELECT * REPLACE (nullif(model, '~') AS model) FROM (" + _points_sql(_STATUS, binary_as_point=True) + ")")
+
+
+def _null_model_scores(t):
+    return t("lineitem").select(
+        F.when(F.col("l_linestatus") != "F", F.col("l_linestatus")).alias("model"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y_true"), F.col("l_extendedprice").alias("y_pred"))
+
+
+@query("pr_curve_null_model", _NULL_MODELS)
+def pr_curve_null_model(t):
+    """A null model is a model like any other, in one window."""
+    return _rounded(curves.prc_curve(_null_model_scores(t)))
+
+
+@query("pr_curve_null_model_sliced", _NULL_MODELS)
+def pr_curve_null_model_sliced(t):
+    """The same in slices."""
+    return _rounded(curves.prc_curve(_null_model_scores(t), slices=8))
+
+
+@query("pr_step_points_null_model", "SELECT * REPLACE (nullif(model, '~') AS model) FROM ("
+       + _steps_sql(_STATUS, binary_as_point=False)
+       .replace("SELECT model, point_idx, round(recall, 6) AS recall, round(prec, 6) AS \"precision\", is_binary, "
+                "round(auc, 6) AS auc FROM steps",
+                "SELECT model, point_idx - 2 AS point_idx, round(recall, 6) AS recall, round(prec, 6) AS \"precision\" "
+                "FROM steps WHERE point_idx >= 2") + ")")
+def pr_step_points_null_model(t):
+    return _rounded(curves.step_points(curves.prc_curve(_null_model_scores(t), binary_as_point=False, slices=8)))

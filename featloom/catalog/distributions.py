@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import distributions as dist
+from ..plans.storage import checkpointed
 from .base import query
 
 _FIT = """
@@ -56,9 +57,9 @@ SELECT l_suppkey, given, round(mean, 9) AS nb_mean, round(r, 6) AS nb_r, round(m
 FROM g, given""")
 def nb_reparam(t):
     """All four ways of giving the parameters agree."""
-    params = _fitted(t)
-    out = [dist.nb_reparameterise(params, **{name: name for name in given}).withColumn("given", F.lit("+".join(given)))
-           for given in (("mean", "variance"), ("mean", "r"), ("p", "r"), ("p", "variance"))]
+    params = checkpointed(_fitted(t).withColumn("given", F.explode(F.array(*map(F.lit, ("mean+variance", "mean+r", "p+r", "p+variance"))))))
+    ways = (("mean", "variance"), ("mean", "r"), ("p", "r"), ("p", "variance"))
+    out = [dist.nb_reparameterise(params.where(F.col("given") == "+".join(given)), **{name: name for name in given}) for given in ways]
     names = ["nb_mean", "nb_r", "nb_variance", "nb_p", "nb_log_p", "nb_log_1p"]
     # a mean is a fraction, so with few digits it can lie halfway between two roundings
     digits = {"nb_mean": 9}
@@ -110,14 +111,43 @@ def nb_score(t):
         F.round(c, 6).alias(c) for c in ("log_prob", "prob", "cdf", "log_cdf", "pval")))
 
 
-@query("nb_sample")
+_DRAWS = 400
+
+
+def _judged(draw, params, mean, variance):
+    """Draws per group, whether their moments are right, and whether partitioning leaves them alone.
+
+    The bounds are five standard errors; that of the variance takes the draws' own fourth moment.
+    """
+    drawn = draw(params)
+    again = draw(params.repartition(3, F.col("l_suppkey") % 7))
+    # the last bits of a value may depend on where it stands in its batch
+    same = F.sum(F.xxhash64("l_suppkey", "draw", F.round("value", 9)).cast("decimal(38,0)")).alias("sum")
+    stats = drawn.groupBy("l_suppkey").agg(
+        F.count("*").alias("n"), F.countDistinct("draw").alias("numbers"), F.avg("value").alias("m"), F.var_samp("value").alias("v"),
+        F.kurtosis("value").alias("k"), same.alias("first"))
+    other = again.groupBy("l_suppkey").agg(same.alias("second"))
+    joined = stats.join(other, "l_suppkey").join(params.select("l_suppkey", mean.alias("mean"), variance.alias("variance")), "l_suppkey")
+    n = F.col("n")
+    return joined.select(
+        "l_suppkey", "n", (F.col("numbers") == n).alias("numbered"),
+        (F.abs(F.col("m") - F.col("mean")) <= 5 * F.sqrt(F.col("variance") / n)).alias("mean_fits"),
+        (F.abs(F.col("v") - F.col("variance")) <= 5 * F.greatest(F.col("v"), F.col("variance")) * F.sqrt((F.greatest("k", F.lit(0.0)) + 2) / n)).alias("variance_fits"),
+        (F.col("first") == F.col("second")).alias("same_rows"))
+
+
+_JUDGED = f"SELECT l_suppkey, {_DRAWS}::BIGINT AS n, true AS numbered, true AS mean_fits, true AS variance_fits, true AS same_rows FROM "
+
+
+@query("nb_sample", f"WITH {_FIT} " + _JUDGED + "f WHERE overdispersed")
 def nb_sample(t):
-    return dist.nb_sample(_fitted(t), ["l_suppkey"], size=100, seed=42)
+    return _judged(lambda p: dist.nb_sample(p, ["l_suppkey"], size=_DRAWS, seed=42), _fitted(t), F.col("mean"), F.col("variance"))
 
 
-@query("normal_sample")
+@query("normal_sample", f"WITH {_FIT} " + _JUDGED + "f WHERE variance > 0")
 def normal_sample(t):
-    return dist.normal_sample(_fitted(t).withColumn("sd", F.sqrt("variance")), ["l_suppkey"], size=100, seed=42)
+    params = _fitted(t).where("variance > 0").withColumn("sd", F.sqrt("variance"))
+    return _judged(lambda p: dist.normal_sample(p, ["l_suppkey"], size=_DRAWS, seed=42), params, F.col("mean"), F.col("variance"))
 
 
 def _return_rates(t):
@@ -125,9 +155,12 @@ def _return_rates(t):
         F.avg((F.col("l_returnflag") == "R").cast("double")).alias("mean"), F.count("*").alias("samplesize"))
 
 
-@query("beta_sample")
+@query("beta_sample", _JUDGED + """
+  (SELECT l_suppkey, avg((l_returnflag = 'R')::DOUBLE) AS mean FROM lineitem GROUP BY 1) WHERE mean > 0 AND mean < 1""")
 def beta_sample(t):
-    return dist.beta_sample(_return_rates(t), ["l_suppkey"], size=100, seed=42)
+    mean, n = F.col("mean"), F.col("samplesize")
+    return _judged(lambda p: dist.beta_sample(p, ["l_suppkey"], size=_DRAWS, seed=42),
+                   _return_rates(t).where("mean > 0 AND mean < 1"), mean, mean * (1 - mean) / (n + 1))
 
 
 @query("beta_params", """

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.featuresets import join_featuresets, transform_featureset
+from ..plans.skew import SkewPolicy
 from ..sources import load_featuresets
 from .base import query
 
@@ -111,21 +112,20 @@ def featureset_key_chain(t):
 # sets with the same keys meet first, by a full outer join; the result goes onto the customers
 _INITIAL_CTE = """
 WITH e AS (SELECT user_id AS cust, count(*) AS n, round(max(value), 2) AS top FROM events GROUP BY 1),
-     o AS (SELECT o_custkey AS cust, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1),
+     o AS (SELECT o_custkey AS cust, count(*) AS n FROM orders GROUP BY 1),
      c AS (SELECT c_custkey AS cust, c_mktsegment AS segment FROM customer),
-     g AS (SELECT cust, e.n AS "feature.events@n", e.top AS "feature.events@top", o.n AS "feature.large_orders@n"
+     g AS (SELECT cust, e.n AS "feature.events@n", e.top AS "feature.events@top", o.n AS "feature.orders@n"
            FROM e FULL JOIN o USING (cust))
 """
-_INITIAL_COLUMNS = """SELECT cust, segment, "feature.events@n", "feature.events@top", "feature.large_orders@n" """
+_INITIAL_COLUMNS = """SELECT cust, segment, "feature.events@n", "feature.events@top", "feature.orders@n" """
 
 
 def _onto_customers(t, how):
     return join_featuresets(
         {"events": t("events").groupBy(F.col("user_id").alias("cust"))
          .agg(F.count("*").alias("n"), F.round(F.max("value"), 2).alias("top")),
-         "large_orders": t("orders").where(F.col("o_totalprice") > 400000)
-         .groupBy(F.col("o_custkey").alias("cust")).agg(F.count("*").alias("n"))},
-        {"events": ["n", "top"], "large_orders": ["n"]}, ["cust"], join=how,
+         "orders": t("orders").groupBy(F.col("o_custkey").alias("cust")).agg(F.count("*").alias("n"))},
+        {"events": ["n", "top"], "orders": ["n"]}, ["cust"], join=how,
         initial_df=t("customer").select(F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("segment")))
 
 
@@ -188,16 +188,68 @@ def featureset_broadcast_infer(t):
 
 @query("featureset_fill_nan", """
 WITH a AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'NaN'::DOUBLE ELSE value END AS v FROM events),
-     b AS (SELECT event_id, value AS w FROM events WHERE event_type IN ('error', 'view'))
+     b AS (SELECT l_orderkey AS event_id, max(l_tax) AS w FROM lineitem GROUP BY 1)
 SELECT event_id, CASE WHEN v IS NULL OR isnan(v) THEN -1.0 ELSE v END AS "feature.seen@value",
-  CASE WHEN w IS NULL OR isnan(w) THEN -2.0 ELSE w END AS "feature.passive@value"
+  CASE WHEN w IS NULL OR isnan(w) THEN -2.0 ELSE w END AS "feature.lines@value"
 FROM a FULL JOIN b USING (event_id)""")
 def featureset_fill_nan(t):
     seen = t("events").withColumn("value", F.when(F.col("event_type") == "error", F.lit(float("nan")))
                                   .otherwise(F.col("value")))
-    passive = t("events").where(F.col("event_type").isin("error", "view"))
-    return join_featuresets({"seen": seen, "passive": passive}, {"seen": ["value"], "passive": ["value"]}, ["event_id"],
-                            fill_values={"feature.seen@value": -1.0, "feature.passive@value": -2.0})
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.max("l_tax").alias("value"))
+    return join_featuresets({"seen": seen, "lines": lines}, {"seen": ["value"], "lines": ["value"]}, ["event_id"],
+                            fill_values={"feature.seen@value": -1.0, "feature.lines@value": -2.0})
+
+
+def _written(timestamp):
+    return F.date_format(timestamp, "yyyy-MM-dd HH:mm:ss")
+
+
+#: Splits whatever can be split, at any size.
+_EVERYTHING_HOT = SkewPolicy(hot_rows=2, sample=1.0)
+
+
+@query("featureset_outer_hot", """
+WITH e AS (SELECT date_trunc('day', ts) AS day, event_id FROM events),
+     o AS (SELECT date_trunc('day', o_orderdate) AS day, o_orderkey FROM orders)
+SELECT strftime(day::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS day, event_id AS "feature.events@event_id", o_orderkey AS "feature.orders@o_orderkey"
+FROM e FULL JOIN o USING (day)""")
+def featureset_outer_hot(t):
+    """A full outer join on a timestamp, its repeated keys dealt out to parts."""
+    return join_featuresets(
+        {"events": t("events").withColumn("day", F.date_trunc("day", "ts")),
+         "orders": t("orders").withColumn("day", F.date_trunc("day", "o_orderdate"))},
+        {"events": ["event_id"], "orders": ["o_orderkey"]}, ["day"], skew=_EVERYTHING_HOT).withColumn("day", _written("day"))
+
+
+@query("featureset_key_chain_hot", """
+WITH e AS (SELECT user_id AS cust, event_id FROM events),
+     o AS (SELECT o_custkey AS cust, o_orderstatus AS kind, o_orderkey FROM orders),
+     l AS (SELECT l_linestatus AS kind, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT cust, kind, e.event_id AS "feature.events@event_id", o.o_orderkey AS "feature.orders@o_orderkey", l.n AS "feature.lines@n"
+FROM e FULL JOIN o USING (cust) FULL JOIN l USING (kind)""")
+def featureset_key_chain_hot(t):
+    """Key sets that differ, with hot keys in every step."""
+    return join_featuresets(
+        {"events": t("events").withColumnRenamed("user_id", "cust"),
+         "orders": t("orders").withColumnsRenamed({"o_custkey": "cust", "o_orderstatus": "kind"}),
+         "lines": t("lineitem").groupBy(F.col("l_linestatus").alias("kind")).agg(F.count("*").alias("n"))},
+        {"events": ["event_id"], "orders": ["o_orderkey"], "lines": ["n"]}, ["cust", "kind"], skew=_EVERYTHING_HOT)
+
+
+@query("featureset_broadcast_many", """
+WITH s AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1),
+     v AS (SELECT DISTINCT o_orderdate AS day FROM orders),
+     o AS (SELECT c_nationkey AS nation, o_orderdate AS day, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+     sv AS (SELECT nation, day, n FROM s, v)
+SELECT nation, strftime(day, '%Y-%m-%d %H:%M:%S') AS day, sv.n AS "feature.supplier@n", o.n AS "feature.orders@n" FROM sv FULL JOIN o USING (nation, day)""")
+def featureset_broadcast_many(t):
+    """Supplier counts repeated over more days than are gathered in one row."""
+    per_day = (t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+               .groupBy(F.col("c_nationkey").alias("nation"), F.col("o_orderdate").alias("day")).agg(F.count("*").alias("n")))
+    return join_featuresets(
+        {"supplier": t("supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n")), "orders": per_day},
+        {"supplier": ["n"], "orders": ["n"]}, ["nation", "day"],
+        broadcast_columns={"day": t("orders").select(F.col("o_orderdate").alias("day")).distinct()}).withColumn("day", _written("day"))
 
 
 @query("featureset_missing_index", """

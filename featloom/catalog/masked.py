@@ -49,7 +49,7 @@ def _dataset(t):
     return masked.dataset_masked_indexing(
         {"cell": _cells(t), "label": vectors.select("vec_id", F.col("label").alias("value")),
          "part": t("part").select("p_partkey", F.col("p_size").alias("value"))},
-        _mask(t), _CORE)
+        _mask(t), _CORE, persist=False)
 
 
 @query("masked_dataset", _CELLS + """

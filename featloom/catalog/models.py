@@ -23,8 +23,12 @@ def zscore_regressor(t):
     return scored.select("l_orderkey", "l_linenumber", F.round("score", 4).alias("score"))
 
 
-@query("binary_classifier")
+@query("binary_classifier", """
+WITH d AS (SELECT quality, ln(1 + n_chars) AS x FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL)
+SELECT count(*) AS n, round(sum(quality) / count(*), 3) AS mean_score, round(sum(x * quality) / count(*), 3) AS mean_product FROM d""")
 def binary_classifier(t):
-    data = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id")
-    model = models.BinaryClassifier("pyspark.ml.classification.LogisticRegression").fit(data, ["n_chars"], "quality")
-    return model.predict(data, "score").select("doc_id", "quality", F.round("score", 6).alias("score"))
+    """The fit without a penalty satisfies sum(score) = sum(y) and sum(x score) = sum(x y)."""
+    data = t("labels").where("quality IS NOT NULL").join(t("documents").select("doc_id", F.log1p("n_chars").alias("x")), "doc_id")
+    model = models.BinaryClassifier("pyspark.ml.classification.LogisticRegression", tol=1e-10, maxIter=200).fit(data, ["x"], "quality")
+    scored = model.predict(data, "score")
+    return scored.agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("mean_score"), F.round(F.avg(F.col("x") * F.col("score")), 3).alias("mean_product"))

@@ -135,10 +135,21 @@ def rename_event_types_default(t):
 
 
 @query("rename_values_lookup", """
-SELECT p_partkey, CASE WHEN p_partkey < 1000 THEN 'code ' || p_partkey % 7 ELSE 'unknown' END AS code FROM part""")
+SELECT p_partkey, CASE WHEN p_partkey % 1000 < 700 THEN 'code ' || p_partkey % 1000 % 7 ELSE 'unknown' END AS code FROM part""")
 def rename_part_keys(t):
-    codes = {key: f"code {key % 7}" for key in range(1000)}
-    return reshape.rename_column_values(t("part"), "p_partkey", codes, "unknown", "code").select("p_partkey", "code")
+    codes = {key: f"code {key % 7}" for key in range(700)}
+    parts = t("part").select("p_partkey", (F.col("p_partkey") % 1000).alias("code"))
+    return reshape.rename_column_values(parts, "code", codes, "unknown")
+
+
+@query("rename_values_lookup_int", """
+SELECT p_partkey, CASE WHEN p_partkey % 1000 < 700 THEN (p_partkey % 1000 % 7)::INT END AS code FROM part""")
+def rename_part_keys_int(t):
+    """Codes that are integers stay integers, as in a short dictionary."""
+    codes = {key: key % 7 for key in range(700)}
+    parts = t("part").select("p_partkey", (F.col("p_partkey") % 1000).alias("code"))
+    return reshape.rename_column_values(parts, "code", codes)
+
 
 
 @query("melt", """
@@ -168,15 +179,15 @@ def str_normalize(t):
 def _spellings(t):
     part = t("part")
     ours = part.select("p_partkey", F.concat_ws(" - ", "p_type", "p_brand").alias("name"))
-    theirs = part.where(F.col("p_size") < 10).select(
-        F.concat(F.upper("p_type"), F.lit("__("), F.lower("p_brand"), F.lit(")")).alias("name"))
+    theirs = part.select(
+        F.concat(F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.upper("p_type")), F.lit("__("), F.lower("p_brand"), F.lit(")")).alias("name"))
     return ours, theirs
 
 
 _SPELLINGS_SQL = f"""
 WITH ours AS (SELECT p_partkey, p_type || ' - ' || p_brand AS name, {_SQL_NORM.format("p_type || p_brand")} AS norm FROM part),
-     theirs AS (SELECT DISTINCT upper(p_type) || '__(' || lower(p_brand) || ')' AS name,
-                  {_SQL_NORM.format("p_type || p_brand")} AS norm FROM part WHERE p_size < 10)
+     theirs AS (SELECT DISTINCT kind || '__(' || lower(p_brand) || ')' AS name, {_SQL_NORM.format("kind || p_brand")} AS norm
+                FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN '' ELSE upper(p_type) END AS kind FROM part))
 """
 
 

@@ -39,8 +39,21 @@ def denormalise_name(raw: str) -> str:
 
 
 def java_regex(pattern: str) -> str:
-    """A Python-style pattern for Spark's regex functions, with Unicode whitespace."""
-    return "(?U)" + pattern.replace(r"\s", _SPACE)
+    """A Python-style pattern for Spark's regex functions, with Unicode whitespace.
+
+    ``\\s`` is widened where it stands for white space: not behind an escaped backslash; inside a character class its
+    characters are written out, so that negated classes stay right. Classes within classes are not supported.
+    """
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        part = pattern[at:at + 2] if pattern[at] == "\\" else pattern[at]
+        if part == r"\s":
+            out.append(_SPACE[1:-1] if inside else _SPACE)
+        else:
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+        at += len(part)
+    return "(?U)" + "".join(out)
 
 
 def strip(col: Column | str) -> Column:

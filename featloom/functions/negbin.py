@@ -6,6 +6,7 @@ distribution function needs Python, in Arrow batches.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,8 +24,12 @@ def _double(value) -> Column | None:
 
 
 def _evaluate_cdf(x: pd.Series, mean: pd.Series, r: pd.Series) -> pd.DataFrame:
-    cdf, log_cdf = negbin_cdf(*(s.to_numpy("float64") for s in (x, mean, r)))
-    return pd.DataFrame({"cdf": cdf, "log_cdf": log_cdf})
+    # Counts repeat: each distinct input of the batch is evaluated once.
+    inputs = np.column_stack([s.to_numpy("float64") for s in (x, mean, r)])
+    distinct, of = np.unique(inputs.view("u8").reshape(-1, 3), axis=0, return_inverse=True)
+    cdf, log_cdf = negbin_cdf(*np.ascontiguousarray(distinct).view("f8").reshape(-1, 3).T)
+    of = of.reshape(-1)
+    return pd.DataFrame({"cdf": cdf[of], "log_cdf": log_cdf[of]})
 
 
 def _cdf_pair(x: Column, mean: Column, r: Column) -> Column:

@@ -50,6 +50,12 @@ def log_choose(r, x, log=F.log, log1p=F.log1p):
             - (y - 0.5) * log(y) + y - _HALF_LOG_TWO_PI - _series(y) + log(shifted))
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma(x) for x > 0."""
+    z = x + float(SHIFT)
+    return (z - 0.5) * np.log(z) - z + _HALF_LOG_TWO_PI + _series(z) - np.log(_rising(x))
+
+
 def negbin_cdf(x: np.ndarray, mean: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(CDF, log CDF) of the negative binomial at ``floor(x)``; NaN where undefined.
 
@@ -66,13 +72,11 @@ def negbin_cdf(x: np.ndarray, mean: np.ndarray, r: np.ndarray) -> tuple[np.ndarr
     todo = np.flatnonzero(defined & (k >= 0) & (k < np.inf))
     if todo.size:
         a, b, m = r[todo], k[todo] + 1.0, mean[todo]
-        log_q, log_p = -np.log1p(m / a), -np.log1p(a / m)
         # The continued fraction is fast on the side of the mean where x is small.
         upper = a / (a + m) > (a + 1.0) / (a + b + 2.0)
         first, second = np.where(upper, b, a), np.where(upper, a, b)
         point = np.where(upper, m / (a + m), a / (a + m))
-        log_front = (a * log_q + b * log_p + np.log(b) - np.log(first)
-                     + log_choose(a, b, np.log, np.log1p))
+        log_front = np.log(b) - np.log(first) + _log_choose_weighted(a, b, m)
         log_tail = log_front + np.log(_beta_fraction(first, second, point))
         tail = np.minimum(np.exp(log_tail), 1.0)
         cdf[todo] = np.where(upper, 1.0 - tail, tail)
@@ -81,6 +85,38 @@ def negbin_cdf(x: np.ndarray, mean: np.ndarray, r: np.ndarray) -> tuple[np.ndarr
     return cdf, log_cdf
 
 
+def _log_choose_weighted(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``log_choose(a, b)`` + a ln q + b ln p for p = m / (a + m), q = 1 - p, also for huge numbers.
+
+    The saddle-point form: deviances of a and b from their expectations, which are small near the mean, where the plain
+    sum would be a small difference of terms as large as the numbers themselves.
+    """
+    n, p = a + b, m / (a + m)
+    plain = np.minimum(a, b) < 20.0
+    with np.errstate(invalid="ignore", divide="ignore"):
+        # a - n q = -(b - n p) = m (a / m * ... ) without forming n q
+        excess = (b * a - a * m) / (a + m)
+        deviance = _deviance(a, n * (a / (a + m)), -excess) + _deviance(b, n * p, excess)
+        # Gamma(a + b) / (Gamma(a) Gamma(b + 1)) = a b / (n b) * n! / (a! b!) in Stirling's form
+        saddle = (_series(n) - _series(a) - _series(b) - deviance
+                  + 0.5 * (np.log(a) - np.log(b) - np.log(n)) - _HALF_LOG_TWO_PI)
+        direct = -a * np.log1p(m / a) - b * np.log1p(a / m) + log_choose(a, b, np.log, np.log1p)
+    return np.where(plain, direct, saddle)
+
+
+def _deviance(x: np.ndarray, expected: np.ndarray, excess: np.ndarray) -> np.ndarray:
+    """x ln(x / expected) - excess, where ``excess`` is x - expected."""
+    ratio = excess / (x + expected)
+    near = np.abs(ratio) < 0.1
+    v = np.where(near, ratio, 0.0)
+    # x ln(x / e) = 2 x artanh(v) with v = (x - e) / (x + e); the first term meets the excess
+    total, power = excess * v, 2.0 * x * v
+    for k in range(1, 12):
+        power = power * v * v
+        total = total + power / (2 * k + 1)
+    return np.where(near, total, x * np.log(x / expected) - excess)
+
+
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function, by forward products.
 

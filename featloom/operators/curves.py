@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import named_col
-from ..plans.ordered import running_totals, with_group_totals
-from ..plans.storage import is_small
+from ..plans.ordered import is_small, running_totals, with_group_totals
 
 
 def scores_long(df: DataFrame, y_trues: str | Sequence[str], y_preds: str | Sequence[str],
@@ -99,7 +98,7 @@ def prc_curve(scores: DataFrame, binary_as_point: bool = True, slices: int | Non
     scores gives one point.
 
     :param slices: number of slices for the running totals; by default one window per
-        model if little data is read, else as many slices as shuffle partitions
+        model if there are few rows (they are counted), else as many slices as shuffle partitions
     """
     curve = _curve(scores, slices)
     if binary_as_point:
@@ -143,16 +142,22 @@ def step_points(curve: DataFrame, group: Sequence[str] = ("model",), order: str
 
     ``curve`` holds ``precision`` and ``recall``; ``order`` numbers the points 0..n-1 by
     ascending recall. A point's corner comes from the point before it, so each point is
-    sent to the number after its own and paired there: an equi-join, no ordered window.
+    sent under its own number and under the next one, and the two meet in a grouping: the curve is
+    computed once, and no window orders a whole group. Null is a group like any other.
     """
     group = list(group)
-    before = curve.select(*map(named_col, group), (F.col(order) + 1).alias(order), F.col("recall").alias("__recall"))
-    joined = curve.join(before, on=[*group, order], how="left")
-    position = F.col(order)
-    corners = F.array(
-        F.struct((2 * position - 1).cast("long").alias("idx"), F.col("__recall").alias("recall")),
-        F.struct((2 * position).cast("long").alias("idx"), F.col("recall").alias("recall")))
-    return (joined.select(*map(named_col, group), "precision", F.explode(corners).alias("c"))
+    position = F.col(order).cast("long")
+    own = F.struct(position.alias("at"), F.col("recall").alias("mine"), F.lit(None).cast("double").alias("before"),
+                   F.col("precision").alias("precision"))
+    later = F.struct((position + 1).alias("at"), F.lit(None).cast("double").alias("mine"), F.col("recall").alias("before"),
+                     F.lit(None).cast("double").alias("precision"))
+    met = (curve.select(*map(named_col, group), F.explode(F.array(own, later)).alias("p"))
+           .groupBy(*map(named_col, group), F.col("p.at").alias("at"))
+           .agg(F.max("p.mine").alias("mine"), F.max("p.before").alias("before"), F.max("p.precision").alias("precision"))
+           .where(F.col("mine").isNotNull()))
+    corners = F.array(F.struct((2 * F.col("at") - 1).alias("idx"), F.col("before").alias("recall")),
+                      F.struct((2 * F.col("at")).alias("idx"), F.col("mine").alias("recall")))
+    return (met.select(*map(named_col, group), "precision", F.explode(corners).alias("c"))
             .where(F.col("c.idx") >= 0)
             .select(*map(named_col, group), F.col("c.idx").alias(order), "c.recall", "precision"))
 

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import named_col
 from ..functions.negbin import Beta, NegativeBinomial, Normal, tail_pvalue
+from ..functions.sampling import Stream
 from ..plans.storage import shuffle_partitions
 
-# Draws made from one seed; a distribution with more of them is cut into such blocks.
+# Draws of a distribution that stay in one task; more of them are cut into such blocks.
 BLOCK = 4_096
 
 
@@ -89,62 +90,53 @@ def _with_params(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataF
     return df.join(table, on=list(keys), how="inner")
 
 
-def _blocks(params: DataFrame, keys: Sequence[str], size: int, seed: int) -> DataFrame:
-    """One row per distribution and block of draws, with ``__first``, ``__count`` and a seed.
+def _draws(params: DataFrame, keys: Sequence[str], size: int, seed: int, **parameters: Column) -> DataFrame:
+    """One row per distribution and draw: keys, ``parameters``, ``draw`` from 0 and ``__seed``.
 
-    The seed comes from the keys and the block number only, so draws do not depend on
-    how the table is partitioned. Many draws of few distributions are dealt out to tasks.
+    The seed comes from the keys and the draw number only, so draws do not depend on how the
+    table is partitioned. Many draws of few distributions are dealt out to tasks.
     """
+    if size < 1:
+        raise ValueError("size must be at least 1")
     blocks = max(math.ceil(size / BLOCK), 1)
-    out = params.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    table = params.select(*map(named_col, keys), *(c.cast("double").alias(n) for n, c in parameters.items()))
+    defined = reduce(lambda a, b: a & b, (F.col(n).isNotNull() for n in parameters))
+    out = table.where(defined).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     if blocks > 1:
         out = out.repartition(shuffle_partitions(params.sparkSession), *map(named_col, keys), F.col("__block"))
     first = F.col("__block").cast("long") * BLOCK
-    return out.withColumns({
-        "__first": first, "__count": F.least(F.lit(BLOCK), F.lit(size) - first).cast("int"),
-        "__seed": F.xxhash64(F.lit(seed), *map(named_col, keys), F.col("__block"))})
-
-
-def _draw(params: DataFrame, keys: Sequence[str], size: int, seed: int, values: Column) -> DataFrame:
-    if size < 1:
-        raise ValueError("size must be at least 1")
-    drawn = _blocks(params, keys, size, seed).select(
-        *map(named_col, keys), F.col("__first"), values.alias("__values"))
-    return drawn.select(*map(named_col, keys), F.col("__first"), F.posexplode("__values").alias("__pos", "value")).select(
-        *map(named_col, keys), (F.col("__first") + F.col("__pos")).alias("draw"), "value")
+    out = out.withColumn("draw", F.explode(F.sequence(first, F.least(first + BLOCK, F.lit(size).cast("long")) - 1))).drop("__block")
+    return out.withColumn("__seed", F.xxhash64(F.lit(seed), *map(named_col, keys), F.col("draw")))
 
 
-def _generator(seed: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=int(seed) & (2**64 - 1)))
+def _nb_values(r: pd.Series, mean: pd.Series, seed: pd.Series) -> pd.Series:
+    r, mean = r.to_numpy("float64"), mean.to_numpy("float64")
+    stream = Stream(seed.to_numpy("int64"))
+    return pd.Series(stream.poisson(stream.gamma(r) * (mean / r)))
 
 
-def _sampler(method: str, dtype: str):
-    @F.pandas_udf(f"array<{dtype}>")
-    def sample(first: pd.Series, second: pd.Series, count: pd.Series, seed: pd.Series) -> pd.Series:
-        draws = []
-        for a, b, n, s in zip(first, second, count, seed):
-            usable = a is not None and b is not None and a > 0 and b > 0
-            draws.append(getattr(_generator(s), method)(a, b, int(n)) if usable else None)
-        return pd.Series(draws, dtype=object)
-    return sample
+def _beta_values(p: pd.Series, q: pd.Series, seed: pd.Series) -> pd.Series:
+    stream = Stream(seed.to_numpy("int64"))
+    return pd.Series(stream.beta(p.to_numpy("float64"), q.to_numpy("float64")))
 
 
 def nb_sample(params: DataFrame, keys: Sequence[str], size: int = 1, seed: int = 0) -> DataFrame:
     """``keys, draw, value``: ``size`` draws from each negative binomial (columns ``mean, r``).
 
-    Groups with undefined parameters give no rows. Equal seeds give equal draws.
+    A draw is a Poisson variable whose rate is a gamma variable, made for a whole Arrow batch at once. Groups with
+    undefined parameters give no rows. Equal seeds give equal draws.
     """
     dist = NegativeBinomial(mean="mean", r="r")
-    draws = _sampler("negative_binomial", "bigint")(dist.r, 1.0 - dist.p, F.col("__count"), F.col("__seed"))
-    return _draw(params, keys, size, seed, draws)
+    drawn = _draws(params, keys, size, seed, __r=dist.r, __mean=dist.mean).where("__r > 0 AND __mean > 0")
+    return drawn.select(*map(named_col, keys), "draw", F.pandas_udf(_nb_values, "double")("__r", "__mean", "__seed").cast("long").alias("value"))
 
 
 def beta_sample(params: DataFrame, keys: Sequence[str], size: int = 1, seed: int = 0,
                 mean: str = "mean", samplesize: str = "samplesize") -> DataFrame:
     """``keys, draw, value``: draws from beta distributions given by mean and sample size."""
     dist = Beta(mean, samplesize)
-    draws = _sampler("beta", "double")(dist.p, dist.q, F.col("__count"), F.col("__seed"))
-    return _draw(params, keys, size, seed, draws)
+    drawn = _draws(params, keys, size, seed, __p=dist.p, __q=dist.q).where("__p > 0 AND __q > 0")
+    return drawn.select(*map(named_col, keys), "draw", F.pandas_udf(_beta_values, "double")("__p", "__q", "__seed").alias("value"))
 
 
 def beta_params(params: DataFrame, mean: str = "mean", samplesize: str = "samplesize") -> DataFrame:
@@ -159,18 +151,12 @@ def normal_sample(params: DataFrame, keys: Sequence[str], size: int = 1, seed: i
 
     All of it is Column arithmetic; a draw depends on the seed, its keys and its number.
     """
-    if size < 1:
-        raise ValueError("size must be at least 1")
     dist = Normal(mean, sd)
-    blocks = _blocks(params.withColumns({"__mean": dist.mean, "__sd": dist.sd}), keys, size, seed)
-    draws = blocks.select(
-        *map(named_col, keys), "__mean", "__sd",
-        F.explode(F.sequence("__first", F.col("__first") + F.col("__count") - 1)).alias("draw"))
+    draws = _draws(params, keys, size, seed, __mean=dist.mean, __sd=dist.sd)
 
     def uniform(stream: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *map(named_col, keys), F.col("draw"), F.lit(stream)), 11)
+        bits = F.shiftrightunsigned(F.xxhash64(F.col("__seed"), F.lit(stream)), 11)
         return (bits + 1) / F.lit(float(2**53))  # in (0, 1]
 
     standard = F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(2.0 * math.pi * uniform(2))
-    return draws.where(F.col("__mean").isNotNull() & F.col("__sd").isNotNull()).select(
-        *map(named_col, keys), "draw", (F.col("__mean") + F.col("__sd") * standard).alias("value"))
+    return draws.select(*map(named_col, keys), "draw", (F.col("__mean") + F.col("__sd") * standard).alias("value"))

@@ -215,30 +215,29 @@ def _merge_unique(keys: list[str], members: list[tuple[str, DataFrame]]) -> Data
     """Full outer join of sets without repeated keys, in one shuffle for all of them.
 
     All rows are stacked, each set's features packed in a struct of its own, and grouped
-    by key. Rows with a null key match nothing and stay apart.
+    by key. Rows with a null key match nothing, so each has a number of its own as a further key:
+    the set, and the row's place in it.
     """
     features = [[c for c in frame.columns if c not in keys] for _, frame in members]
     packs = [f"__set{i}" for i in range(len(members))]
     null_key = reduce(lambda a, b: a | b, (named_col(k).isNull() for k in keys))
+    nullable = any(frame.schema[k].nullable for _, frame in members for k in keys)
+    apart = ["__apart"] if nullable else []
 
-    stacked, loose = [], []
-    for (_, frame), names, pack in zip(members, features, packs):
-        packed = frame.select(*map(named_col, keys), F.struct(F.lit(1).alias("__row"), *map(named_col, names)).alias(pack))
-        stacked.append(packed.where(~null_key))
-        if any(frame.schema[k].nullable for k in keys):
-            loose.append(packed.where(null_key))
-
-    def stack(frames):
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    stacked = []
+    for number, ((_, frame), names, pack) in enumerate(zip(members, features, packs)):
+        row = F.struct(F.lit(number).alias("set"), F.monotonically_increasing_id().alias("row"))
+        stacked.append(frame.select(
+            *map(named_col, keys), *(F.when(null_key, row).alias(c) for c in apart),
+            F.struct(F.lit(1).alias("__row"), *map(named_col, names)).alias(pack)))
 
     def checked(pack: str) -> Column:
         repeated = F.count(pack) > 1
         return F.when(repeated, F.raise_error(F.lit("unique_keys=True, but a feature set repeats a key"))) \
             .otherwise(F.any_value(pack, ignoreNulls=True)).alias(pack)
 
-    merged = stack(stacked).groupBy(*map(named_col, keys)).agg(*map(checked, packs))
-    if loose:
-        merged = stack([merged, *loose])
+    merged = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
+              .groupBy(*map(named_col, keys), *apart).agg(*map(checked, packs)))
     return merged.select(
         *map(named_col, keys),
         *(F.col(pack).getField(name).alias(name) for pack, names in zip(packs, features) for name in names))

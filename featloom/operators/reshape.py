@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -165,13 +167,12 @@ def rename_column_values(df: DataFrame, column: str, map_dict: Mapping, default=
     """:func:`rename_values` on one column, for dictionaries of any size.
 
     A short dictionary becomes a map literal; a long one a lookup table that is joined,
-    and broadcast by Spark if its size allows.
+    and broadcast by Spark if its size allows. Both have the types of the map literal.
     """
     result = result or column
     if len(map_dict) <= MAX_LITERAL_ENTRIES:
         return df.withColumn(result, rename_values(named_col(column), map_dict, default))
-    spark = df.sparkSession
-    lookup = spark.createDataFrame(list(map_dict.items()), ["__old", "__new"])
+    lookup = _lookup_table(df.sparkSession, map_dict)
     fallback = default if isinstance(default, Column) else F.lit(default)
     found = F.col("__new") if default is None else F.when(
         F.col("__old").isNull(), fallback).otherwise(F.coalesce("__new", fallback))
@@ -180,3 +181,28 @@ def rename_column_values(df: DataFrame, column: str, map_dict: Mapping, default=
     if result not in df.columns:
         kept.append(found.alias(result))
     return joined.select(*kept)
+
+
+def _lookup_table(spark, map_dict: Mapping) -> DataFrame:
+    """The entries as ``__old, __new``, of the types that a map literal of all of them has.
+
+    Entries are grouped by the types of their literals; each group is a table of its own types, and the map
+    of one entry of each group tells the common ones.
+    """
+    def kind(value):
+        if isinstance(value, bool) or not isinstance(value, int):
+            return type(value), str(value.as_tuple()[1:]) if isinstance(value, Decimal) else ""
+        return int, "int" if -(1 << 31) <= value < 1 << 31 else "bigint"
+
+    groups: dict[tuple, list] = {}
+    for old, new in map_dict.items():
+        groups.setdefault((kind(old), kind(new)), []).append((old, new))
+    firsts = [F.lit(item) for entries in groups.values() for item in entries[0]]
+    common = spark.range(1).select(F.create_map(*firsts).alias("m")).schema["m"].dataType
+    tables = []
+    for entries in groups.values():
+        own = spark.range(1).select(*(F.lit(item).alias(name) for item, name in zip(entries[0], ("__old", "__new")))).schema
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in own])
+        tables.append(spark.createDataFrame(entries, schema).select(
+            F.col("__old").cast(common.keyType).alias("__old"), F.col("__new").cast(common.valueType).alias("__new")))
+    return reduce(DataFrame.union, tables)

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import named_col
-from .storage import checkpointed
+from .storage import checkpointed, ensure_checkpoint_dir
 
 # Column that numbers the slices of a frame.
 SLICE = "__slice"
+# Column that holds the group of a sliced frame's row as a struct.
+GROUP = "__group"
 
 
 def sliced(df: DataFrame, order: Sequence[Column], slices: int | None = None) -> DataFrame:
@@ -24,12 +26,22 @@ def sliced(df: DataFrame, order: Sequence[Column], slices: int | None = None) ->
     return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
+# Frames of no more rows than this may be one window: even a single task can finish it.
+SMALL_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has few rows, by counting them; asks for a checkpoint folder whatever the answer."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.count() <= SMALL_ROWS
+
+
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column], running: Mapping[str, Column],
                    slices: int | None = None, whole_groups: bool = False) -> DataFrame:
-    """Add inclusive running sums of ``running`` along ``order`` within each group.
+    """Add inclusive running sums of ``running`` along ``order`` within each group; null is a group like any other.
 
     With ``whole_groups`` each group is one window, for frames small enough. Otherwise the
-    frame is range-partitioned into slices (column ``__slice`` of the result). The sums
+    frame is range-partitioned into slices (columns ``__slice`` and ``__group`` of the result). The sums
     per (group, slice) -- at most groups + slices rows -- give each slice its starting
     value, and the windows run within slices. Those sums meet the rows in the shuffle that
     the windows need anyway.
@@ -40,15 +52,16 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         window = _upto(keys, order)
         return df.select("*", *(F.sum(value).over(window).alias(name) for name, value in sums.items()))
 
-    cut = sliced(df, [*keys, *order], slices)
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = cut.groupBy(*keys, SLICE).agg(*(F.sum(value).alias(f"__{name}") for name, value in sums.items()))
+    # A struct equals another one with nulls in the same places, where a bare null would meet nothing.
+    cut = sliced(df.withColumn(GROUP, F.struct(*keys)), [*keys, *order], slices)
+    earlier = Window.partitionBy(GROUP).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = cut.groupBy(GROUP, SLICE).agg(*(F.sum(value).alias(f"__{name}") for name, value in sums.items()))
     starts = per_slice.select(
-        *keys, SLICE,
+        GROUP, SLICE,
         *(F.coalesce(F.sum(f"__{name}").over(earlier), F.lit(0)).alias(f"__before_{name}") for name in sums))
-    window = _upto([*keys, F.col(SLICE)], order)
-    return cut.join(starts.hint("shuffle_hash"), on=[*group, SLICE]).select(
-        *(named_col(c) for c in df.columns), SLICE,
+    window = _upto([F.col(GROUP), F.col(SLICE)], order)
+    return cut.join(starts.hint("shuffle_hash"), on=[GROUP, SLICE]).select(
+        *(named_col(c) for c in df.columns), GROUP, SLICE,
         *((F.col(f"__before_{name}") + F.sum(value).over(window)).alias(name) for name, value in sums.items()))
 
 
@@ -60,14 +73,14 @@ def with_group_totals(df: DataFrame, group: Sequence[str],
     aggregates are taken per slice, combined, and brought back by (group, slice). A plain
     join on the group would send a large group to one task.
     """
-    entire = Window.partitionBy(*map(named_col, group))
     if SLICE not in df.columns:
+        entire = Window.partitionBy(*map(named_col, group))
         return df.select("*", *(how(value).over(entire).alias(name) for name, (how, value) in totals.items()))
-    keys = [*map(named_col, group), F.col(SLICE)]
-    per_slice = df.groupBy(*keys).agg(*(how(value).alias(name) for name, (how, value) in totals.items()))
-    combined = per_slice.select(*keys, *(how(named_col(name)).over(entire).alias(name)
-                                         for name, (how, _) in totals.items()))
-    return df.join(combined.hint("shuffle_hash"), on=[*group, SLICE])
+    entire = Window.partitionBy(GROUP)
+    per_slice = df.groupBy(GROUP, SLICE).agg(*(how(value).alias(name) for name, (how, value) in totals.items()))
+    combined = per_slice.select(GROUP, SLICE, *(how(named_col(name)).over(entire).alias(name)
+                                                for name, (how, _) in totals.items()))
+    return df.join(combined.hint("shuffle_hash"), on=[GROUP, SLICE])
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

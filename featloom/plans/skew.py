@@ -2,23 +2,24 @@
 
 Spark's adaptive execution splits skewed inner and one-sided outer joins, but never a
 full outer join, nor the optional side of a left join. Here the hot keys of each side
-are found first, by counting a sample of the key columns alone. Which keys are treated
-as hot affects only the speed: every sampled key does exist, and that is all the join
-relies on.
+are found first, by counting a sample of the key columns alone. They stay in Spark as a
+small stored table, so a key keeps its exact value. Which keys are treated as hot affects
+only the speed: every key of the table does exist in its side, and that is all the join relies on.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import named_col
-from .storage import SMALL_BYTES, is_small, known_unique, shuffle_partitions
+from .storage import checkpointed, ensure_checkpoint_dir, known_unique, shuffle_partitions
 
 # A key with more rows than this on one side is worth splitting.
 HOT_ROWS = 1_000_000
@@ -35,11 +36,10 @@ _PARTS = ("__parts_left", "__parts_right")
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When to look for hot keys, and from how many rows on a key is one."""
+    """From how many rows on a key is hot, and the share of rows counted to find such keys."""
 
     hot_rows: int = HOT_ROWS
     sample: float = SAMPLE
-    small_bytes: int = SMALL_BYTES
 
 
 DEFAULT_POLICY = SkewPolicy()
@@ -47,46 +47,47 @@ DEFAULT_POLICY = SkewPolicy()
 
 @dataclass
 class HotKeys:
-    """Hot keys of one join side: parts per key, and whether null keys are hot."""
+    """Hot keys of one join side: a table of keys with ``__parts``, and whether null keys are hot."""
 
-    parts: dict[tuple, int] = field(default_factory=dict)
+    table: DataFrame | None = None
     nulls: bool = False
 
     def merge(self, other: "HotKeys") -> "HotKeys":
-        parts = dict(self.parts)
-        for key, count in other.parts.items():
-            parts[key] = max(count, parts.get(key, 1))
-        hottest = sorted(parts.items(), key=lambda item: -item[1])[:MAX_HOT_KEYS]
-        return HotKeys(dict(hottest), self.nulls or other.nulls)
+        nulls = self.nulls or other.nulls
+        if self.table is None or other.table is None:
+            return HotKeys(self.table if other.table is None else other.table, nulls)
+        keys = [c for c in self.table.columns if c != "__parts"]
+        both = self.table.unionByName(other.table).groupBy(*map(named_col, keys)).agg(F.max("__parts").alias("__parts"))
+        return HotKeys(both.orderBy(F.desc("__parts")).limit(MAX_HOT_KEYS), nulls)
 
     def __bool__(self) -> bool:
-        return bool(self.parts) or self.nulls
+        return self.table is not None or self.nulls
 
 
 def find_hot_keys(df: DataFrame, on: Sequence[str], policy: SkewPolicy | None = DEFAULT_POLICY) -> HotKeys:
-    """Keys of ``df`` with more than ``policy.hot_rows`` rows. Runs one small job.
+    """Keys of ``df`` with more than ``policy.hot_rows`` rows.
 
-    The scan reads the key columns only, rows are counted before the shuffle, and at
-    most ``MAX_HOT_KEYS`` keys reach the driver.
+    Counts the rows first, as a frame with fewer rows than that has no hot key. Otherwise reads the key
+    columns of a sample; rows are counted before the shuffle, and at most ``MAX_HOT_KEYS`` keys are
+    stored in the checkpoint folder. Two numbers come to the driver.
     """
     atomic = all(not isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) for c in on)
-    if policy is None or not atomic or is_small(df, policy.small_bytes) or known_unique(df, on):
+    if policy is None or not atomic or known_unique(df, on):
+        return HotKeys()
+    ensure_checkpoint_dir(df.sparkSession)  # asked for whatever the size, so that a missing one shows early
+    if df.count() <= policy.hot_rows:
         return HotKeys()
     keys = df.select(*map(named_col, on))
     if policy.sample < 1:
         keys = keys.sample(policy.sample, seed=17)
-    hottest = (keys.groupBy(*map(named_col, on)).agg(F.count("*").alias("__rows"))
-               .where(F.col("__rows") > policy.hot_rows * policy.sample)
-               .orderBy(F.desc("__rows")).limit(MAX_HOT_KEYS).collect())
-    found = HotKeys()
-    for row in hottest:
-        *key, rows = (bytes(v) if isinstance(v, bytearray) else v for v in row)
-        if any(part is None for part in key):
-            found.nulls = True
-        else:
-            parts = math.ceil(rows / (policy.hot_rows * policy.sample))
-            found.parts[tuple(key)] = min(max(parts, 2), MAX_PARTS)
-    return found
+    least = policy.hot_rows * policy.sample
+    hottest = checkpointed(keys.groupBy(*map(named_col, on)).agg(F.count("*").alias("__rows"))
+                           .where(F.col("__rows") > least).orderBy(F.desc("__rows")).limit(MAX_HOT_KEYS))
+    null_key = reduce(lambda a, b: a | b, (named_col(c).isNull() for c in on))
+    found = hottest.agg(F.count(F.when(~null_key, 1)).alias("keys"), F.count(F.when(null_key, 1)).alias("nulls")).first()
+    parts = F.least(F.greatest(F.ceil(F.col("__rows") / F.lit(float(least))), F.lit(2)), F.lit(MAX_PARTS)).cast("int")
+    table = hottest.where(~null_key).select(*map(named_col, on), parts.alias("__parts")) if found["keys"] else None
+    return HotKeys(table, found["nulls"] > 0)
 
 
 def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
@@ -108,16 +109,8 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     if not (hot_left or hot_right or spread_nulls):
         return left.join(right, on=on, how=how)
 
-    keys = set(hot_left.parts) | set(hot_right.parts)
-    table = [Row(*key, hot_left.parts.get(key, 1), hot_right.parts.get(key, 1))
-             for key in sorted(keys, key=repr)]
     left_out, right_out = _unique_columns(left, right, on, how)
-    hot_keys = None
-    if table:
-        # the types that the join itself would bring both sides to
-        keys_of = left.select(*map(named_col, on)).union(right.select(*map(named_col, on)))
-        schema = T.StructType([*keys_of.schema.fields, *(T.StructField(p, T.IntegerType()) for p in _PARTS)])
-        hot_keys = left.sparkSession.createDataFrame(table, schema)
+    hot_keys = _both_parts(on, hot_left.table, hot_right.table)
     salted_left = _salted(left, on, hot_keys, own=0, hot=hot_left, mark="__in_left")
     salted_right = _salted(right, on, hot_keys, own=1, hot=hot_right, mark="__in_right")
     joined = salted_left.join(salted_right, on=on + list(_SALTS), how=how)
@@ -130,6 +123,19 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     return joined.select(*map(named_col, on), *left_out, *right_out)
 
 
+def _both_parts(on: list[str], left: DataFrame | None, right: DataFrame | None) -> DataFrame | None:
+    """One row per key that is hot on either side, with the parts of both; at most 2 * MAX_HOT_KEYS rows.
+
+    The union brings the keys to the types that the join itself would bring both sides to.
+    """
+    tables = [table.select(*map(named_col, on), *(F.col("__parts").alias(p) if p == own else F.lit(1).alias(p) for p in _PARTS))
+              for table, own in zip((left, right), _PARTS) if table is not None]
+    if not tables:
+        return None
+    return (reduce(DataFrame.union, tables).groupBy(*map(named_col, on))
+            .agg(*(F.max(p).alias(p) for p in _PARTS)))
+
+
 def _unique_columns(left, right, on, how) -> tuple[list[Column], list[Column]]:
     mine = [c for c in left.columns if c not in on]
     theirs = [] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in on]
@@ -180,28 +186,22 @@ def _dealt_out(df: DataFrame) -> DataFrame:
 def with_all_values(df: DataFrame, values: DataFrame, inline_limit: int = 1_000) -> DataFrame:
     """Every row of ``df`` once per row of ``values``.
 
-    Runs a job that fetches at most ``inline_limit + 1`` rows of ``values``. Up to the
-    limit the values travel inside the plan, and no row of ``df`` is moved. Beyond it
-    both sides are cut into parts, each left part is joined to each part of the values
-    by an equi-join on the part numbers.
+    Counts ``values`` first. Up to ``inline_limit`` of them are gathered to one value of the plan by a subquery, and no
+    row of ``df`` is moved. Beyond it both sides are cut into parts, each left part is joined
+    to each part of the values by an equi-join on the part numbers. No value leaves Spark.
     """
     names = values.columns
-    fetched = values.limit(inline_limit + 1).collect()
-    if len(fetched) <= inline_limit:
-        element = values.schema.simpleString()
-        rows = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, values.schema.fields)))
-                for row in fetched]
-        literal = F.array(*rows) if rows else F.array().cast(f"array<{element}>")
-        kept = [named_col(c) for c in df.columns]
-        return (df.select(*kept, F.explode(literal).alias("__value"))
+    kept = [named_col(c) for c in df.columns]
+    count = values.count()
+    if count <= inline_limit:
+        row = values.agg(F.collect_list(F.struct(*map(named_col, names))).alias("__values"))
+        return (df.select(*kept, row.scalar().alias("__values")).select(*kept, F.explode("__values").alias("__value"))
                 .select(*kept, *(F.col("__value").getField(n).alias(n) for n in names)))
 
-    spark = df.sparkSession
-    parts = shuffle_partitions(spark)
-    slices = math.ceil(values.count() / inline_limit)
+    parts = shuffle_partitions(df.sparkSession)
+    slices = math.ceil(count / inline_limit)
     left = (df.repartition(parts).withColumn("__part", F.spark_partition_id())
             .withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
     right = (values.withColumn("__slice", F.pmod(F.xxhash64(*map(named_col, names)), F.lit(slices)).cast("int"))
              .withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-    return (left.join(right, on=["__part", "__slice"])
-            .select(*(named_col(c) for c in df.columns), *(named_col(n) for n in names)))
+    return left.join(right, on=["__part", "__slice"]).select(*kept, *(named_col(n) for n in names))

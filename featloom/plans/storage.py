@@ -1,4 +1,4 @@
-"""Size estimates and reliable checkpoints."""
+"""What Catalyst knows of a frame, and reliable checkpoints."""
 
 from __future__ import annotations
 
@@ -7,24 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Frames that read less than this need no skew statistics: even if one task had to
-# process all of such a frame, it would finish.
-SMALL_BYTES = 64 << 20
-
-
-def scanned_bytes(df: DataFrame) -> int:
-    """Size of the tables and files a frame reads, by Catalyst's statistics; no job is run.
-
-    The estimate for the frame itself would be of little use: for joins it multiplies.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    return scanned_bytes(df) < limit
-
-
 def known_unique(df: DataFrame, on: Sequence[str]) -> bool:
     """Whether Catalyst knows that ``on`` does not repeat, as behind a ``groupBy``."""
     key_sets = df._jdf.queryExecution().optimizedPlan().distinctKeys().toSeq()

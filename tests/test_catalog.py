@@ -1,12 +1,10 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from featloom.catalog import ORACLES, QUERIES
 
 from .compare import connect, differences
 
-WITHOUT_SQL = {"nb_sample", "normal_sample", "beta_sample", "binary_classifier"}
-
-
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     return connect(sf_dir)
@@ -17,13 +15,8 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert differences(queries()[name](spark, sf_dir), duck, oracle_sql()[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_query_without_sql_has_rows(spark, sf_dir, name):
-    assert queries()[name](spark, sf_dir).count() > 0
-
-
-def test_every_other_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
+def test_every_query_of_the_catalog_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

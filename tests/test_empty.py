@@ -23,7 +23,7 @@ def test_mask_without_true_cells(spark):
 
 def test_feature_sets(spark):
     full, empty = spark.range(3).withColumn("v", F.lit(1)), spark.createDataFrame([], "id long, v int")
-    for options in ({}, {"unique_keys": True}, {"skew": SkewPolicy(1, 1.0, 0)}):
+    for options in ({}, {"unique_keys": True}, {"skew": SkewPolicy(1, 1.0)}):
         out = fl.join_featuresets({"f": full, "e": empty}, {"f": ["v"], "e": ["v"]}, ["id"], **options)
         assert out.count() == 3 and out.where("`feature.e@v` IS NOT NULL").count() == 0
 

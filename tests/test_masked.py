@@ -52,7 +52,7 @@ def test_mask_indexed_by_itself(dataset):
     assert out.count() == len(selected(values))
 
 
-@pytest.mark.parametrize("persist, dense, skew", [(True, True, None), (False, False, SkewPolicy(3, 1.0, 0))])
+@pytest.mark.parametrize("persist, dense, skew", [(True, True, None), (False, False, SkewPolicy(3, 1.0))])
 def test_whole_dataset(dataset, persist, dense, skew):
     frames, values = dataset
     mask = frames["missing"].withColumnRenamed("value", "mask")

@@ -178,14 +178,13 @@ def test_display_head(spark):
 
 
 def test_row_wise_operators_on_a_stream(spark, sf_dir, tmp_path):
-    from featloom import streaming
     source = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("embedding2", F.col("embedding"))
     source.write.parquet(str(tmp_path / "in"))
 
     def job(df):
-        zipped = streaming.zip_explode_cols(df, ["embedding", "embedding2"], "cell", drop_sources=True)
-        flat = streaming.flatten(zipped).select("vec_id", *map(quoted, ["cell.embedding", "cell.embedding2"]))
-        return streaming.melt(flat, ["vec_id"], ["cell.embedding", "cell.embedding2"])
+        zipped = fl.zip_explode_cols(df, ["embedding", "embedding2"], "cell", drop_sources=True)
+        flat = fl.flatten(zipped).select("vec_id", *map(quoted, ["cell.embedding", "cell.embedding2"]))
+        return fl.melt(flat, ["vec_id"], ["cell.embedding", "cell.embedding2"])
 
     stream = job(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")))
     assert stream.isStreaming

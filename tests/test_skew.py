@@ -9,7 +9,13 @@ from featloom.plans.storage import known_unique
 
 from .conftest import rows
 
-EAGER = SkewPolicy(hot_rows=5, sample=1.0, small_bytes=0)
+EAGER = SkewPolicy(hot_rows=5, sample=1.0)
+
+
+def keys_of(hot):
+    return {tuple(r)[:-1] for r in hot.table.collect()}
+
+
 HOWS = ["inner", "left", "right", "full", "left_semi", "left_anti"]
 
 
@@ -28,8 +34,8 @@ def sides(spark):
 def test_split_join_equals_plain_join(sides, how, shuffled):
     left, right = (side.repartition(3, "k") for side in sides) if shuffled else sides
     hot_left, hot_right = (find_hot_keys(side, ["k"], EAGER) for side in sides)
-    assert set(hot_left.parts) == {(1,), (3,), (4,)} and hot_left.nulls
-    assert set(hot_right.parts) == {(2,), (3,), (5,)} and hot_right.nulls
+    assert keys_of(hot_left) == {(1,), (3,), (4,)} and hot_left.nulls
+    assert keys_of(hot_right) == {(2,), (3,), (5,)} and hot_right.nulls
     salted = split_join(left, right, ["k"], how, hot_left, hot_right)
     assert rows(salted) == rows(left.join(right, ["k"], how))
 
@@ -46,7 +52,7 @@ def test_hot_rows_reach_many_tasks(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = split_join(left, right, ["k"], "full", HotKeys({(1,): 16}))
+        joined = split_join(left, right, ["k"], "full", HotKeys(spark.createDataFrame([(1, 16)], "k int, __parts int")))
         per_task = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
@@ -54,8 +60,47 @@ def test_hot_rows_reach_many_tasks(spark):
     assert sum(per_task) == 4000 and len(per_task) > 1 and max(per_task) < 4000
 
 
-def test_small_frames_are_not_searched(sides):
-    assert not find_hot_keys(sides[0], ["k"])
+def test_few_rows_are_not_searched_and_exploded_ones_are(spark, tmp_path, monkeypatch):
+    from featloom.plans import skew
+    stored = []
+    monkeypatch.setattr(skew, "checkpointed", lambda df: stored.append(df) or df.localCheckpoint())
+    local = spark.createDataFrame([(1, "a")] * 6, "k int, v string")
+    assert not find_hot_keys(local, ["k"]) and not stored
+    local.limit(1).write.parquet(str(tmp_path / "tiny"))
+    tiny = spark.read.parquet(str(tmp_path / "tiny")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3_000_000))))
+    assert keys_of(find_hot_keys(tiny, ["k"])) == {(1,)} and len(stored) == 1
+
+
+@pytest.mark.parametrize("how", HOWS)
+def test_repeated_hour_of_summer_time(spark, how):
+    """Two instants with the same local time are different keys, whatever is hot."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        left = spark.range(40).select(F.timestamp_seconds(F.lit(1793514600)).alias("k"), F.col("id").alias("l"))
+        right = spark.range(3).select(F.timestamp_seconds(F.lit(1793511000)).alias("k"), F.col("id").alias("r"))
+        hot = find_hot_keys(left, ["k"], SkewPolicy(hot_rows=10, sample=1.0))
+        assert hot
+        assert split_join(left, right, ["k"], how, hot).count() == left.join(right, ["k"], how).count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_values_are_repeated_unchanged(spark, limit):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.range(2)
+        values = spark.range(3).select(
+            F.timestamp_seconds(F.lit(1793511000) + 3600 * F.col("id")).alias("at"),
+            F.expr("CASE WHEN id < 2 THEN timestamp_ntz'2026-03-08 02:30:00' END").alias("ntz"),
+            F.struct(F.col("id").alias("a"), F.lit("x").alias("b")).alias("s"))
+        got = with_all_values(df, values, inline_limit=limit).selectExpr("id", "unix_seconds(at)", "string(ntz)", "s.a", "s.b")
+        expected = [(i, 1793511000 + 3600 * k, "2026-03-08 02:30:00" if k < 2 else None, k, "x") for i in range(2) for k in range(3)]
+        assert rows(got) == sorted(expected, key=lambda r: [(v is not None, str(type(v)), v) for v in r])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_grouped_frames_are_not_searched(sides):
@@ -85,7 +130,7 @@ def test_two_column_keys(spark):
     left = spark.createDataFrame([(1, "a", i) for i in range(20)] + [(1, None, 99), (2, "b", 5)], "k int, g string, l int")
     right = spark.createDataFrame([(1, "a", 1), (1, None, 2), (3, "c", 3)], "k int, g string, r int")
     hot = find_hot_keys(left, ["k", "g"], EAGER)
-    assert set(hot.parts) == {(1, "a")}
+    assert keys_of(hot) == {(1, "a")}
     assert rows(split_join(left, right, ["k", "g"], "full", hot)) == rows(left.join(right, ["k", "g"], "full"))
 
 
