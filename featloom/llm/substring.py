@@ -6,7 +6,7 @@ starts earlier: in a document of a smaller id, or before it in the same document
 1. Every task counts windows in a count-min sketch of its own partition, kept as the cells it touched. Spark
    merges the sketches cell range by cell range. Windows are counted by their least-hashed inner run of 8
    words, one row for seven windows or so. Equal windows hold equal inner runs, so the sketch can only overestimate.
-2. Windows that the sketch calls repeated are grouped exactly, by 128 bits of hash. A task hands on only its
+2. Windows that the sketch calls repeated are grouped exactly, by 96 bits of hash. A task hands on only its
    earliest occurrence of each; others it has seen to be repeated itself, so no window sends more rows than there
    are tasks, however often it occurs.
 3. Places that lost to an earlier one meet their documents again by a join on the document.
@@ -136,7 +136,7 @@ def repeated_places(docs: DataFrame, size: int = WINDOW, inner: int = INNER, max
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 2, 16 << 20):
+            for batch in pieces(whole, 2, 8 << 20):
                 words, word_offsets, at, rows = _windows(batch.column(2), size)
                 anchors, _ = _anchors(words, at, size, inner)
                 seen = np.ones(len(at), bool)
@@ -144,7 +144,7 @@ def repeated_places(docs: DataFrame, size: int = WINDOW, inner: int = INNER, max
                     cells = _cells(anchors, row, bits)
                     seen &= (table[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
                 at, rows = at[seen], rows[seen]
-                first, second = window_hashes(words, size, salt=1)[at], window_hashes(words, size, salt=2)[at]
+                first, second = window_hashes(words, size, salt=1)[at], window_hashes(words, size, salt=2)[at] >> np.uint64(32)
                 ids = batch.column(0)
                 null = np.asarray(ids.is_null())
                 number = np.asarray(ids.fill_null(0)).astype(np.int64)
@@ -159,9 +159,10 @@ def repeated_places(docs: DataFrame, size: int = WINDOW, inner: int = INNER, max
                 lead = np.flatnonzero(head)[group] if len(head) else group
                 tie = (number[rows] == number[rows[lead]]) & (null[rows] == null[rows[lead]]) & (start == start[lead])
                 one = head | tie
-                columns = [pa.array(x) for x in (first[one].view(np.int64), second[one].view(np.int64))]
-                rest = [ids.take(pa.array(rows[one])), batch.column(1).take(pa.array(rows[one])), pa.array(start[one], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *rest, pa.nulls(int(one.sum()), pa.list_(pa.int64()))], names=names)
+                tail = (second[one].astype(np.int64) << 32) | start[one]  # 32 bits of hash, then the start
+                of = pa.array(rows[one])
+                yield pa.RecordBatch.from_arrays([pa.array(first[one].view(np.int64)), pa.array(tail), ids.take(of), batch.column(1).take(of),
+                                                  pa.nulls(len(of), pa.list_(pa.int64()))], names=names)
                 gone, of = start[~one], rows[~one]
                 order = np.lexsort((gone, of))
                 gone, of = gone[order], of[order]
@@ -170,25 +171,29 @@ def repeated_places(docs: DataFrame, size: int = WINDOW, inner: int = INNER, max
                                  pa.list_(pa.int64()))
                 # Ranges of its own travel under a hash of the document, past the grouping.
                 key = pa.array(mix(number[here].astype(np.uint64), 30).view(np.int64))
-                yield pa.RecordBatch.from_arrays([key, key, ids.take(pa.array(here)), batch.column(1).take(pa.array(here)),
-                                                  pa.nulls(len(here), pa.int64()), lists], names=names)
+                yield pa.RecordBatch.from_arrays([key, pa.nulls(len(here), pa.int64()), ids.take(pa.array(here)),
+                                                  batch.column(1).take(pa.array(here)), lists], names=names)
 
-    names = ["h1", "h2", "id", "digest", "start", "ranges"]
-    schema = "h1 long, h2 long, id long, digest long, start long, ranges array<long>"
+    names = ["h1", "tail", "id", "digest", "ranges"]
+    schema = "h1 long, tail long, id long, digest long, ranges array<long>"
     rows = docs.select("id", "digest", "text").mapInArrow(candidates, schema)
-    sorted_rows = rows.repartition("h1").sortWithinPartitions("h1", "h2", F.col("ranges").isNotNull(), F.col("id").asc_nulls_first(), "start")
+    sorted_rows = rows.repartition("h1").sortWithinPartitions(
+        "h1", F.shiftright("tail", 32).asc_nulls_first(), F.col("id").asc_nulls_first(), "tail")
+
+    kept = ["id", "digest", "start", "ranges"]
 
     def losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # window and first place of the window that the last batch ended in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = np.asarray(batch.column(5).is_valid())
-            yield batch.select([2, 3, 4, 5]).filter(pa.array(own))
-            batch = batch.filter(pa.array(~own))
+            own = batch.filter(batch.column(4).is_valid())
+            yield pa.RecordBatch.from_arrays([own.column(2), own.column(3), pa.nulls(own.num_rows, pa.int64()), own.column(4)], names=kept)
+            batch = batch.filter(batch.column(4).is_null())
             if not batch.num_rows:
                 continue
-            h1, h2, start = (np.asarray(batch.column(i)) for i in (0, 1, 4))
+            h1, tail = (np.asarray(batch.column(i)) for i in (0, 1))
+            h2, start = tail >> 32, tail & 0xFFFFFFFF
             null = np.asarray(batch.column(2).is_null())
             number = np.asarray(batch.column(2).fill_null(0))
             head = np.ones(len(h1), bool)
@@ -203,7 +208,9 @@ def repeated_places(docs: DataFrame, size: int = WINDOW, inner: int = INNER, max
             k = lead[-1]
             if k or last is None:
                 last = (h1[k], h2[k], number[k], null[k], start[k])
-            yield batch.select([2, 3, 4, 5]).filter(pa.array(lost))
+            gone = pa.array(lost)
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(gone), batch.column(3).filter(gone), pa.array(start[lost]),
+                                              pa.nulls(int(lost.sum()), pa.list_(pa.int64()))], names=kept)
 
     lost = sorted_rows.mapInArrow(losers, "id long, digest long, start long, ranges array<long>")
     return lost.groupBy("id", "digest").agg(F.sort_array(F.collect_list("start")).alias("starts"),
