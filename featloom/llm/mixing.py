@@ -148,16 +148,20 @@ def fit_rates(rows: DataFrame, domains: Sequence[str], weights: Mapping[str, flo
     """Rates for rows of ``tokens`` and ``posterior`` so that domain totals are ``weights`` of ``budget`` tokens.
 
     The budget is all tokens by default. The fit minimises the squared differences of totals and targets, each
-    divided by what its domain holds; with this scaling a full gradient step is safe. A domain without any
+    divided by what its domain holds in documents whose rate is not zero yet; no domain's row of the Hessian sums to more,
+    so a full gradient step is safe. A domain without any
     tokens cannot be raised; its target stays unmet. ``rows`` is read once a step, so it should be stored.
     """
     n = len(domains)
 
-    def totals(rate: Column) -> list[float]:
-        sums = rows.agg(*(F.sum(F.col("tokens") * F.col("posterior")[k] * rate).alias(f"t{k}") for k in range(n))).first()
-        return [round(x or 0.0, 3) for x in sums]
+    def totals(rate: Column) -> tuple[list[float], list[float]]:
+        held = rows.select("tokens", "posterior", rate.alias("rate"))
+        mass = [F.col("tokens") * F.col("posterior")[k] for k in range(n)]
+        sums = held.agg(*(F.sum(m * F.col("rate")) for m in mass), *(F.sum(F.when(F.col("rate") > 0, m)) for m in mass)).first()
+        sums = [round(x or 0.0, 3) for x in sums]
+        return sums[:n], sums[n:]
 
-    available = totals(F.lit(1.0))
+    available, active = totals(F.lit(1.0))
     budget = sum(available) if budget is None else budget
     share = sum(weights.get(d, 0.0) for d in domains) or 1.0
     targets = [weights.get(d, 0.0) / share * budget for d in domains]
@@ -166,8 +170,10 @@ def fit_rates(rows: DataFrame, domains: Sequence[str], weights: Mapping[str, flo
     for _ in range(steps):
         if all(abs(t - x) <= tolerance * max(budget, 1.0) for t, x in zip(targets, reached)):
             break
-        history.append([(t - x) / a if a else 0.0 for t, x, a in zip(targets, reached, available)])
-        reached = totals(_rate(history, n))
+        history.append([(t - x) / a if a else 0.0 for t, x, a in zip(targets, reached, active)])
+        reached, left = totals(_rate(history, n))
+        # where no document is left above zero, all may come back
+        active = [a or b for a, b in zip(left, available)]
     return Mixture(tuple(domains), tuple(map(tuple, history)), tuple(available), tuple(targets), tuple(reached))
 
 

@@ -32,12 +32,12 @@ def test_file_round_trip_and_random_access(monkeypatch):
     for k, ids in docs:
         writer.add(k, ids)
     writer.close()
-    reader = tp.Reader(pa.PythonFile(io.BytesIO(sink.getvalue())))
+    reader = tp.Reader(pa.BufferReader(sink.getvalue()))
     for k in reversed(range(len(docs))):
         assert reader.document(k).tolist() == docs[k][1].tolist()
     assert reader.doc_ids.tolist() == [*range(8), 0] and reader.doc_is_null.tolist() == [False] * 8 + [True]
     with pytest.raises(ValueError):
-        tp.Reader(pa.PythonFile(io.BytesIO(sink.getvalue()[:-3])))
+        tp.Reader(pa.BufferReader(sink.getvalue()[:-3]))
     close()
 
 
