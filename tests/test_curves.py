@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 import featloom as fl
 
@@ -137,3 +138,33 @@ def test_sliced_plan_moves_no_model_to_one_task(spark):
     assert "SinglePartition" not in plan and "Broadcast" not in plan
     # the rows themselves travel by (model, slice) only
     assert plan.count("ShuffledHashJoin") >= 2
+
+
+def test_null_models_are_models_in_both_forms(spark, tmp_path):
+    df = spark.createDataFrame([(m, k % 2, float(k)) for m in (None, "a") for k in range(3)], "model string, y_true int, y_pred double")
+    df.write.parquet(str(tmp_path / "scores"))
+    df = spark.read.parquet(str(tmp_path / "scores"))
+    for build in (fl.prc_curve, fl.prc_step_curve, fl.average_precision):
+        short, cut = ({tuple(r) for r in build(df, slices=n).collect()} for n in (None, 3))
+        assert short == cut and {r[0] for r in short} == {None, "a"}
+    assert fl.prc_curve(df, slices=3).count() == 6
+    steps = fl.step_points(fl.prc_curve(df, binary_as_point=False))
+    assert steps.count() == 10 and steps.where("recall IS NULL").count() == 0
+
+
+def test_few_rows_are_one_window_and_exploded_ones_are_sliced(spark, tmp_path, monkeypatch):
+    from featloom.plans import ordered
+    stored = []
+    monkeypatch.setattr(ordered, "checkpointed", lambda df: stored.append(1) or df.cache())
+    monkeypatch.setattr(ordered, "SMALL_ROWS", 1000)
+    six = spark.createDataFrame([("m", k % 2, float(k)) for k in range(6)], "model string, y_true int, y_pred double")
+    assert fl.prc_curve(six).count() == 6 and not stored
+    six.write.parquet(str(tmp_path / "six"))
+    many = spark.read.parquet(str(tmp_path / "six")).withColumn("y_pred", F.explode(F.sequence(F.lit(1), F.lit(500))).cast("double"))
+    assert fl.prc_curve(many).count() == 500 and stored
+
+
+def test_step_points_compute_the_curve_once(spark, sf_dir):
+    scores = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("'m' AS model", "int(l_returnflag = 'R') AS y_true", "l_tax AS y_pred")
+    plan = fl.step_points(fl.prc_curve(scores))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

@@ -191,3 +191,24 @@ def test_normal_and_beta_moments(spark, params):
     assert (mean, variance) == (pytest.approx(0.3, abs=0.004), pytest.approx(0.3 * 0.7 / 21, rel=0.06))
     with pytest.raises(ValueError):
         fl.nb_sample(params, ["k"], 0)
+
+
+def test_cdf_of_huge_numbers_keeps_its_digits():
+    from featloom.functions.special import negbin_cdf
+    for power in (9, 10, 11, 12):
+        x, mean, r = (np.array([10.0**p]) for p in (power, power, power - 1))
+        # at the mean: 1/2 + skewness term of the normal approximation
+        sd = math.sqrt(mean[0] + mean[0]**2 / r[0])
+        skew = (1 + 2 * mean[0] / r[0]) / sd
+        expected = 0.5 + (skew / 6 + 0.5 / sd) / math.sqrt(2 * math.pi)
+        assert abs(negbin_cdf(x, mean, r)[0][0] - expected) < 1e-8
+
+
+def test_draws_do_not_depend_on_their_neighbours():
+    from featloom.functions.sampling import Stream
+    seeds = np.arange(1000, dtype=np.int64) * 7919
+    shape, rate = np.linspace(0.1, 5, 1000), np.linspace(0.1, 200, 1000)
+    for draw in (lambda s, k: s.gamma(shape[k]), lambda s, k: s.poisson(rate[k]), lambda s, k: s.beta(shape[k], shape[k])):
+        whole = draw(Stream(seeds), slice(None))
+        for part in (slice(0, 1), slice(500, 517), slice(990, 1000)):
+            assert np.allclose(draw(Stream(seeds[part]), part), whole[part], rtol=1e-12)

@@ -193,3 +193,20 @@ def test_row_wise_operators_on_a_stream(spark, sf_dir, tmp_path):
     run.awaitTermination()
     batch = job(source)
     assert spark.table("melted").exceptAll(batch).count() == 0 and spark.table("melted").count() == batch.count()
+
+
+@pytest.mark.parametrize("size", [10, 1000])
+@pytest.mark.parametrize("value, kind", [(lambda k: k, "int"), (lambda k: None, "void"), (lambda k: k if k % 2 else k / 4, "double"),
+                                         (lambda k: 1 << 40 if k == 3 else k, "bigint"), (lambda k: str(k), "string"), (lambda k: None if k % 2 else k, "int")])
+def test_dictionaries_of_any_size_have_one_type(spark, size, value, kind):
+    table = {k: value(k) for k in range(size)}
+    df = spark.createDataFrame([(k,) for k in (0, 3, 8, 10**6)] + [(None,)], "k int")
+    out = fl.rename_column_values(df, "k", table, result="v")
+    assert out.schema["v"].dataType.simpleString() == kind
+    assert {r.k: r.v for r in out.collect()} == {k: table.get(k) for k in (0, 3, 8, 10**6, None)}
+
+
+def test_python_whitespace_in_patterns():
+    from featloom.functions.names import java_regex
+    assert java_regex(r"\\s|a\s") == "(?U)" + r"\\s|a[\s\x1c-\x1f]"
+    assert java_regex(r"[^\s_]\[\s") == "(?U)" + r"[^\s\x1c-\x1f_]\[[\s\x1c-\x1f]"

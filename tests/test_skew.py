@@ -63,7 +63,7 @@ def test_hot_rows_reach_many_tasks(spark):
 def test_few_rows_are_not_searched_and_exploded_ones_are(spark, tmp_path, monkeypatch):
     from featloom.plans import skew
     stored = []
-    monkeypatch.setattr(skew, "checkpointed", lambda df: stored.append(df) or df.localCheckpoint())
+    monkeypatch.setattr(skew, "checkpointed", lambda df: stored.append(df) or df.cache())
     local = spark.createDataFrame([(1, "a")] * 6, "k int, v string")
     assert not find_hot_keys(local, ["k"]) and not stored
     local.limit(1).write.parquet(str(tmp_path / "tiny"))
