@@ -34,9 +34,13 @@ BLOCKS = frozenset(
 ENDS_AT = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
            "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|copyright|"
-    r"side-?bar|aside|widgets?|related|recommend\w*|comments?|commentlist|respond|replies|disqus|reviews?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|masthead|topbar|footer|copyright|"
+    r"side-?bar|aside|widgets?|related|recommend\w*|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|"
     r"newsletter|subscribe|signup|login|search|share|sharing|social|toolbar|pagination|pager|tags?)(?:$|[\s_-])", re.IGNORECASE)
+# Hints that count outside of articles only, those that make an article one of a reader or an advert, and layouts named by what they hold.
+HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
+FOREIGN = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|related|promo\w*|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])", re.IGNORECASE)
+LAYOUT = re.compile(r"(?:^|\s)(?:has|with|no|layout)[_-](?:left-|right-)?(?:side-?bar|nav|menu|header)(?=$|\s)", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^<]*$", re.DOTALL)
 ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -138,11 +142,13 @@ def _kind(name: str, attributes: str, within: bool) -> tuple[bool, bool]:
         return False, False
     is_article = name in ("article", "main") or role in ("main", "article") or "articlebody" in values.get("itemprop", "").lower()
     hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-    hints = f"{values.get('class', '')} {values.get('id', '')}"
+    hints = LAYOUT.sub(" ", f"{values.get('class', '')} {values.get('id', '')}")
     apart = name in APART or name == "header" and not within or role in ROLES or hidden
-    if name in ("article", "main", "p", "h1", "h2", "h3", "a", "span", "b", "i", "em", "strong"):
-        return apart or name in ("article", "p") and bool(BOILER.search(hints)), is_article
-    return apart or bool(BOILER.search(hints)), is_article
+    if name in ("article", "main"):
+        return apart or bool(FOREIGN.search(hints)), is_article
+    if name in ("h1", "h2", "h3", "a", "span", "b", "i", "em", "strong"):
+        return apart, is_article
+    return apart or bool(BOILER.search(hints)) or not within and bool(HEADER.search(hints)), is_article
 
 
 def main_text(page: str | None) -> str:

@@ -22,6 +22,13 @@ def test_article_without_its_surroundings(wrap):
     assert ml.main_text(PAGE % (wrap % BODY)) == EXPECTED
 
 
+def test_hints_in_names():
+    page = """<div class="layout layout-sidebar"><div class="page-header"><p>Words of the page header, long enough to count.</p></div>
+      <article class="review"><header class="entry-header"><h1>Title</h1></header><p>Text of the review.</p>
+      <section class="comments"><p>One reader's words.</p></section></article><article class="comment"><p>Another one's words.</p></article></div>"""
+    assert ml.main_text(page) == "Title\n\nText of the review."
+
+
 def test_unclosed_and_odd_markup():
     assert ml.main_text("<article><p>a < b and 3<4 > c &notin; &#x41;&#66; &unknown; &amp</article>") == "a < b and 3<4 > c ∉ AB &unknown; &"
     assert ml.main_text("<article><p><b>open<p>next</article><p>outside") == "open\n\nnext"
