@@ -160,7 +160,8 @@ def test_few_rows_are_one_window_and_exploded_ones_are_sliced(spark, tmp_path, m
     six = spark.createDataFrame([("m", k % 2, float(k)) for k in range(6)], "model string, y_true int, y_pred double")
     assert fl.prc_curve(six).count() == 6 and not stored
     six.write.parquet(str(tmp_path / "six"))
-    many = spark.read.parquet(str(tmp_path / "six")).withColumn("y_pred", F.explode(F.sequence(F.lit(1), F.lit(500))).cast("double"))
+    many = spark.read.parquet(str(tmp_path / "six")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500))))
+    many = many.select("model", "y_true", F.col("k").cast("double").alias("y_pred"))
     assert fl.prc_curve(many).count() == 500 and stored
 
 
