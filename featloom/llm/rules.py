@@ -20,7 +20,7 @@ from .shared import rewritten
 
 # Labelled documents that a fit uses at most: those whose ids have the smallest hashes.
 MAX_LABELLED = 20_000
-# Intervals of a statistic: thresholds are this many quantiles, of both classes apart.
+# Thresholds of a statistic: this many quantiles of either class with its ends, and the middles between them.
 QUANTILES = 24
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -136,14 +136,17 @@ def learn_rules(stats: DataFrame, bad: str = "bad", key: str = "key", max_rules:
         F.col(bad).cast("int").alias("bad"), (F.pmod(F.xxhash64(key, F.lit("held out")), F.lit(3)) == 0).alias("held"),
         *(F.expr(sql).alias(name) for name, sql in FEATURES.items()))
     rows = rewritten(rows, "rules")
-    quantiles = [i / QUANTILES for i in range(1, QUANTILES)]
+    quantiles = [i / QUANTILES for i in range(QUANTILES + 1)]
     found = rows.groupBy("bad").agg(*(F.percentile_approx(c, quantiles, 1000).alias(c) for c in names)).collect()
     if len(found) < 2:
         return DecisionList()
-    cuts = {c: sorted({x for row in found for x in row[c]}) for c in names}
+    cuts = {}
+    for c in names:
+        ends = sorted({x for row in found for x in row[c]})
+        cuts[c] = sorted({*ends, *((a + b) / 2 for a, b in zip(ends, ends[1:]))})
     # A value as the number of thresholds it reaches.
     binned = rewritten(rows.select("bad", "held", F.array(*(
-        sum((F.col(c) >= t).cast("int") for t in cuts[c]) for c in names)).alias("at")), "rules")
+        F.size(F.filter(F.array(*map(F.lit, cuts[c])), lambda t: t <= value)) for c, value in ((c, F.col(c)) for c in names))).alias("at")), "rules")
 
     def holds(terms: Sequence[tuple[int, bool, int]]) -> Column:
         out = F.lit(True)
