@@ -166,9 +166,11 @@ def fit_rates(rows: DataFrame, domains: Sequence[str], weights: Mapping[str, flo
     share = sum(weights.get(d, 0.0) for d in domains) or 1.0
     targets = [weights.get(d, 0.0) / share * budget for d in domains]
     history: list[list[float]] = []
-    reached = available
+    reached, misses = available, []
     for _ in range(steps):
-        if all(abs(t - x) <= tolerance * max(budget, 1.0) for t, x in zip(targets, reached)):
+        misses.append(max((abs(t - x) for t, x in zip(targets, reached)), default=0.0))
+        # met, or out of reach: five steps have not brought it a tenth nearer
+        if misses[-1] <= tolerance * max(budget, 1.0) or len(misses) > 5 and misses[-1] > 0.9 * misses[-6]:
             break
         history.append([(t - x) / a if a else 0.0 for t, x, a in zip(targets, reached, active)])
         reached, left = totals(_rate(history, n))

@@ -38,8 +38,8 @@ def test_held_out_accuracy_and_totals(corpus, labelled):
 
 
 def test_rows_are_repeated_as_often_as_copies(corpus, labelled):
-    rated, _ = mx.mixed(corpus, labelled, {"clean": 1.0}, budget=200_000)
-    out = mx.mixture_of(corpus, labelled, {"clean": 1.0}, budget=200_000)
+    rated, _ = mx.mixed(corpus, labelled, {"clean": 0.9, "toxic": 0.1}, budget=200_000)
+    out = mx.mixture_of(corpus, labelled, {"clean": 0.9, "toxic": 0.1}, budget=200_000)
     assert out.columns == corpus.columns and out.count() == rated.agg(F.sum("copies")).first()[0]
 
 
