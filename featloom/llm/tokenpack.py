@@ -41,7 +41,7 @@ MAGIC = b"FLTOKEN1"
 # Ids in a block; a multiple of 64.
 BLOCK = 1 << 16
 # Words and pieces whose ids a worker remembers; it starts anew beyond them.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 
 def bits_for(vocabulary: int) -> int:
