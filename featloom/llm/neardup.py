@@ -1,10 +1,10 @@
 """Near-duplicate documents: ProbMinHash signatures, banding, and exact verification.
 
-A document is the weighted set of its five-word shingles, a shingle weighing as often as it occurs. In
-ProbMinHash each shingle sends a Poisson process of arrivals, its rate the weight, each arrival to a random
-component of the signature; a component keeps the shingle that arrived first. A process ends as soon as its
+A document is the set of its five-word shingles, all of weight 1, or, where that is asked for, each weighing as often
+as it occurs. In ProbMinHash each shingle sends a Poisson process of arrivals, its rate the weight, each arrival to a
+random component of the signature; a component keeps the shingle that arrived first. A process ends as soon as its
 next arrival is later than all components' first ones. Two documents agree in a component with their probability
-Jaccard similarity, which for sets is the Jaccard similarity.
+Jaccard similarity, which for sets is the Jaccard similarity; the same similarity is verified.
 
 Equal texts count once. Documents that share a band of their signatures meet one document of that
 bucket, the one that shares most buckets with others. Where different classes remain in a bucket after that, the documents
@@ -96,11 +96,27 @@ def signatures(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_rows
     return chosen.reshape(n_rows, size)
 
 
-def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Probability Jaccard similarity of two weighted sets of sorted hashes: the chance that their components agree."""
+    every = np.union1d(x, y)
+    a, b = np.zeros(len(every)), np.zeros(len(every))
+    a[np.searchsorted(every, x)], b[np.searchsorted(every, y)] = wx, wy
+    # For a common i, the sum of max(a_j / a_i, b_j / b_i) has the first term where a_j / b_j is at least a_i / b_i.
+    ratio = np.divide(a, b, out=np.full(len(every), np.inf), where=b > 0)
+    order = np.argsort(ratio, kind="stable")
+    a, b = a[order], b[order]
+    behind, before = np.cumsum(a[::-1])[::-1], np.cumsum(b) - b
+    both = (a > 0) & (b > 0)
+    return float((1 / (behind[both] / a[both] + before[both] / b[both])).sum())
+
+
+def _bands(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
     """``id``, ``digest`` of the text, the hash of each band (null for a text without words), and 16 bits of each component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in pieces(whole, 2)):
             hashes, owners, weights = counted(*shingles(batch.column(2)))
+            if not weighted:
+                weights = np.ones(len(hashes), np.int64)
             n = batch.num_rows
             out, short = np.zeros((n, bands), np.uint64), np.zeros((n, bands * rows), np.uint16)
             ends = np.searchsorted(owners, np.arange(n + 1))
@@ -125,21 +141,22 @@ def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest binary, bands array<long>, signature binary")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets of shingles have the similarity, which is computed exactly."""
+def _similar(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sets of shingles, weighted or not, have the similarity, which is computed exactly."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    parts = ["s", "w"] if weighted else ["s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in pieces(whole, 1)):
-            hashes, owners, _ = counted(*shingles(batch.column(1)))
-            ends = np.searchsorted(owners, np.arange(batch.num_rows + 1)).astype(np.int32)
-            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "s"])
+            hashes, owners, weights = counted(*shingles(batch.column(1)))
+            ends = pa.array(np.searchsorted(owners, np.arange(batch.num_rows + 1)).astype(np.int32))
+            sets = [pa.ListArray.from_arrays(ends, pa.array(v.view(np.int64))) for v in ((hashes, weights) if weighted else (hashes,))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sets], names=["id", *parts])
 
     involved = docs.join(ids.hint("shuffle_hash"), "id").dropDuplicates(["id", "digest"]).select("id", "text")
-    sets = checkpointed(involved.mapInArrow(run, "id long, s array<long>"))
-    joined = (pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-              .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
+    sets = checkpointed(involved.mapInArrow(run, "id long" + "".join(f", {p} array<long>" for p in parts)))
+    joined = (pairs.join(sets.select(F.col("id").alias("a"), *(F.col(p).alias(p + "a") for p in parts)), "a")
+              .join(sets.select(F.col("id").alias("b"), *(F.col(p).alias(p + "b") for p in parts)), "b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,31 +164,36 @@ def _similar(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
             first, second = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 x, y = (c[i].values.to_numpy().view(np.uint64) for c in (first, second))
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                similarity = common / (len(x) + len(y) - common)
+                if weighted:
+                    wx, wy = (batch.column(k)[i].values.to_numpy() for k in (4, 5))
+                    similarity = probability_jaccard(x, wx, y, wy)
+                else:
+                    at = np.searchsorted(y, x)
+                    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                    similarity = common / (len(x) + len(y) - common)
                 if similarity >= threshold:
                     keep.append(i)
                     found.append(similarity)
             part = batch.select([0, 1]).take(pa.array(keep, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
-    compared = joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, similarity double")
+    compared = joined.select("a", "b", *(p + side for p in parts for side in "ab")).mapInArrow(compare, "a long, b long, similarity double")
     return compared.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """``doc_id``, ``class_id`` and ``n_links`` of every row of ``docs``.
 
     ``class_id`` is the smallest id among the documents that chains of links join: equal texts, and texts of
     similarity ``threshold`` or more. ``n_links`` counts the verified links of the text to different ones.
+    The similarity is that of sets; if ``weighted``, the probability Jaccard of shingles weighing as often as they occur.
     A text without words (null, empty or blank) links to nothing and is a class of its own. Rows that repeat an id
     share what any of their texts links to; a row whose id is null has a null class and no links.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     source = source.withColumn("digest", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    marked = checkpointed(_bands(source, bands, rows))
+    marked = checkpointed(_bands(source, bands, rows, weighted))
     members = marked.where("bands IS NOT NULL AND id IS NOT NULL")
     # One document stands for all of equal text: the smallest id of the digest.
     # (Aggregates are stored before they are joined: only then can a hot key of the other side be split.)
@@ -189,14 +211,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     buckets = checkpointed(shared.join(heads, ["band", "hash"]).select("id", "band", "hash", "head"))
     texts = source.where("id IS NOT NULL")
     tried = checkpointed(buckets.where("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
-    links = checkpointed(_similar(tried, texts, threshold))
+    links = checkpointed(_similar(tried, texts, threshold, weighted))
     while True:
         classes = components(links)
         met = _plausible(buckets.select("id", "band", "hash"), classes, distinct.select("id", "signature"), bands * rows)
         left = checkpointed(met.join(tried, ["a", "b"], "left_anti"))
         if not left.limit(1).count():
             break
-        found = checkpointed(_similar(left, texts, threshold))
+        found = checkpointed(_similar(left, texts, threshold, weighted))
         tried = tried.unionByName(left)
         if not found.limit(1).count():
             break

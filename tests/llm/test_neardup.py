@@ -88,6 +88,33 @@ def test_large_group_of_near_copies_equals_brute_force(docs_of, base):
     assert got == brute(rows)
 
 
+def repeats(rng, n=40):
+    """Pairs of texts that hold the same passages, one of them 1 to 20 times."""
+    rows = []
+    for k in range(n):
+        words = [f"r{x}" for x in rng.integers(0, 10**9, 110)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:60] * (1, 5, 10, 20)[k % 4] + words[60:]))]
+    return rows
+
+
+def test_texts_that_differ_in_how_often_a_passage_repeats(docs_of):
+    rows = repeats(np.random.default_rng(13))
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs_of(rows)).collect()}
+    assert got == brute(rows) == {k: k - k % 2 for k in range(80)}
+
+
+def test_weighted_option_verifies_the_weighted_similarity(docs_of):
+    rng = np.random.default_rng(14)
+    for _ in range(20):
+        x, y = (dict(zip(rng.permutation(30)[:20].tolist(), rng.integers(1, 6, 20).tolist())) for _ in range(2))
+        expected = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+        (a, wa), (b, wb) = (map(np.array, zip(*sorted(d.items()))) for d in (x, y))
+        assert abs(nd.probability_jaccard(a, wa, b, wb) - expected) < 1e-9
+    rows = repeats(rng)
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs_of(rows), weighted=True).collect()}
+    assert got == {k: k - k % 2 if k // 2 % 4 == 0 else k for k in range(80)}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(500, 400), (400, 500), (7, 7)], "a long, b long")
     got = {r["id"]: r["class"] for r in components(links).collect()}
