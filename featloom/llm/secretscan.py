@@ -29,9 +29,13 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-# Runs that are scored, and characters that a run may consist of.
-LEAST = 16
+# Shortest runs that are scored, as short as base credentials may be, and characters that a run may consist of.
+LEAST = 6
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
+# Characters that may join a run to a base find.
+JOINS = "=/.-"
+# Verdicts on runs that a task remembers.
+REMEMBERED = 200_000
 # Labelled credentials of each kind, and ordinary runs, that a fit uses at most: those of the smallest hashes.
 MAX_LABELLED = 600
 # Chance of keeping two equal states apart, and log odds a character by which a run must surpass ordinary ones at least.
@@ -153,7 +157,7 @@ class Formats:
         total = sum(counts.values())
         self.common = {c: math.log((n + 1) / (total + 128)) for c, n in counts.items()}
         self.rare = -math.log(total + 128)
-        self.automata, self.least = [], []
+        self.automata, self.least, self.verdicts = [], [], {}
         for kind in sorted(labelled):
             words = sorted(labelled[kind])
             held, used = words[::3], [w for k, w in enumerate(words) if k % 3]
@@ -165,7 +169,8 @@ class Formats:
             self.least.append(max(MARGIN, scores[len(scores) // 10] if scores else math.inf))
 
     def _against(self, automaton: State, word: str) -> float:
-        return (log_likelihood(automaton, word) - sum(self.common.get(c, self.rare) for c in word)) / len(word)
+        likelihood = log_likelihood(automaton, word)
+        return likelihood if likelihood == -math.inf else (likelihood - sum(self.common.get(c, self.rare) for c in word)) / len(word)
 
     def tables(self) -> tuple:
         return self.common, self.rare, self.automata, self.least
@@ -174,10 +179,17 @@ class Formats:
     def of(cls, tables: tuple) -> Formats:
         out = cls.__new__(cls)
         out.common, out.rare, out.automata, out.least = tables
+        out.verdicts = {}
         return out
 
     def accepts(self, word: str) -> bool:
-        return any(self._against(a, word) >= least for a, least in zip(self.automata, self.least))
+        verdict = self.verdicts.get(word)
+        if verdict is None:
+            verdict = any(self._against(a, word) >= least for a, least in zip(self.automata, self.least))
+            if len(self.verdicts) >= REMEMBERED:
+                self.verdicts.clear()
+            self.verdicts[word] = verdict
+        return verdict
 
 
 def _rank(word: str) -> bytes:
@@ -199,7 +211,7 @@ def fit_formats(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LAB
             for t in batch.column(0).to_pylist():
                 spans = base_spans(t or "")
                 found = [(s[2], credential(t, s)) for s in spans]
-                found += [("ordinary", m[0]) for m in RUN.finditer(t or "") if not _touches(m, spans)]
+                found += [("ordinary", t[s:e]) for s, e in runs(t or "", spans)]
                 for kind, word in found:
                     best.setdefault(kind, set()).add(word)
             best = {kind: first(words) if len(words) > 8 * max_labelled else words for kind, words in best.items()}
@@ -213,15 +225,34 @@ def fit_formats(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LAB
     return Formats(labelled, labelled.pop("ordinary"))
 
 
-def _touches(match: re.Match, spans: list[tuple[int, int, str]]) -> bool:
-    return any(s < match.end() and match.start() < e for s, e, _ in spans)
+def runs(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Start and end of the runs outside of base spans; what such a span leaves of a run is one, without the character that joined it."""
+    ordered, k = sorted((s, e) for s, e, _ in spans), 0
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        while k < len(ordered) and ordered[k][1] <= start:
+            k += 1
+        at, cut, i = start, False, k
+        while i < len(ordered) and ordered[i][0] < end:
+            s, e = ordered[i]
+            if s > at:
+                part = at + (cut and text[at] in JOINS), s - (text[s - 1] in JOINS)
+                if part[1] - part[0] >= LEAST:
+                    yield part
+            if e > at:
+                at, cut = e, True
+            i += 1
+        if at < end:
+            at += cut and text[at] in JOINS
+            if end - at >= LEAST:
+                yield at, end
 
 
 def find_secrets(docs: DataFrame, formats: Formats, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``secrets``: start, end (code points, end exclusive) and kind of each find.
 
-    Finds stand by start, then by kind in the order of ``KINDS``. Kind ``format`` marks runs that only the automata know; they
-    do not overlap base finds. A null text has none. The added name takes underscores if ``docs`` has it already.
+    Finds stand by start, then by kind in the order of ``KINDS``. Kind ``format`` marks runs, or what base finds
+    leave of them, that only the automata know; they do not overlap base finds. A null text has none. The added name takes underscores if ``docs`` has it already.
     """
     name = unused("secrets", docs)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(formats.tables()))
@@ -233,7 +264,7 @@ def find_secrets(docs: DataFrame, formats: Formats, text: str = "text") -> DataF
             out = []
             for t in batch.column(text).to_pylist():
                 spans = base_spans(t or "")
-                more = [(m.start(), m.end(), "format") for m in RUN.finditer(t or "") if not _touches(m, spans) and known.accepts(m[0])]
+                more = [(s, e, "format") for s, e in runs(t or "", spans) if known.accepts(t[s:e])]
                 out.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted(spans + more, key=lambda x: (x[0], KINDS.index(x[2])))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, name])
 

@@ -61,6 +61,23 @@ def test_formats_add_spans_and_keep_base_ones(leaked):
     assert sum(s.kind == "format" for r in rows for s in r.secrets) == 1
 
 
+def test_short_credentials_and_rests_of_runs(docs_of):
+    rng = random.Random(10)
+    made = ["".join(rng.choice("0123456789") for _ in range(9)) for _ in range(300)]
+    rows = [(k, f"several ordinary phrases containing lengthy vocabulary{rng.randrange(10**6)} everywhere, password: {w}") for k, w in enumerate(made)]
+    hexed = "deadbeef" * 3
+    rows += [(1000, f"bare {made[0][::-1]} value"), (1001, f"x {hexed}/{made[1][::-1]} y"), (1002, f"{made[2][::-1]}.{hexed} z {hexed}"), (1003, f"x {hexed}/ordinary y")]
+    docs = docs_of(rows)
+    got = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == "format"] for r in sc.find_secrets(docs, sc.fit_formats(docs)).collect()}
+    assert {k: v for k, v in got.items() if v} == {1000: [(5, 14)], 1001: [(27, 36)], 1002: [(0, 9)]}
+
+
+def test_runs_outside_of_base_spans():
+    text = "aaaaaa/BBBBBBBB-cccccc.DDDDDDDD==eeeeee ffffff ggggg BBBBBB"
+    spans = [(7, 15, "hex"), (9, 12, "access"), (23, 31, "hex"), (53, 59, "hex")]
+    assert [text[s:e] for s, e in sc.runs(text, spans)] == ["aaaaaa", "cccccc", "=eeeeee", "ffffff"]
+
+
 def test_empty_table(docs_of):
     assert sc.find_secrets(docs_of([]), sc.fit_formats(docs_of([]))).count() == 0
 
