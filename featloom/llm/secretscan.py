@@ -36,7 +36,7 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 JOINS = "=/.-"
 # Verdicts on runs that a task remembers.
 REMEMBERED = 200_000
-# Labelled credentials of each kind, and ordinary runs, that a fit uses at most: those of the smallest hashes.
+# Labelled credentials of each kind that a fit uses at most: those of the smallest hashes.
 MAX_LABELLED = 600
 # Chance of keeping two equal states apart, and log odds a character by which a run must surpass ordinary ones at least.
 ALPHA, MARGIN = 0.01, 0.25
@@ -150,10 +150,9 @@ def log_likelihood(table: list, word: str) -> float:
 
 
 class Formats:
-    """Automata of the kinds, ordinary characters, and the score that credentials reach."""
+    """Automata of the kinds, ordinary characters by how often they occur, and the score that credentials reach."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: Sequence[str]):
-        counts = Counter(c for run in ordinary for c in run)
+    def __init__(self, labelled: dict[str, list[str]], counts: dict[str, int]):
         total = sum(counts.values())
         self.common = {c: math.log((n + 1) / (total + 128)) for c, n in counts.items()}
         self.rare = -math.log(total + 128)
@@ -197,12 +196,14 @@ def _rank(word: str) -> bytes:
 
 
 def fit_formats(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LABELLED) -> Formats:
-    """Automata from the base finds in all texts: of each kind, and of ordinary runs, at most ``max_labelled`` different ones.
+    """Automata from the base finds in all texts, of each kind at most ``max_labelled`` different ones, and the characters of all ordinary runs.
 
-    A task hands on no more than that many of each, those of the smallest hashes, which hold the smallest of all.
+    A task hands on no more than that many of each, those of the smallest hashes, which hold the smallest of all, and
+    one count for each character.
     """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, set[str]] = {}
+        ordinary: Counter[str] = Counter()
 
         def first(words: set[str]) -> set[str]:
             return set(sorted(words, key=_rank)[:max_labelled])
@@ -210,19 +211,21 @@ def fit_formats(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LAB
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 spans = base_spans(t or "")
-                found = [(s[2], credential(t, s)) for s in spans]
-                found += [("ordinary", t[s:e]) for s, e in runs(t or "", spans)]
-                for kind, word in found:
-                    best.setdefault(kind, set()).add(word)
+                for s in spans:
+                    best.setdefault(s[2], set()).add(credential(t, s))
+                ordinary.update("".join([t[s:e] for s, e in runs(t or "", spans)]))
             best = {kind: first(words) if len(words) > 8 * max_labelled else words for kind, words in best.items()}
-        rows = [(kind, word) for kind, words in best.items() for word in first(words)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["kind", "word"])
+        rows = [(kind, word, 1) for kind, words in best.items() for word in first(words)] + [("ordinary", c, n) for c, n in ordinary.items()]
+        types = {"kind": pa.string(), "word": pa.string(), "n": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=[*types])
 
-    found = checkpointed(docs.select(F.col(text)).mapInArrow(find, "kind string, word string")).distinct()
+    handed = checkpointed(docs.select(F.col(text)).mapInArrow(find, "kind string, word string, n long"))
+    counts = {r.word: r.n for r in handed.where("kind = 'ordinary'").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    found = handed.select("kind", "word").distinct()
     rank = F.substring(F.sha2("word", 256), 1, 16)
     labelled = {kind: [r.word for r in found.where(F.col("kind") == kind).orderBy(rank, "word").limit(max_labelled).collect()]
-                for kind in (*KINDS[:3], "ordinary")}
-    return Formats(labelled, labelled.pop("ordinary"))
+                for kind in KINDS[:3]}
+    return Formats(labelled, counts)
 
 
 def runs(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:

@@ -78,6 +78,16 @@ def test_runs_outside_of_base_spans():
     assert [text[s:e] for s, e in sc.runs(text, spans)] == ["aaaaaa", "cccccc", "=eeeeee", "ffffff"]
 
 
+def test_characters_of_all_ordinary_runs_count(docs_of):
+    """Also those beyond the bound of labelled credentials, as often as they occur."""
+    rng = random.Random(11)
+    texts = [f"token=abc{k}def {'ordinary ' * (k % 3)}" + "".join(rng.choice("ghijklmn01") for _ in range(12)) for k in range(900)]
+    formats = sc.fit_formats(docs_of(list(enumerate(texts))).repartition(5), max_labelled=50)
+    counts = sc.Counter(c for t in texts for w in t.split()[1:] for c in w)
+    total = sum(counts.values()) + 128
+    assert formats.common == pytest.approx({c: math.log((n + 1) / total) for c, n in counts.items()}) and formats.rare == -math.log(total)
+
+
 def test_empty_table(docs_of):
     assert sc.find_secrets(docs_of([]), sc.fit_formats(docs_of([]))).count() == 0
 
