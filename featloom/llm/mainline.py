@@ -30,6 +30,7 @@ APART = frozenset("nav footer aside form button dialog menu fieldset head".split
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An open element of the first kind ends where one of the second begins.
 ENDS_AT = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
            "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
@@ -52,6 +53,7 @@ class Line:
     boiler: bool
     inside: bool  # of an article
     linked: int  # characters in links
+    heading: bool = False
 
 
 def lines_of(page: str) -> list[Line]:
@@ -59,25 +61,26 @@ def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # element, whether it is boilerplate, whether it is an article
     pieces_of: list[str] = []
-    boiler = article = 0
+    boiler = article = headings = 0
     links = linked = 0
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(pieces_of)).split())
         if text:
-            out.append(Line(text, boiler > 0, article > 0, linked))
+            out.append(Line(text, boiler > 0, article > 0, linked, headings > 0))
         pieces_of.clear()
         linked = 0
 
     def close(count: int) -> None:
-        nonlocal boiler, article, links
+        nonlocal boiler, article, links, headings
         for name, was_boiler, was_article in stack[len(stack) - count:][::-1]:
             if name in BLOCKS or was_boiler:
                 end_line()
             boiler -= was_boiler
             article -= was_article
             links -= name == "a"
+            headings -= name in HEADINGS
         del stack[len(stack) - count:]
 
     at, size = 0, len(page)
@@ -122,6 +125,7 @@ def lines_of(page: str) -> list[Line]:
         boiler += is_boiler
         article += is_article
         links += name == "a"
+        headings += name in HEADINGS
     end_line()
     return out
 
@@ -157,12 +161,13 @@ def main_text(page: str | None) -> str:
     marked = any(x.inside and not x.boiler for x in lines)
     # A line of links alone, as in menus without any marking, weighs nothing outside of articles.
     counts = [0 if x.boiler or marked and not x.inside else len(x.text) if x.inside else max(0, len(x.text) - 2 * x.linked) for x in lines]
-    return "\n\n".join(lines[k].text for start, end in _texts(counts, marked) for k in range(start, end) if counts[k])
+    return "\n\n".join(lines[k].text for start, end in _texts(lines, counts, marked) for k in range(start, end) if counts[k])
 
 
-def _texts(counts: list[int], marked: bool) -> list[tuple[int, int]]:
+def _texts(lines: list[Line], counts: list[int], marked: bool) -> list[tuple[int, int]]:
     """Ranges of lines from a surge to the dive after it.
 
+    Known boilerplate inside a text does not part it, and headings right before a text belong to it.
     In a marked article everything is one text, as nothing else is left. A page that never surges has its longest line.
     """
     sums = [sum(counts[k:k + WINDOW]) for k in range(len(counts))]
@@ -171,15 +176,19 @@ def _texts(counts: list[int], marked: bool) -> list[tuple[int, int]]:
         if not counts[k] or sums[k] < SURGE and not marked:
             k += 1
             continue
-        start, last = k, k
-        while k < len(counts) and k - last <= (len(counts) if marked else GAP):
+        start = before = k
+        while before > (found[-1][1] if found else 0) and (lines[before - 1].boiler or lines[before - 1].heading and counts[before - 1]):
+            before -= 1
+            if counts[before]:
+                start = before
+        last, empty = k, 0
+        while k < len(counts) and (marked or empty <= GAP):
             if counts[k]:
-                last = k
+                last, empty = k, 0
+            else:
+                empty += not lines[k].boiler
             k += 1
         found.append((start, last + 1))
-    # Texts apart from each other all count, but for those of less than a fifth of the largest.
-    held = [sum(counts[a:b]) for a, b in found]
-    found = [r for r, n in zip(found, held) if 5 * n >= max(held)]
     return found or [(k, k + 1) for k, n in enumerate(counts) if n == max(counts) > 0][:1]
 
 

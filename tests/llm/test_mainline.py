@@ -46,6 +46,16 @@ def test_surge_and_dive_leave_link_lists():
     assert ml.main_text(menu + text + menu).split("\n\n") == [f"Paragraph {k} has words, and more words, in one line." for k in range(5)]
 
 
+def test_boxes_short_sections_and_headings_of_unmarked_articles():
+    box = '<div class="related"><ul>' + "".join(f"<li><a href='/{k}'>Other story {k}</a></li>" for k in range(7)) + "</ul></div>"
+    links = "<div>" + "".join(f'<div><a href="/{k}">Entry number {k}</a></div>' for k in range(9)) + "</div>"
+    long = [f"Paragraph {k} has words, and more words, in one line." for k in range(20)]
+    page = ("<h1>Top</h1><h2>Sub</h2><p>By me</p>" + "".join(f"<p>{x}</p>" for x in long) + box + "<h2>End</h2><p>So it ends.</p>" + links
+            + "<p>A short chapter behind unmarked links stays too.</p>")
+    expected = ["Top", "Sub", "By me", *long, "End", "So it ends.", "A short chapter behind unmarked links stays too."]
+    assert ml.main_text(f"<body><div>{page}</div></body>").split("\n\n") == expected
+
+
 def test_table_with_odd_rows(spark):
     rows = [(1, "u", PAGE % f"<article>{BODY}</article>", 5), (1, "u", None, 6), (None, None, "", 7)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
