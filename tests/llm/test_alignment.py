@@ -1,0 +1,96 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from featloom.llm import alignment as al
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def brute(rows):
+    """Figures by plain loops over the libraries' tokens of one text at a time."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer, decoders
+
+    first, second = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B)
+    first.encode_special_tokens = True
+    assert decoders.ByteLevel().decode(["Ġa"]) == " a"
+    alphabet = al._byte_alphabet()
+    docs, counts = [], Counter()
+    for i, text in rows:
+        a = b = groups = ()
+        if text:
+            found = first.encode(" " + text, add_special_tokens=False)
+            ids_b = second.encode(text)
+            bytes_a = [bytes(alphabet[c] for c in t) for t in found.tokens]
+            names = [second.id_to_piece(k) for k in ids_b]
+            bytes_b = [bytes([int(p[3:-1], 16)]) if len(p) == 6 and p.startswith("<0x") else p.replace("▁", " ").encode() for p in names]
+            if b"".join(bytes_a) == b"".join(bytes_b) == (" " + text).encode():
+                a, b = list(zip(found.ids, bytes_a)), list(zip(ids_b, bytes_b))
+        ends = [{}, {}]
+        for side, tokens in enumerate((a, b)):
+            at = 0
+            for k, (_, raw) in enumerate(tokens):
+                at += len(raw)
+                ends[side][at] = k
+        cuts = sorted(set(ends[0]) & set(ends[1]))
+        links = [(a[ends[0][c]][0], b[ends[1][c]][0]) for c in cuts]
+        counts.update(links)
+        parts, p, q = [], 0, 0
+        for c in cuts:
+            parts.append(",".join(str(x) for x, _ in a[p:ends[0][c] + 1]) + "|" + ",".join(str(x) for x, _ in b[q:ends[1][c] + 1]))
+            p, q = ends[0][c] + 1, ends[1][c] + 1
+        docs.append((i, len(a), len(b), links, hashlib.sha256(";".join(parts).encode()).hexdigest() if parts else ""))
+    best = {}
+    for (_, y), n in counts.items():
+        best[y] = max(best.get(y, 0), n)
+    return sorted(((i, na, nb, len(links), len(links), sum(counts[x] == best[x[1]] for x in links), sum(counts[x] for x in links), sha)
+                   for i, na, nb, links, sha in docs), key=str)
+
+
+def test_galloping_finds_what_sets_find():
+    rng = random.Random(2)
+    for n, m, top in ((0, 5, 9), (5, 0, 9), (1, 1, 2), (300, 2000, 2500), (1000, 1000, 1500), (3, 100_000, 200_000), (2000, 2100, 10**6)):
+        a, b = (np.array(sorted(rng.sample(range(top), k)), np.int64) for k in (n, m))
+        at_a, at_b = al.common_ends(a, b)
+        assert a[at_a].tolist() == b[at_b].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+
+
+def test_overlaps_by_ranks():
+    a, b = np.array([2, 5, 9]), np.array([1, 5, 7, 9])
+    first, last = al.overlaps(a, b)
+    assert list(zip(first.tolist(), last.tolist())) == [(0, 1), (1, 1), (2, 3)]
+
+
+def test_numbers_are_written_in_decimal():
+    numbers = np.array([0, 7, 10, 99, 50256, 1234567890])
+    data, begins = al.written(numbers, np.full(6, ord(";"), np.uint8))
+    assert data.tobytes() == b"0;7;10;99;50256;1234567890;" and begins[-1] == len(data)
+
+
+ROWS = [(1, None), (2, ""), (3, " "), (4, "hello world"), (4, "hello world"), (5, "  two  spaces \n\n and\ttabs  "), (None, "naïve café — 日本語 🙂 don't I'll"),
+        (7, "<|endoftext|> <s> </s> <unk> <0x41>"), (8, "▁ is no space"), (9, "a" * 20_000), (10, "\x00\x01 odd  　 blanks"),
+        (11, "x " * 5000 + "end"), (12, "ﬁ ligature ① and Å")]
+
+
+def test_alignment_equals_brute_force(docs_of):
+    docs = docs_of(ROWS).selectExpr("*", "1 AS chunk", "2 AS id")
+    out = al.aligned(docs.repartition(3), A, B)
+    assert out.columns == COLUMNS and sorted((tuple(r) for r in out.collect()), key=str) == brute(ROWS)
+    by_id = {r.doc_id: r for r in out.collect()}
+    assert by_id[2].groups_sha256 == "" and by_id[8].n_a == 0 and by_id[4].n_links > 0
+
+
+def test_empty_tables_and_tables_without_tokens(docs_of):
+    assert al.aligned(docs_of([(1, "x")]).limit(0), A, B).count() == 0
+    assert [tuple(r) for r in al.aligned(docs_of([(1, None)]), A, B).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_query_equals_brute_force_on_the_whole_table(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sorted((tuple(r) for r in al.op12_token_alignment(spark, sf_dir).collect()), key=str) == brute(rows)
