@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .shared import checkpointed
 
-MAX_ROUNDS = 60
-
 
 def components(links: DataFrame) -> DataFrame:
     """``id`` and ``class`` (smallest id reachable) of every id in the columns ``a`` and ``b`` of ``links``.
@@ -22,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     both = checkpointed(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     classes = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
                            .select("id", F.least("id", "m").alias("class")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         seen = both.join(classes.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("m"))
         nearer = checkpointed(classes.join(seen, "id").select("id", F.col("class").alias("old"), F.least("class", "m").alias("class")))
         jump = nearer.select(F.col("id").alias("class"), F.col("class").alias("further"))
@@ -30,4 +28,3 @@ def components(links: DataFrame) -> DataFrame:
         classes = step.select("id", "class")
         if not step.where(F.col("old") != F.col("class")).limit(1).count():
             return classes
-    raise RuntimeError("links form chains longer than the rounds allow")

@@ -6,11 +6,12 @@ random component of the signature; a component keeps the shingle that arrived fi
 next arrival is later than all components' first ones. Two documents agree in a component with their probability
 Jaccard similarity, which for sets is the Jaccard similarity; the same similarity is verified.
 
-Equal texts count once. Documents that share a band of their signatures meet one document of that
-bucket, the one that shares most buckets with others. Where different classes remain in a bucket after that, the documents
-outside its largest class meet those of other classes in blocks: a task compares two blocks by signatures, and only pairs
-that may be similar go on to verification. So a bucket of many copies costs one verification a
-document, and no pair of a bucket is written unless it is likely to be a link.
+Equal texts count once. Documents that share a band of their signatures are a bucket. Each document goes to one head, of
+all documents of its buckets the one that shares most buckets with others; a head's documents are cut into blocks, and a task
+verifies a block and its head by their shingle sets. Where different classes remain in a bucket after that, the documents
+outside its largest class meet the others in blocks: first by signatures, which tell who may link across classes at all, then those
+by their sets. Tasks write only links that join classes, never pairs to be verified, so what a group of copies writes is in proportion to
+its documents, however many of them are similar. Comparisons inside tasks are quadratic where a bucket holds many documents that do not link.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checkpointed
+from .shared import checkpointed, unused
 from .textwords import mix, pieces, utf8, window_hashes, window_starts, word_hashes, word_spans
 
 SHINGLE = 5
@@ -31,10 +32,11 @@ THRESHOLD = 0.8
 # With similarity 0.8, two documents share no band once in 1,900 pairs; with 0.85, once in 230,000. Long bands keep
 # documents apart that share one common passage only.
 BANDS, ROWS = 32, 7
-# Pairs in blocks go on if they agree in this share of components: 3.7 standard deviations below the threshold.
-PLAUSIBLE = 0.7
-# Documents in a block of those outside the largest class, and of the members they meet.
-OUTSIDE, MEMBERS = 256, 1024
+# Documents may link if the share of components in which they agree is no further than this below the threshold: with 224
+# components 3.7 standard deviations, which one pair in 10,000 of exactly the threshold misses.
+SLACK = 0.1
+# Documents in a block of those of a head or outside the largest class, and of the members they meet; shingles in any block.
+OUTSIDE, MEMBERS, HASHES = 256, 1024, 1 << 20
 # Shingles whose arrivals are drawn together.
 BATCH = 200_000
 
@@ -111,21 +113,21 @@ def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.nda
 
 
 def _bands(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """``id``, ``digest`` of the text, the hash of each band (null for a text without words), and 16 bits of each component."""
+    """``id``, ``digest`` of the text, the hash of each band (null for a text without words), and 8 bits of each component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in pieces(whole, 2)):
             hashes, owners, weights = counted(*shingles(batch.column(2)))
             if not weighted:
                 weights = np.ones(len(hashes), np.int64)
             n = batch.num_rows
-            out, short = np.zeros((n, bands), np.uint64), np.zeros((n, bands * rows), np.uint16)
+            out, short = np.zeros((n, bands), np.uint64), np.zeros((n, bands * rows), np.uint8)
             ends = np.searchsorted(owners, np.arange(n + 1))
             start = 0
             while start < n:  # rows up to about a batch of shingles at a time
                 stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BATCH, "right")) - 1)
                 part = slice(ends[start], ends[stop])
                 made = signatures(hashes[part], owners[part] - start, weights[part], stop - start, bands * rows)
-                short[start:stop] = made & np.uint64(0xFFFF)
+                short[start:stop] = made & np.uint64(0xFF)
                 made = made.reshape(-1, bands, rows)
                 folded = np.zeros(made.shape[:2], np.uint64)
                 for k in range(rows):
@@ -141,44 +143,98 @@ def _bands(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
     return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest binary, bands array<long>, signature binary")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets of shingles, weighted or not, have the similarity, which is computed exactly."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, weighted: bool) -> DataFrame:
+    """``id``, the sorted shingle hashes ``s`` of its text, how often each occurs (``w``, if weighted), and their number ``n``."""
     parts = ["s", "w"] if weighted else ["s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in pieces(whole, 1)):
             hashes, owners, weights = counted(*shingles(batch.column(1)))
-            ends = pa.array(np.searchsorted(owners, np.arange(batch.num_rows + 1)).astype(np.int32))
-            sets = [pa.ListArray.from_arrays(ends, pa.array(v.view(np.int64))) for v in ((hashes, weights) if weighted else (hashes,))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sets], names=["id", *parts])
+            ends = np.searchsorted(owners, np.arange(batch.num_rows + 1)).astype(np.int32)
+            sets = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.view(np.int64))) for v in ((hashes, weights) if weighted else (hashes,))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sets, pa.array(np.diff(ends).astype(np.int64))], names=["id", *parts, "n"])
+
+    involved = docs.join(ids.hint("shuffle_hash"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "text")
+    return involved.mapInArrow(run, "id long" + "".join(f", {p} array<long>" for p in parts) + ", n long")
+
+
+class Block:
+    """Documents that meet in a task: ids, classes and shingle sets, one after another."""
+
+    def __init__(self, docs: pa.StructArray, weighted: bool):
+        self.ids, self.classes = (docs.field(k).to_numpy() for k in (0, 1))
+        sets = docs.field(2)
+        ends = sets.offsets.to_numpy().astype(np.int64)
+        self.flat = sets.values.to_numpy().view(np.uint64)[ends[0]:ends[-1]]
+        self.ends = ends - ends[0]
+        self.weights = docs.field(3).flatten().to_numpy() if weighted else None
+
+    def __add__(self, other: Block) -> Block:
+        out = Block.__new__(Block)
+        out.ids, out.classes, out.flat = (np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("ids", "classes", "flat"))
+        out.ends = np.concatenate([self.ends, other.ends[1:] + self.ends[-1]])
+        out.weights = None if self.weights is None else np.concatenate([self.weights, other.weights])
+        return out
+
+    def links(self, first: int, threshold: float) -> list[tuple[int, int, float]]:
+        """Links from the first documents to all: as many as join every two classes that any such link joins.
+
+        Documents are compared only while their classes are apart; a link joins them.
+        """
+        out, sizes = [], np.diff(self.ends)
+        distinct, local = np.unique(self.flat, return_inverse=True)
+        marked = np.zeros(len(distinct), bool)
+        of = self.classes.copy()
+        for i in range(first):
+            apart = np.flatnonzero((of != of[i]) & (self.ids != self.ids[i]))
+            if self.weights is None:  # no similarity is above that of the sizes
+                apart = apart[np.minimum(sizes[apart], sizes[i]) >= threshold * np.maximum(sizes[apart], sizes[i])]
+            if not len(apart):
+                continue
+            own = slice(self.ends[i], self.ends[i + 1])
+            marked[local[own]] = True
+            if 8 * len(apart) > len(sizes):
+                upto = np.concatenate([[0], np.cumsum(marked[local])])
+                common = upto[self.ends[apart + 1]] - upto[self.ends[apart]]
+            else:
+                common = np.array([np.count_nonzero(marked[local[self.ends[j]:self.ends[j + 1]]]) for j in apart])
+            marked[local[own]] = False
+            if self.weights is None:
+                similarity = common / (sizes[apart] + sizes[i] - common)
+            else:
+                similarity = np.array([self._weighted(i, j) if c else 0.0 for j, c in zip(apart, common)])
+            for k in np.argsort(-similarity, kind="stable"):
+                if similarity[k] < threshold:
+                    break
+                j = apart[k]
+                if of[j] != of[i]:
+                    out.append((int(self.ids[i]), int(self.ids[j]), float(similarity[k])))
+                    of[of == of[j]] = of[i]
+        return out
+
+    def _weighted(self, i: int, j: int) -> float:
+        a, b = (slice(self.ends[k], self.ends[k + 1]) for k in (i, j))
+        return probability_jaccard(self.flat[a], self.weights[a], self.flat[b], self.weights[b])
+
+
+def _links(met: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """``a``, ``b`` and ``similarity`` of the links between the documents of ``x`` and those of ``x`` and ``y`` in each row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                outer, inner = (Block(batch.column(k)[row].values, weighted) for k in (0, 1))
+                found += (outer + inner).links(len(outer.ids), threshold)
+            a, b, similarity = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64)),
+                                              pa.array(similarity, pa.float64())], names=["a", "b", "similarity"])
 
-    involved = docs.join(ids.hint("shuffle_hash"), "id").dropDuplicates(["id", "digest"]).select("id", "text")
-    sets = checkpointed(involved.mapInArrow(run, "id long" + "".join(f", {p} array<long>" for p in parts)))
-    joined = (pairs.join(sets.select(F.col("id").alias("a"), *(F.col(p).alias(p + "a") for p in parts)), "a")
-              .join(sets.select(F.col("id").alias("b"), *(F.col(p).alias(p + "b") for p in parts)), "b"))
+    return met.select("x", "y").mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, found = [], []
-            first, second = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = (c[i].values.to_numpy().view(np.uint64) for c in (first, second))
-                if weighted:
-                    wx, wy = (batch.column(k)[i].values.to_numpy() for k in (4, 5))
-                    similarity = probability_jaccard(x, wx, y, wy)
-                else:
-                    at = np.searchsorted(y, x)
-                    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    similarity = common / (len(x) + len(y) - common)
-                if similarity >= threshold:
-                    keep.append(i)
-                    found.append(similarity)
-            part = batch.select([0, 1]).take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=["a", "b", "similarity"])
-
-    compared = joined.select("a", "b", *(p + side for p in parts for side in "ab")).mapInArrow(compare, "a long, b long, similarity double")
-    return compared.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+def _blocks(of, number: int, size: str) -> Column:
+    """Blocks for a sum of documents and one of shingles; a document's block is the remainder of a hash of its id."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.when(of, 1)) / number), F.ceil(F.sum(F.when(of, F.col(size))) / HASHES))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD,
@@ -186,7 +242,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """``doc_id``, ``class_id`` and ``n_links`` of every row of ``docs``.
 
     ``class_id`` is the smallest id among the documents that chains of links join: equal texts, and texts of
-    similarity ``threshold`` or more. ``n_links`` counts the verified links of the text to different ones.
+    similarity ``threshold`` or more. ``n_links`` counts the links of a text to different ones among those that hold its class
+    together: a class of k different texts has k - 1 or a few more of them, and only a text alone in its class has none.
     The similarity is that of sets; if ``weighted``, the probability Jaccard of shingles weighing as often as they occur.
     A text without words (null, empty or blank) links to nothing and is a class of its own. Rows that repeat an id
     share what any of their texts links to; a row whose id is null has a null class and no links.
@@ -205,24 +262,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     banded = distinct.select("id", F.posexplode("bands").alias("band", "hash"))
     counts = checkpointed(banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"))
     shared = checkpointed(banded.join(counts, ["band", "hash"]))
-    degrees = shared.groupBy("id").agg(F.sum("n").alias("degree"))
-    ranked = shared.join(degrees, "id").groupBy("band", "hash").agg(F.max(F.struct("degree", (-F.col("id")).alias("less")))["less"].alias("less"))
-    heads = checkpointed(ranked.select("band", "hash", (-F.col("less")).alias("head")))
-    buckets = checkpointed(shared.join(heads, ["band", "hash"]).select("id", "band", "hash", "head"))
-    texts = source.where("id IS NOT NULL")
-    tried = checkpointed(buckets.where("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
-    links = checkpointed(_similar(tried, texts, threshold, weighted))
-    while True:
-        classes = components(links)
-        met = _plausible(buckets.select("id", "band", "hash"), classes, distinct.select("id", "signature"), bands * rows)
-        left = checkpointed(met.join(tried, ["a", "b"], "left_anti"))
-        if not left.limit(1).count():
-            break
-        found = checkpointed(_similar(left, texts, threshold, weighted))
-        tried = tried.unionByName(left)
-        if not found.limit(1).count():
-            break
-        links = links.unionByName(found)
+    degrees = checkpointed(shared.groupBy("id").agg(F.sum("n").alias("degree")))
+    sets = checkpointed(_sets(source, distinct.select("id", "digest").join(degrees.select("id"), "id"), weighted))
+    # Each document goes to one head: of the heads of its buckets the one that shares most.
+    ranked = shared.join(degrees, "id").groupBy("band", "hash").agg(F.max(F.struct("degree", (-F.col("id")).alias("less"))).alias("top"))
+    ranked = checkpointed(ranked)
+    chosen = shared.join(ranked, ["band", "hash"]).groupBy("id").agg((-F.max("top")["less"]).alias("head"))
+    chosen = checkpointed(chosen.where("id <> head"))
+    links = checkpointed(_links(_around(chosen, sets, weighted), threshold, weighted))
+
+    classes = components(links)
+    buckets = checkpointed(shared.join(classes, "id", "left").select("band", "hash", "id", F.coalesce("class", "id").alias("class")))
+    likely = checkpointed(_likely(buckets, distinct.select("id", "bands", "signature"), bands * rows, threshold))
+    more = checkpointed(_links(_across(likely, sets, weighted), threshold, weighted))
+    links = links.unionByName(more)
     classes = components(links.select("a", "b").unionByName(copies.select("a", "b")))
     counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     of_digest = distinct.select("digest", "id").join(counts, "id").select("digest", "n_links")
@@ -230,45 +283,87 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select(F.col("id").alias(doc_id), F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _plausible(buckets: DataFrame, classes: DataFrame, signatures: DataFrame, size: int) -> DataFrame:
-    """Pairs of one bucket and different classes, one outside the bucket's largest class, whose signatures agree enough."""
-    known = checkpointed(buckets.join(classes, "id", "left").select("band", "hash", "id", F.coalesce("class", "id").alias("class")))
-    sizes = known.groupBy("band", "hash", "class").count()
-    mixed = checkpointed(sizes.groupBy("band", "hash").agg(
-        F.count("*").alias("n"), F.max(F.struct("count", "class"))["class"].alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
-        .where("n > 1").select("band", "hash", "main", F.ceil((F.col("all") - F.col("most")) / OUTSIDE).alias("outer"),
-                               F.ceil(F.col("all") / MEMBERS).alias("inner")))
-    rows = checkpointed(known.join(mixed, ["band", "hash"]))
-    rows = checkpointed(rows.join(signatures, "id"))
-    doc = F.struct("id", "class", "signature")
+def _document(weighted: bool) -> Column:
+    return F.struct("id", "class", "s", *(["w"] if weighted else []))
+
+
+def _around(chosen: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
+    """Blocks ``x`` of the documents of each head, with the head itself as ``y``."""
+    known = sets.withColumn("class", F.col("id"))
+    rows = checkpointed(chosen.join(sets.select("id", "n"), "id"))
+    sizes = checkpointed(rows.groupBy("head").agg(_blocks(F.lit(True), OUTSIDE, "n").alias("blocks")))
+    cut = rows.join(sizes, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    x = checkpointed(cut).join(known, "id").groupBy("head", "block").agg(F.collect_list(_document(weighted)).alias("x"))
+    y = (sizes.select(F.col("head").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+         .join(known, "id").select(F.col("id").alias("head"), "block", F.array(_document(weighted)).alias("y")))
+    return x.join(y, ["head", "block"])
+
+
+def _meetings(rows: DataFrame, document: Column) -> DataFrame:
+    """Blocks ``x`` of the documents outside the largest class of a bucket, each with every block ``y`` of all of the bucket's.
 
-    def blocks(frame: DataFrame, number: str, name: str) -> DataFrame:
+    ``rows`` has ``band``, ``hash``, ``id``, ``class``, whether it is ``outside``, and the numbers of blocks ``outer`` and ``inner``.
+    """
+    def cut(frame: DataFrame, number: str, name: str) -> DataFrame:
         # a bucket is cut into blocks by a hash of the id, so that no task gathers all of it
-        cut = frame.withColumn("block", F.pmod(F.xxhash64("id"), F.col(number)))
-        return cut.groupBy("band", "hash", "block", "inner").agg(F.collect_list(doc).alias(name))
+        frame = frame.withColumn("block", F.pmod(F.xxhash64("id"), F.col(number)))
+        return frame.groupBy("band", "hash", "block", "inner").agg(F.collect_list(document).alias(name))
 
-    outside = (blocks(rows.where("class <> main"), "outer", "x").drop("block")
+    outside = (cut(rows.where("outside"), "outer", "x").drop("block")
                .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("inner") - 1))))
-    inside = blocks(rows, "inner", "y").drop("inner")
-    met = outside.join(inside, ["band", "hash", "block"]).select("x", "y")
+    return outside.join(cut(rows, "inner", "y").drop("inner"), ["band", "hash", "block"]).select("band", "hash", "x", "y")
+
+
+def _mixed(rows: DataFrame, size: str) -> DataFrame:
+    """The rows of buckets in which classes differ, marked by whether they are outside the largest class, and the blocks of the bucket."""
+    sizes = rows.groupBy("band", "hash", "class").agg(F.count("*").alias("docs"))
+    main = checkpointed(sizes.groupBy("band", "hash").agg(F.count("*").alias("n"), F.max(F.struct("docs", "class"))["class"].alias("main"))
+                        .where("n > 1").drop("n"))
+    marked = checkpointed(rows.join(main, ["band", "hash"]).withColumn("outside", F.col("class") != F.col("main")).drop("main"))
+    blocks = checkpointed(marked.groupBy("band", "hash").agg(_blocks(F.col("outside"), OUTSIDE, size).alias("outer"),
+                                                             _blocks(F.lit(True), MEMBERS, size).alias("inner")))
+    return marked.join(blocks, ["band", "hash"])
+
+
+def _likely(buckets: DataFrame, signatures: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``band``, ``hash``, ``id`` and ``class`` of documents that may link to one of another class in the bucket.
+
+    Two documents meet in the first band that they share only. They may link if they agree in nearly as many components as the
+    threshold has them agree on average.
+    """
+    rows = checkpointed(_mixed(buckets.withColumn("one", F.lit(1)), "one").drop("one"))
+    met = _meetings(rows.join(signatures, "id"), F.struct("id", "class", "bands", "signature"))
+    least = size * (threshold - SLACK)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(docs: pa.StructArray):
-            ids, of, marks = (docs.field(k) for k in range(3))
-            return ids.to_numpy(), of.to_numpy(), np.frombuffer(b"".join(marks.to_pylist()), np.uint16).reshape(-1, size)
+            ids, of, bands, marks = (docs.field(k) for k in range(4))
+            return (ids.to_numpy(), of.to_numpy(), bands.flatten().to_numpy().reshape(len(ids), -1),
+                    np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(ids), size))
 
         for batch in batches:
-            found = set()
-            for x, y in zip(batch.column(0), batch.column(1)):
-                (ids, of, marks), (others, theirs, known) = parts(x.values), parts(y.values)
+            for row in range(batch.num_rows):
+                band = batch.column(0)[row].as_py()
+                (ids, of, bands, marks), (others, theirs, known, signs) = (parts(batch.column(k)[row].values) for k in (2, 3))
+                found, mine = np.zeros(len(others), bool), np.zeros(len(ids), bool)
                 for k in range(len(ids)):
-                    agree = (known == marks[k]).sum(axis=1)
-                    for other in others[(agree >= PLAUSIBLE * size) & (theirs != of[k])]:
-                        found.add((min(ids[k], other), max(ids[k], other)))
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    at = np.flatnonzero(theirs != of[k])
+                    at = at[(signs[at] == marks[k]).sum(axis=1) >= least]
+                    at = at[~(known[at, :band] == bands[k, :band]).any(axis=1)]
+                    found[at] = True
+                    mine[k] = len(at) > 0
+                both = np.concatenate([ids[mine], others[found]])
+                n = len(both)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, band, np.int32)), pa.array(np.full(n, batch.column(1)[row].as_py(), np.int64)),
+                                                  pa.array(both), pa.array(np.concatenate([of[mine], theirs[found]]))], names=["band", "hash", "id", "class"])
+
+    return met.select("band", "hash", "x", "y").mapInArrow(compare, "band int, hash long, id long, class long").distinct()
+
 
-    return met.mapInArrow(compare, "a long, b long").distinct()
+def _across(likely: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
+    """Blocks of likely documents, with their sets, that meet across the classes of their bucket."""
+    rows = checkpointed(_mixed(likely.join(sets.select("id", "n"), "id"), "n").drop("n"))
+    return _meetings(rows.join(sets.drop("n"), "id"), _document(weighted))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
@@ -277,8 +372,9 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
     Of rows that repeat the id of a class, one whole row stays if their texts are equal.
     """
     classes = near_duplicates(docs, text, doc_id, **options)
-    gone = classes.where(f"`{doc_id}` <> class_id").select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    name = unused("gone", docs)
+    gone = classes.where(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias(name)).distinct()
+    return docs.join(gone, docs[doc_id] == gone[name], "left_anti")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,37 @@ def test_odd_rows(docs_of, base):
     assert kept.columns == docs_of(rows).columns
 
 
+def test_clashing_columns(docs_of):
+    docs = docs_of([(1, "a b c"), (2, "a b c"), (3, None)]).selectExpr("*", "1 AS gone", "2 AS class_id", "3 AS id", "4 AS __gone")
+    kept = nd.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_blocks_find_links_between_all_classes():
+    """Whatever the classes to begin with, the links of a block and the classes join what all links of its first documents join."""
+    rng = np.random.default_rng(21)
+    for trial in range(30):
+        base = rng.integers(1, 2**62, 40).astype(np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[:rng.integers(30, 40)], rng.integers(1, 2**62, rng.integers(0, 6)).astype(np.uint64)]))
+                for _ in range(20)]
+        classes = rng.integers(0, 12, 20)
+        block = nd.Block.__new__(nd.Block)
+        block.ids, block.classes, block.weights = np.arange(20), classes.copy(), None
+        block.flat, block.ends = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        first = int(rng.integers(1, 21))
+
+        def joined(links):
+            of = classes.copy()
+            for i, j in links:
+                of[of == of[j]] = of[i]
+            return len(set(of.tolist())), [bool(of[i] == of[j]) for i in range(20) for j in range(i)]
+        every = [(i, j) for i in range(first) for j in range(20) if i != j
+                 and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
+        found = [(i, j) for i, j, _ in block.links(first, 0.8)]
+        assert joined(found) == joined(every) and len(found) < 12
+        assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in every}
+
+
 def test_empty_table(docs_of):
     assert nd.near_duplicates(docs_of([])).count() == 0 and nd.deduplicated(docs_of([])).count() == 0
 
@@ -84,8 +115,25 @@ def test_large_group_of_near_copies_equals_brute_force(docs_of, base):
     """Many copies of one text with few to many edits: links, chains and leftovers."""
     rng = np.random.default_rng(11)
     rows = [(k, edited(rng, base, int(rng.integers(0, 7)))) for k in range(300)]
-    got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs_of(rows)).collect()}
-    assert got == brute(rows)
+    out = nd.near_duplicates(docs_of(rows)).collect()
+    assert {r.doc_id: r.class_id for r in out} == brute(rows)
+    texts = {}
+    for i, c in brute(rows).items():
+        texts.setdefault(c, set()).add(rows[i][1])
+    for r in out:  # linked to a different text, if there is one in the class
+        assert (r.n_links > 0) == (len(texts[r.class_id]) > 1)
+    assert sum(r.n_links for r in out) < 8 * len(rows)
+
+
+def test_many_blocks_of_a_bucket_equal_brute_force(docs_of, base, monkeypatch):
+    """Small blocks, and a text with more shingles than one holds."""
+    monkeypatch.setattr(nd, "OUTSIDE", 5)
+    monkeypatch.setattr(nd, "MEMBERS", 7)
+    monkeypatch.setattr(nd, "HASHES", 900)
+    rng = np.random.default_rng(12)
+    long = [f"v{k}" for k in rng.integers(0, 10**6, 2000)]
+    rows = [(k, edited(rng, base, int(rng.integers(0, 8)))) for k in range(120)] + [(200 + k, edited(rng, long, 9 * k)) for k in range(8)]
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(docs_of(rows)).collect()} == brute(rows)
 
 
 def repeats(rng, n=40):
