@@ -14,9 +14,14 @@ have tokens. So nothing of the size of the corpus, or of the vocabularies' produ
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,10 @@ RUN = 256
 CHUNK = 4 << 20
 # Bits of an id in a pair.
 ID_BITS = 32
+# Bytes that a worker's remembered units take, and what each takes besides its characters and ids.
+REMEMBERED, ENTRY = 96 << 20, 100
+# Units that are encoded together.
+LEARN = 512
 
 
 def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +113,16 @@ class ByteLevel:
         self.table = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.table[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        self.lengths = np.array([len(t) for t in self.table])
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        cut = parts["pre_tokenizer"] or {}
+        # White space begins a piece unless it is one space before something else, which then is in that piece.
+        self.unitwise = (parts["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+                         and not cut.get("add_prefix_space") and all(t["special"] for t in parts["added_tokens"]))
 
-    def __call__(self, texts: list[str]) -> Tokens:
-        found = self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return _joined([e.ids for e in found], self)
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text behind a space."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -120,44 +134,151 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.table = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-        self.lengths = np.array([len(t) for t in self.table])
+        # No piece goes on behind a space.
+        self.unitwise = not any("▁" in p.lstrip("▁") for p in names)
 
-    def __call__(self, texts: list[str]) -> Tokens:
-        return _joined(self.model.encode(texts, num_threads=1), self)
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
-def _joined(ids: list[list[int]], of) -> Tokens:
+class Encoders:
+    """Two tokenizers that encode the same texts, each behind a space.
+
+    Where both treat a space between two visible characters as the begin of what follows it, texts are cut there into
+    units, and each distinct unit is encoded once and remembered, in ``REMEMBERED`` bytes. Other tokenizers encode whole texts.
+    """
+
+    def __init__(self, a: str, b: str):
+        self.sides = ByteLevel(a), Pieces(b)
+        self.unitwise = all(side.unitwise for side in self.sides)
+        self.lengths = [np.array([len(t) for t in side.table]) for side in self.sides]
+        self._forget()
+
+    def _forget(self) -> None:
+        # numbers of units, and words that do not begin and end visibly
+        self.number, self.odd, self.held = {}, set(), 0
+        # ids of the units one after another, where each unit's begin, and whether both sides give it back
+        self.ids, self.begins, self.faithful = [array("i"), array("i")], [array("q", [0]), array("q", [0])], bytearray()
+
+    def _learn(self, units: list[bytes]) -> None:
+        for start in range(0, len(units), LEARN):
+            some = units[start:start + LEARN]
+            texts, whole = [u.decode() for u in some], b" " + b" ".join(some)
+            ends = np.cumsum([len(u) + 1 for u in some])
+            faithful = np.ones(len(some), bool)
+            for side, n, ids, begins in zip(self.sides, self.lengths, self.ids, self.begins):
+                # Units stand side by side as in a text; unless their tokens give them back, each is encoded alone.
+                found = np.array(side.ids([whole[1:].decode()])[0], np.int32)
+                upto = np.cumsum(n[found])
+                last = np.searchsorted(upto, ends)
+                if b"".join([side.table[i] for i in found.tolist()]) == whole and (upto[last] == ends).all():
+                    begins.extend((last + 1 + len(ids)).tolist())
+                    ids.extend(found.tolist())
+                    continue
+                for k, alone in enumerate(side.ids(texts)):
+                    ids.extend(alone)
+                    begins.append(len(ids))
+                    faithful[k] &= b"".join([side.table[i] for i in alone]) == b" " + some[k]
+            self.faithful.extend(faithful.tobytes())
+            first = len(self.number)
+            self.number.update(zip(some, range(first, first + len(some))))
+            self.held += len(whole) * 4 + ENTRY * len(some)
+
+    def _units(self, text: bytes) -> list[bytes]:
+        """Units of a text: its words, with those joined again between which there is not one space and two visible characters."""
+        out, clean = [], False
+        for word in text.split(b" "):
+            chars = word.decode()
+            if clean and chars and _visible(chars[0]):
+                out.append([word])
+            elif out:
+                out[-1].append(word)
+            else:
+                out.append([word])
+            clean = bool(chars) and _visible(chars[-1])
+        return [b" ".join(words) for words in out]
+
+    def __call__(self, texts: list[bytes]) -> tuple[Tokens, Tokens, np.ndarray]:
+        """Tokens of both sides, and whether they give a text back; an empty text has none and is not given back."""
+        some = np.array([bool(t) for t in texts], bool)
+        if not self.unitwise:
+            made = [_joined(side.ids([t.decode() for t in texts]), side.table, n, texts) for side, n in zip(self.sides, self.lengths)]
+            doubtful = np.flatnonzero(some)
+        else:
+            if self.held > REMEMBERED:
+                self._forget()
+            words = [t.split(b" ") if t else [] for t in texts]
+            odd = {w for w in set().union(*words).difference(self.number, self.odd) if not _clean(w)}
+            self.odd |= odd
+            self.held += sum(map(len, odd)) + ENTRY * len(odd)
+            units = [w if self.odd.isdisjoint(w) else self._units(t) for t, w in zip(texts, words)]
+            self._learn(list(set().union(*units).difference(self.number)))
+            rows = np.concatenate([[0], np.cumsum([len(us) for us in units], dtype=np.int64)])
+            numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(units)), np.int64, rows[-1])
+            made = [_gathered(np.frombuffer(ids, np.int32), np.frombuffer(begins, np.int64), numbers, rows, side.table, n)
+                    for ids, begins, side, n in zip(self.ids, self.begins, self.sides, self.lengths)]
+            lost = np.concatenate([[0], np.cumsum(np.frombuffer(self.faithful, np.uint8)[numbers] == 0)])
+            doubtful = np.flatnonzero(some & (lost[rows[1:]] > lost[rows[:-1]]))
+        for i in doubtful:
+            some[i] = made[0].text(i) == made[1].text(i) == b" " + texts[i]
+        return *made, some
+
+
+def _visible(c: str) -> bool:
+    """Whether no tokenizer takes a character for white space."""
+    return "!" <= c <= "~" or c.isalnum()
+
+
+_PLAIN = re.compile(rb"[!-~](?:.*[!-~])?", re.DOTALL)
+
+
+def _clean(word: bytes) -> bool:
+    if _PLAIN.fullmatch(word):
+        return True
+    chars = word.decode()
+    return bool(chars) and _visible(chars[0]) and _visible(chars[-1])
+
+
+def _gathered(ids: np.ndarray, begins: np.ndarray, numbers: np.ndarray, rows: np.ndarray, table: list[bytes], lengths: np.ndarray) -> Tokens:
+    """Tokens of texts from those of their units; ``rows`` tells where each text's units begin."""
+    counts = begins[numbers + 1] - begins[numbers]
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(upto[-1]) + np.repeat(begins[numbers] - upto[:-1], counts)
+    return Tokens(ids[at], upto[rows], table, lengths)
+
+
+def _joined(ids: list[list[int]], table: list[bytes], lengths: np.ndarray, texts: list[bytes]) -> Tokens:
+    ids = [x if t else [] for x, t in zip(ids, texts)]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
-    flat = np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in ids)])
-    return Tokens(flat, offsets, of.table, of.lengths)
+    return Tokens(np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in ids)]), offsets, table, lengths)
 
 
-def worker_tokenizers(a: str, b: str) -> tuple[ByteLevel, Pieces]:
+def worker_encoders(a: str, b: str) -> Encoders:
     """The two tokenizers of this Python worker, kept from task to task; they stay on the task's core."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
 
     kept = tokenizers.__dict__.setdefault("_aligned_by_path", {})
     if (a, b) not in kept:
         kept.clear()
-        kept[a, b] = ByteLevel(a), Pieces(b)
+        kept[a, b] = Encoders(a, b)
     return kept[a, b]
 
 
-_WIDEST = 10  # digits of a 32-bit number
-_TENS = 10 ** np.arange(_WIDEST, dtype=np.int64)
-
-
 def written(numbers: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the decimal numbers, each followed by its mark, and where each begins (and the end)."""
-    digits = np.maximum(np.searchsorted(_TENS, numbers, "right"), 1)
+    most = len(str(int(numbers.max(initial=0))))
+    digits = np.ones(len(numbers), np.int64)
+    for k in range(1, most):
+        digits += numbers >= 10**k
     begins = np.concatenate([[0], np.cumsum(digits + 1)])
     out = np.empty(begins[-1], np.uint8)
-    for k in range(int(digits.max(initial=0))):
-        at = digits > k
-        out[begins[1:][at] - 2 - k] = numbers[at] // _TENS[k] % 10 + 48
+    places, rest = begins[1:] - 2, numbers.astype(np.uint32)
+    for k in range(most):
+        if k:
+            wide = rest >= 10
+            places, rest = places[wide] - 1, rest[wide] // 10
+        out[places] = rest % 10 + 48
     out[begins[1:] - 1] = marks
     return out, begins
 
@@ -181,7 +302,7 @@ class Aligned:
             return [""] * (len(self.a.offsets) - 1)
         sides, sizes = np.tile([0, 1], n), np.stack(counts, axis=1).reshape(-1)
         ends = np.cumsum(sizes)
-        side_of, order = np.repeat(sides, sizes), np.empty(ends[-1], np.int64)
+        side_of, order = np.repeat(sides, sizes), np.empty(ends[-1], np.int32)
         order[side_of == 0], order[side_of == 1] = self.a.ids, self.b.ids
         marks = np.full(len(order), ord(","), np.uint8)
         marks[ends[0::2] - 1], marks[ends[1::2] - 1] = ord("|"), ord(";")
@@ -199,16 +320,12 @@ def _without(tokens: Tokens, fits: np.ndarray) -> Tokens:
     return Tokens(tokens.ids[keep], np.concatenate([[0], np.cumsum(counts * fits)]), tokens.table, tokens.lengths)
 
 
-def align(texts: list[str | None], first: ByteLevel, second: Pieces) -> Aligned:
-    """Common token ends of both tokenizers in each text behind one space; null, empty and refused texts have no tokens.
+def align(texts: list[bytes], encoders: Encoders) -> Aligned:
+    """Common token ends of both tokenizers in each UTF-8 text behind one space; empty and refused texts have no tokens.
 
     A text is refused where the joined bytes of either list are not those of the space and the text.
     """
-    some = [t or "" for t in texts]
-    a, b = first(some), second(some)
-    fits = np.zeros(len(some), bool)
-    for i, t in enumerate(some):
-        fits[i] = bool(t) and a.text(i) == b.text(i) == b" " + t.encode()
+    a, b, fits = encoders(texts)
     a, b = _without(a, fits), _without(b, fits)
     # Texts stand one after another, so offsets go on from text to text, and both lists end a text together.
     ends_a, ends_b = np.cumsum(a.lengths[a.ids]), np.cumsum(b.lengths[b.ids])
@@ -219,9 +336,9 @@ def align(texts: list[str | None], first: ByteLevel, second: Pieces) -> Aligned:
 def _chunks(docs: DataFrame, a: str, b: str) -> DataFrame:
     """A row for each chunk of texts: what is known of them without the corpus, and the chunk's id pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = worker_tokenizers(a, b)
+        encoders = worker_encoders(a, b)
         for batch in (part for whole in batches for part in pieces(whole, 1, CHUNK)):
-            made = align(batch.column(1).to_pylist(), *tokenizers)
+            made = align([t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()], encoders)
             n = batch.num_rows
             links = np.bincount(made.rows, minlength=n)
             linked = made.a.ids[made.at_a].astype(np.int64) << ID_BITS | made.b.ids[made.at_b]
@@ -259,8 +376,8 @@ def aligned(docs: DataFrame, a: str, b: str, text: str = "text", doc_id: str = "
     counted = checkpointed(pair_counts(chunks))
     answers = (asked.join(counted, "pair").groupBy("chunk")
                .agg(F.sort_array(F.collect_list(F.struct("pair", "n", "best"))).alias("answers")))
-    answers = answers.select("chunk", F.col("answers.n").alias("ns"), F.col("answers.best").alias("bests"))
-    joined = checkpointed(chunks.select("chunk", "ids", "n_a", "n_b", "n_links", "digests", "of").join(answers, "chunk", "left"))
+    answers = checkpointed(answers.select("chunk", F.col("answers.n").alias("ns"), F.col("answers.best").alias("bests")))
+    joined = chunks.select("chunk", "ids", "n_a", "n_b", "n_links", "digests", "of").join(answers, "chunk", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

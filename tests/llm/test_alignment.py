@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from featloom.llm import alignment as al
 
@@ -86,6 +88,34 @@ def test_alignment_equals_brute_force(docs_of):
     assert by_id[2].groups_sha256 == "" and by_id[8].n_a == 0 and by_id[4].n_links > 0
 
 
+@pytest.fixture(scope="module")
+def encoders():
+    return al.Encoders(A, B)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\u3000", "\u00a0", "\x1c", "a", "don't", "word", "x1", "é", "日本", "▁", "'s", "!?", "\u0301", "🙂", "<s>", "ﬁ"]),
+                         max_size=12).map("".join), max_size=4))
+def test_units_are_encoded_like_whole_texts(encoders, texts):
+    """One pair of encoders remembers units of all examples."""
+    assert encoders.unitwise
+    a, b, fits = encoders([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        for side, tokens in zip(encoders.sides, (a, b)):
+            assert tokens.ids[tokens.offsets[i]:tokens.offsets[i + 1]].tolist() == (side.ids([t])[0] if t else [])
+        whole = [b"".join(side.table[k] for k in side.ids([t])[0]) for side in encoders.sides]
+        assert fits[i] == (bool(t) and whole[0] == whole[1] == b" " + t.encode())
+
+
+def test_forgetting_changes_nothing(encoders, monkeypatch, spark, sf_dir):
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = encoders(texts)
+    monkeypatch.setattr(al, "REMEMBERED", 1000)
+    for i, t in enumerate(texts):
+        for kept, one in zip(want[:2], encoders([t])):
+            assert one.ids.tolist() == kept.ids[kept.offsets[i]:kept.offsets[i + 1]].tolist()
+
+
 def test_empty_tables_and_tables_without_tokens(docs_of):
     assert al.aligned(docs_of([(1, "x")]).limit(0), A, B).count() == 0
     assert [tuple(r) for r in al.aligned(docs_of([(1, None)]), A, B).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
