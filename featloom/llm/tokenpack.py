@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import checkpointed, new_folder
+from .textwords import pieces as cut
 
 MAGIC = b"FLTOKEN1"
 # Ids in a block; a multiple of 64.
 BLOCK = 1 << 16
-# Words and pieces whose ids a worker remembers; it starts anew beyond them.
-REMEMBERED = 1_200_000
+# Bytes that a worker's remembered words take, and as many again its remembered pieces; what each entry takes besides its characters
+# and ids; and bytes of text that are encoded together.
+REMEMBERED, ENTRY, TOGETHER = 96 << 20, 130, 2 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -162,6 +164,29 @@ PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
+class Memory:
+    """Values by key in a bounded number of bytes: two generations, of which the older one goes when the younger is full.
+
+    What is found in the older one moves to the younger, so frequent keys stay.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old, self.held = limit // 2, {}, {}, 0
+
+    def missing(self, keys: set[bytes]) -> set[bytes]:
+        """The keys that have no value; all others are in the younger generation from now on."""
+        if self.held > self.limit:
+            self.young, self.old, self.held = {}, self.young, 0
+        new = keys.difference(self.young)
+        again = new.intersection(self.old)
+        self.add({k: self.old[k] for k in again})
+        return new - again
+
+    def add(self, values: dict[bytes, bytes]) -> None:
+        self.young.update(values)
+        self.held += ENTRY * len(values) + sum(map(len, values)) + sum(map(len, values.values()))
+
+
 class Encoder:
     """Ids of whole texts.
 
@@ -173,12 +198,13 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), Memory(REMEMBERED), Memory(REMEMBERED)
         self.bits = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         with open(path, encoding="utf-8") as file:
             self.wordwise = self._is_wordwise(json.load(file))
-        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marked = re.compile("|".join(marks) or "(?!)").search
 
     @staticmethod
     def _is_wordwise(parts: dict) -> bool:
@@ -201,25 +227,26 @@ class Encoder:
         for word in new:
             w = word.decode()
             # Latin-1 is in normal form already and lower-cased letter by letter.
-            plain = max(w) <= "\xff" and w.isprintable() and not any(m in w for m in self.marks)
+            plain = (w.isascii() or max(w) <= "\xff") and w.isprintable() and not self.marked(w)
             cut[word] = LATIN_PIECES.findall(w.lower()) if plain else [w]
-        unknown = list({p for pieces in cut.values() for p in pieces}.difference(self.pieces))
-        if len(self.pieces) + len(unknown) > REMEMBERED:
-            self.pieces, unknown = {}, list({p for pieces in cut.values() for p in pieces})
-        self.pieces.update(zip(unknown, self._encoded(unknown)))
-        known = self.pieces.__getitem__
-        self.words.update((word, b"".join(map(known, pieces))) for word, pieces in cut.items())
+        unknown = list(self.pieces.missing({p for pieces in cut.values() for p in pieces}))
+        self.pieces.add(dict(zip(unknown, self._encoded(unknown))))
+        known = self.pieces.young.__getitem__
+        self.words.add({word: known(pieces[0]) if len(pieces) == 1 else b"".join(map(known, pieces)) for word, pieces in cut.items()})
 
-    def __call__(self, text: str) -> np.ndarray:
+    def together(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each UTF-8 text."""
         if not self.wordwise:
-            return np.frombuffer(self._encoded([text])[0], self.kind)
-        words = text.encode().split()
-        new = set(words).difference(self.words)
+            return [np.frombuffer(x, self.kind) for x in self._encoded([t.decode() for t in texts])]
+        words = [t.split() for t in texts]
+        new = self.words.missing(set().union(*words))
         if new:
-            if len(self.words) + len(new) > REMEMBERED:
-                self.words, new = {}, set(words)
             self._learn(new)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.kind)
+        known = self.words.young.__getitem__
+        return [np.frombuffer(b"".join(map(known, w)), self.kind) for w in words]
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.together([text.encode()])[0]
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -253,17 +280,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, text
         from pyspark import TaskContext
 
         encode, writer = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in cut(whole, 1, TOGETHER)):
             if writer is None:
                 files, place = _opened(target)
                 path = f"{place}/tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
                 files.create_dir(place)
                 encode = worker_encoder(tokenizer)
                 writer = Writer(files.open_output_stream(path), encode.bits)
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                writer.add(i, np.append(encode(t), encode.kind.type(end_id)))
+            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            for i, ids in zip(batch.column(0).to_pylist(), encode.together(texts)):
+                writer.add(i, np.append(ids, encode.kind.type(end_id)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({

@@ -73,3 +73,39 @@ def test_written_and_read_back(spark, docs_of, tmp_path, rows):
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         start += len(r.ids)
     assert len(glob.glob(f"{tmp_path}/out/*.bin")) == manifest.count()
+
+
+def test_memory_is_bounded_and_keeps_frequent_keys():
+    memory, asked = tp.Memory(20_000), []
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        keys = {b"often%d" % k for k in range(10)} | {b"rare%d" % k for k in rng.integers(0, 10**6, 10)}
+        new = memory.missing(keys)
+        asked += [k for k in new if k.startswith(b"often")]
+        memory.add({k: k[::-1] for k in new})
+        assert all(memory.young[k] == k[::-1] for k in keys)
+        held = [sum(tp.ENTRY + 2 * len(k) for k in part) for part in (memory.young, memory.old)]
+        assert memory.held == held[0] and sum(held) < 20_000 + 2 * 20 * (tp.ENTRY + 40)
+    assert sorted(asked) == sorted(b"often%d" % k for k in range(10))
+
+
+def test_little_memory_changes_no_ids(monkeypatch, spark, sf_dir):
+    monkeypatch.setattr(tp, "REMEMBERED", 10_000)
+    encoder = tp.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    found = encoder.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+    for start in range(0, len(texts), 7):
+        for ids, want in zip(encoder.together(texts[start:start + 7]), found[start:start + 7]):
+            assert ids.tolist() == want.ids
+
+
+def test_query_equals_the_library_on_the_whole_table(spark, sf_dir):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, start = [], 0
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    out = tp.op2_token_ids(spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(tuple(r) for r in out.collect()) == want
