@@ -113,7 +113,7 @@ def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.nda
 
 
 def _bands(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """``id``, ``digest`` of the text, the hash of each band (null for a text without words), and 8 bits of each component."""
+    """``id``, ``digest`` of the text, the hash of each band (null for a text without words), 8 bits of each component, and ``n`` distinct shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in pieces(whole, 2)):
             hashes, owners, weights = counted(*shingles(batch.column(2)))
@@ -137,14 +137,14 @@ def _bands(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
             values = pa.array(out.ravel().view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), values,
                                              mask=pa.array(ends[1:] == ends[:-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array([r.tobytes() for r in short], pa.binary())],
-                                             names=["id", "digest", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array([r.tobytes() for r in short], pa.binary()),
+                                              pa.array(np.diff(ends).astype(np.int64))], names=["id", "digest", "bands", "signature", "n"])
 
-    return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest binary, bands array<long>, signature binary")
+    return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest binary, bands array<long>, signature binary, n long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, weighted: bool) -> DataFrame:
-    """``id``, the sorted shingle hashes ``s`` of its text, how often each occurs (``w``, if weighted), and their number ``n``."""
+    """``id``, the sorted shingle hashes ``s`` of its text, and how often each occurs (``w``, if weighted)."""
     parts = ["s", "w"] if weighted else ["s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +152,10 @@ def _sets(docs: DataFrame, ids: DataFrame, weighted: bool) -> DataFrame:
             hashes, owners, weights = counted(*shingles(batch.column(1)))
             ends = np.searchsorted(owners, np.arange(batch.num_rows + 1)).astype(np.int32)
             sets = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.view(np.int64))) for v in ((hashes, weights) if weighted else (hashes,))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sets, pa.array(np.diff(ends).astype(np.int64))], names=["id", *parts, "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sets], names=["id", *parts])
 
     involved = docs.join(ids.hint("shuffle_hash"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "text")
-    return involved.mapInArrow(run, "id long" + "".join(f", {p} array<long>" for p in parts) + ", n long")
+    return involved.mapInArrow(run, "id long" + "".join(f", {p} array<long>" for p in parts))
 
 
 class Block:
@@ -176,10 +176,11 @@ class Block:
         out.weights = None if self.weights is None else np.concatenate([self.weights, other.weights])
         return out
 
-    def links(self, first: int, threshold: float) -> list[tuple[int, int, float]]:
+    def links(self, first: int, threshold: float) -> list[tuple[int, int, float, int]]:
         """Links from the first documents to all: as many as join every two classes that any such link joins.
 
-        Documents are compared only while their classes are apart; a link joins them.
+        Documents are compared only while their classes are apart; a link joins them. With each link comes the class that all
+        that is joined has in the end: that of the last document, if it is among them.
         """
         out, sizes = [], np.diff(self.ends)
         distinct, local = np.unique(self.flat, return_inverse=True)
@@ -210,7 +211,9 @@ class Block:
                 if of[j] != of[i]:
                     out.append((int(self.ids[i]), int(self.ids[j]), float(similarity[k])))
                     of[of == of[j]] = of[i]
-        return out
+        names = {of[-1]: int(self.classes[-1])} if len(of) else {}
+        place = {int(d): k for k, d in reversed(list(enumerate(self.ids)))}
+        return [(a, b, s, names.get(of[place[a]], int(of[place[a]]))) for a, b, s in out]
 
     def _weighted(self, i: int, j: int) -> float:
         a, b = (slice(self.ends[k], self.ends[k + 1]) for k in (i, j))
@@ -218,23 +221,18 @@ class Block:
 
 
 def _links(met: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """``a``, ``b`` and ``similarity`` of the links between the documents of ``x`` and those of ``x`` and ``y`` in each row."""
+    """``a``, ``b``, ``similarity`` and joint ``class`` of the links between the documents of ``x`` and those of ``x`` and ``y`` in each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for row in range(batch.num_rows):
                 outer, inner = (Block(batch.column(k)[row].values, weighted) for k in (0, 1))
                 found += (outer + inner).links(len(outer.ids), threshold)
-            a, b, similarity = zip(*found) if found else ((), (), ())
+            a, b, similarity, joint = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64)),
-                                              pa.array(similarity, pa.float64())], names=["a", "b", "similarity"])
-
-    return met.select("x", "y").mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-
+                                              pa.array(similarity, pa.float64()), pa.array(joint, pa.int64())], names=["a", "b", "similarity", "class"])
 
-def _blocks(of, number: int, size: str) -> Column:
-    """Blocks for a sum of documents and one of shingles; a document's block is the remainder of a hash of its id."""
-    return F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.when(of, 1)) / number), F.ceil(F.sum(F.when(of, F.col(size))) / HASHES))
+    return met.select("x", "y").mapInArrow(run, "a long, b long, similarity double, class long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD,
@@ -259,23 +257,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     copies = checkpointed(paired.where("id <> of").select(F.col("of").alias("a"), F.col("id").alias("b")))
     distinct = checkpointed(members.join(firsts.withColumnRenamed("of", "id"), ["digest", "id"]).dropDuplicates(["digest", "id"]))
 
-    banded = distinct.select("id", F.posexplode("bands").alias("band", "hash"))
-    counts = checkpointed(banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = checkpointed(banded.join(counts, ["band", "hash"]))
-    degrees = checkpointed(shared.groupBy("id").agg(F.sum("n").alias("degree")))
-    sets = checkpointed(_sets(source, distinct.select("id", "digest").join(degrees.select("id"), "id"), weighted))
+    # Documents that share a bucket, each with its buckets.
+    banded = distinct.select("id", "digest", "n", F.posexplode("bands").alias("band", "hash"))
+    counts = checkpointed(banded.groupBy("band", "hash").agg(F.count("*").alias("docs")).where("docs > 1"))
+    sharing = checkpointed(banded.join(counts, ["band", "hash"]).groupBy("id", "digest", "n").agg(
+        F.sum("docs").alias("degree"), F.collect_list(F.struct("band", "hash")).alias("buckets")))
+    sets = checkpointed(_sets(source, sharing.select("id", "digest"), weighted))
+    shared = sharing.select("id", "n", "degree", F.explode("buckets").alias("bucket")).select("id", "n", "degree", "bucket.*")
     # Each document goes to one head: of the heads of its buckets the one that shares most.
-    ranked = shared.join(degrees, "id").groupBy("band", "hash").agg(F.max(F.struct("degree", (-F.col("id")).alias("less"))).alias("top"))
-    ranked = checkpointed(ranked)
-    chosen = shared.join(ranked, ["band", "hash"]).groupBy("id").agg((-F.max("top")["less"]).alias("head"))
+    ranked = checkpointed(shared.groupBy("band", "hash").agg(F.max(F.struct("degree", (-F.col("id")).alias("less"))).alias("top")))
+    chosen = shared.join(ranked, ["band", "hash"]).groupBy("id", "n").agg((-F.max("top")["less"]).alias("head"))
     chosen = checkpointed(chosen.where("id <> head"))
     links = checkpointed(_links(_around(chosen, sets, weighted), threshold, weighted))
 
-    classes = components(links)
-    buckets = checkpointed(shared.join(classes, "id", "left").select("band", "hash", "id", F.coalesce("class", "id").alias("class")))
-    likely = checkpointed(_likely(buckets, distinct.select("id", "bands", "signature"), bands * rows, threshold))
+    # What these links join has one class, and that of its head's class. This need not be all that chains of links join:
+    # documents that have one class do belong together, others are compared.
+    near = checkpointed(links.select(F.explode(F.array("a", "b")).alias("id"), "class").groupBy("id").agg(F.min("class").alias("class")))
+    further = near.select(F.col("id").alias("class"), F.col("class").alias("next"))
+    near = checkpointed(near.join(further, "class", "left").select("id", F.coalesce("next", "class").alias("class")))
+    buckets = shared.drop("degree").join(near, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    signs = distinct.select("id", "bands", "signature")
+    likely = checkpointed(_likely(checkpointed(buckets), signs, bands * rows, threshold))
     more = checkpointed(_links(_across(likely, sets, weighted), threshold, weighted))
-    links = links.unionByName(more)
+    links = links.unionByName(more).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     classes = components(links.select("a", "b").unionByName(copies.select("a", "b")))
     counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     of_digest = distinct.select("digest", "id").join(counts, "id").select("digest", "n_links")
@@ -287,13 +291,17 @@ def _document(weighted: bool) -> Column:
     return F.struct("id", "class", "s", *(["w"] if weighted else []))
 
 
+def _blocks(docs: Column, number: int, shingles: Column) -> Column:
+    """How many blocks so many documents and shingles make; a document's block is the remainder of a hash of its id."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(docs / number), F.ceil(shingles / HASHES))
+
+
 def _around(chosen: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
     """Blocks ``x`` of the documents of each head, with the head itself as ``y``."""
     known = sets.withColumn("class", F.col("id"))
-    rows = checkpointed(chosen.join(sets.select("id", "n"), "id"))
-    sizes = checkpointed(rows.groupBy("head").agg(_blocks(F.lit(True), OUTSIDE, "n").alias("blocks")))
-    cut = rows.join(sizes, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-    x = checkpointed(cut).join(known, "id").groupBy("head", "block").agg(F.collect_list(_document(weighted)).alias("x"))
+    sizes = checkpointed(chosen.groupBy("head").agg(_blocks(F.count("*"), OUTSIDE, F.sum("n")).alias("blocks")))
+    cut = chosen.join(sizes, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    x = cut.join(known, "id").groupBy("head", "block").agg(F.collect_list(_document(weighted)).alias("x"))
     y = (sizes.select(F.col("head").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
          .join(known, "id").select(F.col("id").alias("head"), "block", F.array(_document(weighted)).alias("y")))
     return x.join(y, ["head", "block"])
@@ -314,37 +322,37 @@ def _meetings(rows: DataFrame, document: Column) -> DataFrame:
     return outside.join(cut(rows, "inner", "y").drop("inner"), ["band", "hash", "block"]).select("band", "hash", "x", "y")
 
 
-def _mixed(rows: DataFrame, size: str) -> DataFrame:
+def _mixed(rows: DataFrame, size: Column) -> DataFrame:
     """The rows of buckets in which classes differ, marked by whether they are outside the largest class, and the blocks of the bucket."""
-    sizes = rows.groupBy("band", "hash", "class").agg(F.count("*").alias("docs"))
-    main = checkpointed(sizes.groupBy("band", "hash").agg(F.count("*").alias("n"), F.max(F.struct("docs", "class"))["class"].alias("main"))
-                        .where("n > 1").drop("n"))
-    marked = checkpointed(rows.join(main, ["band", "hash"]).withColumn("outside", F.col("class") != F.col("main")).drop("main"))
-    blocks = checkpointed(marked.groupBy("band", "hash").agg(_blocks(F.col("outside"), OUTSIDE, size).alias("outer"),
-                                                             _blocks(F.lit(True), MEMBERS, size).alias("inner")))
-    return marked.join(blocks, ["band", "hash"])
+    sizes = rows.groupBy("band", "hash", "class").agg(F.count("*").alias("docs"), F.sum(size).alias("all"))
+    main = F.max(F.struct("docs", "class", "all"))
+    mixed = checkpointed(sizes.groupBy("band", "hash").agg(
+        F.count("*").alias("classes"), main["class"].alias("main"),
+        _blocks(F.sum("docs") - main["docs"], OUTSIDE, F.sum("all") - main["all"]).alias("outer"),
+        _blocks(F.sum("docs"), MEMBERS, F.sum("all")).alias("inner")).where("classes > 1").drop("classes"))
+    return checkpointed(rows.join(mixed, ["band", "hash"]).withColumn("outside", F.col("class") != F.col("main")).drop("main"))
 
 
 def _likely(buckets: DataFrame, signatures: DataFrame, size: int, threshold: float) -> DataFrame:
-    """``band``, ``hash``, ``id`` and ``class`` of documents that may link to one of another class in the bucket.
+    """``band``, ``hash``, ``id``, ``class`` and shingles ``n`` of documents that may link to one of another class in the bucket.
 
     Two documents meet in the first band that they share only. They may link if they agree in nearly as many components as the
     threshold has them agree on average.
     """
-    rows = checkpointed(_mixed(buckets.withColumn("one", F.lit(1)), "one").drop("one"))
-    met = _meetings(rows.join(signatures, "id"), F.struct("id", "class", "bands", "signature"))
+    rows = _mixed(buckets, F.lit(1))
+    met = _meetings(rows.join(signatures, "id"), F.struct("id", "class", "n", "bands", "signature"))
     least = size * (threshold - SLACK)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(docs: pa.StructArray):
-            ids, of, bands, marks = (docs.field(k) for k in range(4))
-            return (ids.to_numpy(), of.to_numpy(), bands.flatten().to_numpy().reshape(len(ids), -1),
+            ids, of, n, bands, marks = (docs.field(k) for k in range(5))
+            return (ids.to_numpy(), of.to_numpy(), n.to_numpy(), bands.flatten().to_numpy().reshape(len(ids), -1),
                     np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(ids), size))
 
         for batch in batches:
             for row in range(batch.num_rows):
                 band = batch.column(0)[row].as_py()
-                (ids, of, bands, marks), (others, theirs, known, signs) = (parts(batch.column(k)[row].values) for k in (2, 3))
+                (ids, of, mine_n, bands, marks), (others, theirs, their_n, known, signs) = (parts(batch.column(k)[row].values) for k in (2, 3))
                 found, mine = np.zeros(len(others), bool), np.zeros(len(ids), bool)
                 for k in range(len(ids)):
                     at = np.flatnonzero(theirs != of[k])
@@ -352,18 +360,18 @@ def _likely(buckets: DataFrame, signatures: DataFrame, size: int, threshold: flo
                     at = at[~(known[at, :band] == bands[k, :band]).any(axis=1)]
                     found[at] = True
                     mine[k] = len(at) > 0
-                both = np.concatenate([ids[mine], others[found]])
+                both, sizes = np.concatenate([ids[mine], others[found]]), np.concatenate([mine_n[mine], their_n[found]])
                 n = len(both)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, band, np.int32)), pa.array(np.full(n, batch.column(1)[row].as_py(), np.int64)),
-                                                  pa.array(both), pa.array(np.concatenate([of[mine], theirs[found]]))], names=["band", "hash", "id", "class"])
+                                                  pa.array(both), pa.array(np.concatenate([of[mine], theirs[found]])), pa.array(sizes)],
+                                                 names=["band", "hash", "id", "class", "n"])
 
-    return met.select("band", "hash", "x", "y").mapInArrow(compare, "band int, hash long, id long, class long").distinct()
+    return met.select("band", "hash", "x", "y").mapInArrow(compare, "band int, hash long, id long, class long, n long").distinct()
 
 
 def _across(likely: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
     """Blocks of likely documents, with their sets, that meet across the classes of their bucket."""
-    rows = checkpointed(_mixed(likely.join(sets.select("id", "n"), "id"), "n").drop("n"))
-    return _meetings(rows.join(sets.drop("n"), "id"), _document(weighted))
+    return _meetings(_mixed(likely, F.col("n")).join(sets, "id"), _document(weighted))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -102,9 +102,15 @@ def test_blocks_find_links_between_all_classes():
             return len(set(of.tolist())), [bool(of[i] == of[j]) for i in range(20) for j in range(i)]
         every = [(i, j) for i in range(first) for j in range(20) if i != j
                  and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
-        found = [(i, j) for i, j, _ in block.links(first, 0.8)]
+        linked = block.links(first, 0.8)
+        found = [(i, j) for i, j, *_ in linked]
         assert joined(found) == joined(every) and len(found) < 12
         assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in every}
+        of = classes.copy()
+        for i, j in found:
+            of[of == of[j]] = of[i]
+        for i, j, _, name in linked:  # one name for all that is joined, the last one's where it is among them
+            assert name in classes[of == of[i]] and (of[i] != of[-1] or name == classes[-1])
 
 
 def test_empty_table(docs_of):
