@@ -34,7 +34,7 @@ from .textwords import pieces
 # Offsets of the shorter list that are searched together.
 RUN = 256
 # Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 # Bits of an id in a pair.
 ID_BITS = 32
 # Bytes that a worker's remembered units take, and what each takes besides its characters and ids.
@@ -333,6 +333,16 @@ def align(texts: list[bytes], encoders: Encoders) -> Aligned:
     return Aligned(a, b, at_a, at_b, np.searchsorted(a.offsets, at_a, "right") - 1)
 
 
+def _packed(numbers: np.ndarray, below: int) -> bytes:
+    """Numbers in two bytes each where all are below 2^16, else in four; the first byte tells."""
+    width = 2 if below <= 1 << 16 else 4
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
 def _chunks(docs: DataFrame, a: str, b: str) -> DataFrame:
     """A row for each chunk of texts: what is known of them without the corpus, and the chunk's id pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +357,7 @@ def _chunks(docs: DataFrame, a: str, b: str) -> DataFrame:
                 pa.array([uuid.uuid4().hex]), pa.array([batch.column(0)], pa.list_(pa.int64())),
                 *(pa.array([x], pa.list_(pa.int64())) for x in (np.diff(made.a.offsets), np.diff(made.b.offsets), links)),
                 pa.array([made.group_digests()], pa.list_(pa.string())), pa.array([pairs], pa.list_(pa.int64())),
-                pa.array([counts], pa.list_(pa.int64())), pa.array([of.astype("<i4").tobytes()], pa.large_binary()).cast(pa.binary())],
+                pa.array([counts], pa.list_(pa.int64())), pa.array([_packed(of, len(pairs))], pa.binary())],
                 names=["chunk", "ids", "n_a", "n_b", "n_links", "digests", "pairs", "counts", "of"])
 
     return docs.mapInArrow(run, "chunk string, ids array<long>, n_a array<long>, n_b array<long>, n_links array<long>, digests array<string>, "
@@ -383,13 +393,14 @@ def aligned(docs: DataFrame, a: str, b: str, text: str = "text", doc_id: str = "
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, n_a, n_b, links, digests = (batch.column(k)[i].values for k in range(5))
-                rows = np.repeat(np.arange(len(ids)), links.to_numpy())
-                of = np.frombuffer(batch.column(5)[i].as_py(), "<i4")
+                ends = np.concatenate([[0], np.cumsum(links.to_numpy())])
+                of = _unpacked(batch.column(5)[i].as_py())
                 sums = [np.zeros(len(ids), np.int64) for _ in range(2)]
                 if len(of):
                     n, best = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (6, 7))
-                    np.add.at(sums[0], rows, best[of].astype(np.int64))
-                    np.add.at(sums[1], rows, n[of])
+                    for k, values in enumerate((best.astype(np.int64), n)):
+                        upto = np.concatenate([[0], np.cumsum(values[of])])
+                        sums[k] = upto[ends[1:]] - upto[ends[:-1]]
                 yield pa.RecordBatch.from_arrays([ids, n_a, n_b, links, links, *map(pa.array, sums), digests], names=names)
 
     names = [doc_id, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
