@@ -161,20 +161,12 @@ def _sets(docs: DataFrame, ids: DataFrame, weighted: bool) -> DataFrame:
 class Block:
     """Documents that meet in a task: ids, classes and shingle sets, one after another."""
 
-    def __init__(self, docs: pa.StructArray, weighted: bool):
-        self.ids, self.classes = (docs.field(k).to_numpy() for k in (0, 1))
-        sets = docs.field(2)
+    def __init__(self, docs: pa.RecordBatch):
+        self.ids, self.classes = (docs.column(k).to_numpy() for k in ("id", "class"))
+        sets = docs.column("s")
         ends = sets.offsets.to_numpy().astype(np.int64)
-        self.flat = sets.values.to_numpy().view(np.uint64)[ends[0]:ends[-1]]
-        self.ends = ends - ends[0]
-        self.weights = docs.field(3).flatten().to_numpy() if weighted else None
-
-    def __add__(self, other: Block) -> Block:
-        out = Block.__new__(Block)
-        out.ids, out.classes, out.flat = (np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("ids", "classes", "flat"))
-        out.ends = np.concatenate([self.ends, other.ends[1:] + self.ends[-1]])
-        out.weights = None if self.weights is None else np.concatenate([self.weights, other.weights])
-        return out
+        self.flat, self.ends = sets.values.to_numpy().view(np.uint64)[ends[0]:ends[-1]], ends - ends[0]
+        self.weights = docs.column("w").flatten().to_numpy() if "w" in docs.schema.names else None
 
     def links(self, first: int, threshold: float) -> list[tuple[int, int, float, int]]:
         """Links from the first documents to all: as many as join every two classes that any such link joins.
@@ -220,19 +212,43 @@ class Block:
         return probability_jaccard(self.flat[a], self.weights[a], self.flat[b], self.weights[b])
 
 
-def _links(met: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """``a``, ``b``, ``similarity`` and joint ``class`` of the links between the documents of ``x`` and those of ``x`` and ``y`` in each row."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of each key, which stand together, as one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield pa.concat_batches(held)
+            held = []
+        starts = [0, *cuts.tolist()]
+        for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+            held.append(batch.slice(start, end - start))
+            if end < batch.num_rows:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _together(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key in one partition, next to each other, those of side 0 first."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side")
+
+
+def _links(met: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """``a``, ``b``, ``similarity`` and joint ``class`` of the links of documents of side 0 to all with the same keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row in range(batch.num_rows):
-                outer, inner = (Block(batch.column(k)[row].values, weighted) for k in (0, 1))
-                found += (outer + inner).links(len(outer.ids), threshold)
-            a, b, similarity, joint = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64)),
-                                              pa.array(similarity, pa.float64()), pa.array(joint, pa.int64())], names=["a", "b", "similarity", "class"])
+        for group in _groups(batches, keys):
+            found = Block(group).links(int((group.column("side").to_numpy() == 0).sum()), threshold)
+            if found:
+                a, b, similarity, joint = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64)),
+                                                  pa.array(similarity, pa.float64()), pa.array(joint, pa.int64())], names=["a", "b", "similarity", "class"])
 
-    return met.select("x", "y").mapInArrow(run, "a long, b long, similarity double, class long")
+    return _together(met, keys).mapInArrow(run, "a long, b long, similarity double, class long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD,
@@ -268,7 +284,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ranked = checkpointed(shared.groupBy("band", "hash").agg(F.max(F.struct("degree", (-F.col("id")).alias("less"))).alias("top")))
     chosen = shared.join(ranked, ["band", "hash"]).groupBy("id", "n").agg((-F.max("top")["less"]).alias("head"))
     chosen = checkpointed(chosen.where("id <> head"))
-    links = checkpointed(_links(_around(chosen, sets, weighted), threshold, weighted))
+    links = checkpointed(_links(_around(chosen, sets), ["head", "block"], threshold))
 
     # What these links join has one class, and that of its head's class. This need not be all that chains of links join:
     # documents that have one class do belong together, others are compared.
@@ -278,7 +294,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     buckets = shared.drop("degree").join(near, "id", "left").withColumn("class", F.coalesce("class", "id"))
     signs = distinct.select("id", "bands", "signature")
     likely = checkpointed(_likely(checkpointed(buckets), signs, bands * rows, threshold))
-    more = checkpointed(_links(_across(likely, sets, weighted), threshold, weighted))
+    met = _meetings(_mixed(likely, F.col("n")).join(sets, "id"))
+    more = checkpointed(_links(met, MEETING, threshold))
     links = links.unionByName(more).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     classes = components(links.select("a", "b").unionByName(copies.select("a", "b")))
     counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
@@ -287,39 +304,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select(F.col("id").alias(doc_id), F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _document(weighted: bool) -> Column:
-    return F.struct("id", "class", "s", *(["w"] if weighted else []))
-
-
 def _blocks(docs: Column, number: int, shingles: Column) -> Column:
     """How many blocks so many documents and shingles make; a document's block is the remainder of a hash of its id."""
     return F.greatest(F.lit(1).cast("long"), F.ceil(docs / number), F.ceil(shingles / HASHES))
 
 
-def _around(chosen: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
-    """Blocks ``x`` of the documents of each head, with the head itself as ``y``."""
-    known = sets.withColumn("class", F.col("id"))
+def _around(chosen: DataFrame, sets: DataFrame) -> DataFrame:
+    """Documents of each ``head`` in blocks, and on side 1 of each ``block`` the head itself."""
     sizes = checkpointed(chosen.groupBy("head").agg(_blocks(F.count("*"), OUTSIDE, F.sum("n")).alias("blocks")))
-    cut = chosen.join(sizes, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-    x = cut.join(known, "id").groupBy("head", "block").agg(F.collect_list(_document(weighted)).alias("x"))
-    y = (sizes.select(F.col("head").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-         .join(known, "id").select(F.col("id").alias("head"), "block", F.array(_document(weighted)).alias("y")))
-    return x.join(y, ["head", "block"])
+    own = chosen.join(sizes, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
+    heads = sizes.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+                         F.lit(1).alias("side"))
+    return checkpointed(own.union(heads)).join(sets.withColumn("class", F.col("id")), "id")
 
 
-def _meetings(rows: DataFrame, document: Column) -> DataFrame:
-    """Blocks ``x`` of the documents outside the largest class of a bucket, each with every block ``y`` of all of the bucket's.
+#: Keys of a meeting of two blocks of a bucket.
+MEETING = ["band", "hash", "outer", "inner"]
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """Documents outside the largest class of a bucket (side 0) in ``outer`` blocks, each with every ``inner`` block of all of the bucket's (side 1).
 
     ``rows`` has ``band``, ``hash``, ``id``, ``class``, whether it is ``outside``, and the numbers of blocks ``outer`` and ``inner``.
     """
-    def cut(frame: DataFrame, number: str, name: str) -> DataFrame:
-        # a bucket is cut into blocks by a hash of the id, so that no task gathers all of it
-        frame = frame.withColumn("block", F.pmod(F.xxhash64("id"), F.col(number)))
-        return frame.groupBy("band", "hash", "block", "inner").agg(F.collect_list(document).alias(name))
+    place = F.xxhash64("id")
+    mine, theirs = F.pmod(place, F.col("outer")), F.pmod(place, F.col("inner"))
+
+    def upto(number: str) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(number) - 1)
 
-    outside = (cut(rows.where("outside"), "outer", "x").drop("block")
-               .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("inner") - 1))))
-    return outside.join(cut(rows, "inner", "y").drop("inner"), ["band", "hash", "block"]).select("band", "hash", "x", "y")
+    def at(outer: Column, inner: Column, side: int) -> Column:
+        return F.struct(outer.alias("outer"), inner.alias("inner"), F.lit(side).alias("side"))
+    inside = F.transform(upto("outer"), lambda o: at(o, theirs, 1))
+    both = F.concat(F.transform(upto("inner"), lambda i: at(mine, i, 0)), inside)
+    met = rows.withColumn("met", F.explode(F.when(F.col("outside"), both).otherwise(inside)))
+    return met.select(*(c for c in rows.columns if c not in ("outer", "inner", "outside")), "met.*")
 
 
 def _mixed(rows: DataFrame, size: Column) -> DataFrame:
@@ -339,39 +358,26 @@ def _likely(buckets: DataFrame, signatures: DataFrame, size: int, threshold: flo
     Two documents meet in the first band that they share only. They may link if they agree in nearly as many components as the
     threshold has them agree on average.
     """
-    rows = _mixed(buckets, F.lit(1))
-    met = _meetings(rows.join(signatures, "id"), F.struct("id", "class", "n", "bands", "signature"))
+    met = _together(_meetings(_mixed(buckets, F.lit(1)).join(signatures, "id")), MEETING)
     least = size * (threshold - SLACK)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(docs: pa.StructArray):
-            ids, of, n, bands, marks = (docs.field(k) for k in range(5))
-            return (ids.to_numpy(), of.to_numpy(), n.to_numpy(), bands.flatten().to_numpy().reshape(len(ids), -1),
-                    np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(ids), size))
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                band = batch.column(0)[row].as_py()
-                (ids, of, mine_n, bands, marks), (others, theirs, their_n, known, signs) = (parts(batch.column(k)[row].values) for k in (2, 3))
-                found, mine = np.zeros(len(others), bool), np.zeros(len(ids), bool)
-                for k in range(len(ids)):
-                    at = np.flatnonzero(theirs != of[k])
-                    at = at[(signs[at] == marks[k]).sum(axis=1) >= least]
-                    at = at[~(known[at, :band] == bands[k, :band]).any(axis=1)]
-                    found[at] = True
-                    mine[k] = len(at) > 0
-                both, sizes = np.concatenate([ids[mine], others[found]]), np.concatenate([mine_n[mine], their_n[found]])
-                n = len(both)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, band, np.int32)), pa.array(np.full(n, batch.column(1)[row].as_py(), np.int64)),
-                                                  pa.array(both), pa.array(np.concatenate([of[mine], theirs[found]])), pa.array(sizes)],
-                                                 names=["band", "hash", "id", "class", "n"])
-
-    return met.select("band", "hash", "x", "y").mapInArrow(compare, "band int, hash long, id long, class long, n long").distinct()
-
-
-def _across(likely: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
-    """Blocks of likely documents, with their sets, that meet across the classes of their bucket."""
-    return _meetings(_mixed(likely, F.col("n")).join(sets, "id"), _document(weighted))
+        for group in _groups(batches, MEETING):
+            band, first = group.column("band")[0].as_py(), int((group.column("side").to_numpy() == 0).sum())
+            ids, of = (group.column(k).to_numpy() for k in ("id", "class"))
+            known = group.column("bands").flatten().to_numpy().reshape(len(ids), -1)[:, :band]
+            signs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), size)
+            found = np.zeros(len(ids), bool)
+            for k in range(first):
+                at = np.flatnonzero(of[first:] != of[k]) + first
+                at = at[(signs[at] == signs[k]).sum(axis=1) >= least]
+                at = at[~(known[at] == known[k]).any(axis=1)]
+                found[at] = True
+                found[k] = len(at) > 0
+            if found.any():
+                yield group.select(["band", "hash", "id", "class", "n"]).filter(pa.array(found))
+
+    return met.mapInArrow(compare, "band int, hash long, id long, class long, n long").distinct()
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
