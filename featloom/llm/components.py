@@ -19,8 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").where("a <> b").distinct()
     both = checkpointed(both.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
                         .select("x.a", "x.b"))
-    classes = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
-                           .select("id", F.least("id", "m").alias("class")))
+    classes = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("class"))
     while True:
         seen = both.join(classes.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("m"))
         jump = classes.select(F.col("id").alias("class"), F.col("class").alias("further"))

@@ -37,6 +37,8 @@ BANDS, ROWS = 32, 7
 SLACK = 0.1
 # Documents in a block of those of a head or outside the largest class, and of the members they meet; shingles in any block.
 OUTSIDE, MEMBERS, HASHES = 256, 1024, 1 << 20
+# Buckets that a document is thought to share with its head; it may be one, and a block then so many times as large.
+BUCKETS = 8
 # Shingles whose arrivals are drawn together.
 BATCH = 200_000
 
@@ -267,11 +269,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     marked = checkpointed(_bands(source, bands, rows, weighted))
     members = marked.where("bands IS NOT NULL AND id IS NOT NULL")
     # One document stands for all of equal text: the smallest id of the digest.
-    # (Aggregates are stored before they are joined: only then can a hot key of the other side be split.)
-    firsts = checkpointed(members.groupBy("digest").agg(F.min("id").alias("of")))
-    paired = members.select("id", "digest").join(firsts, "digest")
-    copies = checkpointed(paired.where("id <> of").select(F.col("of").alias("a"), F.col("id").alias("b")))
-    distinct = checkpointed(members.join(firsts.withColumnRenamed("of", "id"), ["digest", "id"]).dropDuplicates(["digest", "id"]))
+    # (Aggregates that many rows meet again are stored first: only then can a hot key of the other side be split.)
+    distinct = checkpointed(members.groupBy("digest").agg(F.min(F.struct("id", "bands", "signature", "n")).alias("x")).select("digest", "x.*"))
+    copies = members.select("id", "digest").join(distinct.select("digest", F.col("id").alias("of")), "digest").where("id <> of")
 
     # Documents that share a bucket, each with its buckets.
     banded = distinct.select("id", "digest", "n", F.posexplode("bands").alias("band", "hash"))
@@ -282,22 +282,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     shared = sharing.select("id", "n", "degree", F.explode("buckets").alias("bucket")).select("id", "n", "degree", "bucket.*")
     # Each document goes to one head: of the heads of its buckets the one that shares most.
     ranked = checkpointed(shared.groupBy("band", "hash").agg(F.max(F.struct("degree", (-F.col("id")).alias("less"))).alias("top")))
-    chosen = shared.join(ranked, ["band", "hash"]).groupBy("id", "n").agg((-F.max("top")["less"]).alias("head"))
-    chosen = checkpointed(chosen.where("id <> head"))
-    links = checkpointed(_links(_around(chosen, sets), ["head", "block"], threshold))
+    chosen = shared.join(ranked, ["band", "hash"]).groupBy("id", "n").agg(F.max("top").alias("top"))
+    chosen = checkpointed(chosen.select("id", "n", (-F.col("top.less")).alias("head"), F.col("top.degree").alias("degree")).where("id <> head"))
+    links = checkpointed(_links(_around(chosen, sets), AROUND, threshold))
 
     # What these links join has one class, and that of its head's class. This need not be all that chains of links join:
     # documents that have one class do belong together, others are compared.
-    near = checkpointed(links.select(F.explode(F.array("a", "b")).alias("id"), "class").groupBy("id").agg(F.min("class").alias("class")))
+    near = links.select(F.explode(F.array("a", "b")).alias("id"), "class").groupBy("id").agg(F.min("class").alias("class"))
     further = near.select(F.col("id").alias("class"), F.col("class").alias("next"))
-    near = checkpointed(near.join(further, "class", "left").select("id", F.coalesce("next", "class").alias("class")))
+    near = near.join(further, "class", "left").select("id", F.coalesce("next", "class").alias("class"))
     buckets = shared.drop("degree").join(near, "id", "left").withColumn("class", F.coalesce("class", "id"))
     signs = distinct.select("id", "bands", "signature")
     likely = checkpointed(_likely(checkpointed(buckets), signs, bands * rows, threshold))
     met = _meetings(_mixed(likely, F.col("n")).join(sets, "id"))
     more = checkpointed(_links(met, MEETING, threshold))
-    links = links.unionByName(more).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    classes = components(links.select("a", "b").unionByName(copies.select("a", "b")))
+    links = links.unionByName(more)
+    # What a link joins is joined by way of its class, which makes short chains.
+    stars = links.select("class", F.explode(F.array("a", "b")).alias("b")).select(F.col("class").alias("a"), "b")
+    classes = components(stars.union(copies.select("of", "id")))
+    links = links.select("a", "b").distinct()
     counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     of_digest = distinct.select("digest", "id").join(counts, "id").select("digest", "n_links")
     out = marked.select("id", "digest").join(classes, "id", "left").join(of_digest, "digest", "left")
@@ -309,13 +312,22 @@ def _blocks(docs: Column, number: int, shingles: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(docs / number), F.ceil(shingles / HASHES))
 
 
+#: Keys of a block of the documents of one head.
+AROUND = ["head", "span", "block"]
+
+
 def _around(chosen: DataFrame, sets: DataFrame) -> DataFrame:
-    """Documents of each ``head`` in blocks, and on side 1 of each ``block`` the head itself."""
-    sizes = checkpointed(chosen.groupBy("head").agg(_blocks(F.count("*"), OUTSIDE, F.sum("n")).alias("blocks")))
-    own = chosen.join(sizes, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
-    heads = sizes.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-                         F.lit(1).alias("side"))
-    return checkpointed(own.union(heads)).join(sets.withColumn("class", F.col("id")), "id")
+    """Documents of each ``head`` in blocks, and on side 1 of each block the head itself.
+
+    A head has no more documents than its ``degree``, which counts one that shares several buckets as often. So that and the
+    power of two above a document's shingles, its ``span``, give blocks of bounded size without a count.
+    """
+    span = F.ceil(F.log2("n")).cast("int")
+    docs = F.ceil(F.col("degree") / BUCKETS)
+    own = chosen.select("id", "head", span.alias("span"),
+                        F.pmod(F.xxhash64("id"), _blocks(docs, OUTSIDE, docs * F.pow(F.lit(2.0), span))).alias("block"))
+    heads = own.select(*AROUND).distinct().select(F.col("head").alias("id"), *AROUND, F.lit(1).alias("side"))
+    return own.withColumn("side", F.lit(0)).unionByName(heads).join(sets.withColumn("class", F.col("id")), "id")
 
 
 #: Keys of a meeting of two blocks of a bucket.
@@ -349,7 +361,7 @@ def _mixed(rows: DataFrame, size: Column) -> DataFrame:
         F.count("*").alias("classes"), main["class"].alias("main"),
         _blocks(F.sum("docs") - main["docs"], OUTSIDE, F.sum("all") - main["all"]).alias("outer"),
         _blocks(F.sum("docs"), MEMBERS, F.sum("all")).alias("inner")).where("classes > 1").drop("classes"))
-    return checkpointed(rows.join(mixed, ["band", "hash"]).withColumn("outside", F.col("class") != F.col("main")).drop("main"))
+    return rows.join(mixed, ["band", "hash"]).withColumn("outside", F.col("class") != F.col("main")).drop("main")
 
 
 def _likely(buckets: DataFrame, signatures: DataFrame, size: int, threshold: float) -> DataFrame:
