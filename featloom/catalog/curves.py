@@ -83,9 +83,9 @@ def pr_curve_lines(t):
 
 @query("pr_curve_sliced", _points_sql(*(_LINES.format(score=s) for s in _LINE_SCORES), binary_as_point=True))
 def pr_curve_sliced(t):
-    """The same with the running totals cut into slices, as for data of any size."""
+    """The same from a long table of scores."""
     scores = curves.scores_long(_lines(t), "returned", _LINE_SCORES)
-    return _rounded(curves.prc_curve(scores, slices=16))
+    return _rounded(curves.prc_curve(scores))
 
 
 @query("pr_step_curve", _steps_sql(_DOCS.format(score="n_chars"), binary_as_point=True))
@@ -129,14 +129,14 @@ def _null_model_scores(t):
 
 @query("pr_curve_null_model", _NULL_MODELS)
 def pr_curve_null_model(t):
-    """A null model is a model like any other, in one window."""
+    """A null model is a model like any other."""
     return _rounded(curves.prc_curve(_null_model_scores(t)))
 
 
 @query("pr_curve_null_model_sliced", _NULL_MODELS)
 def pr_curve_null_model_sliced(t):
-    """The same in slices."""
-    return _rounded(curves.prc_curve(_null_model_scores(t), slices=8))
+    """The same behind a shuffle."""
+    return _rounded(curves.prc_curve(_null_model_scores(t).repartition("model")))
 
 
 @query("pr_step_points_null_model", "SELECT * REPLACE (nullif(model, '~') AS model) FROM ("
@@ -146,4 +146,4 @@ def pr_curve_null_model_sliced(t):
                 "SELECT model, point_idx - 2 AS point_idx, round(recall, 6) AS recall, round(prec, 6) AS \"precision\" "
                 "FROM steps WHERE point_idx >= 2") + ")")
 def pr_step_points_null_model(t):
-    return _rounded(curves.step_points(curves.prc_curve(_null_model_scores(t), binary_as_point=False, slices=8)))
+    return _rounded(curves.step_points(curves.prc_curve(_null_model_scores(t), binary_as_point=False)))

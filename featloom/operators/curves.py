@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import named_col
-from ..plans.ordered import is_small, running_totals, with_group_totals
+from ..plans.ordered import GROUP, running_totals
 
 
 def scores_long(df: DataFrame, y_trues: str | Sequence[str], y_preds: str | Sequence[str],
@@ -37,32 +37,41 @@ def scores_long(df: DataFrame, y_trues: str | Sequence[str], y_preds: str | Sequ
     return df.select(F.explode(F.array(*rows)).alias("s")).select("s.model", "s.y_true", "s.y_pred")
 
 
-def _counted(scores: DataFrame, slices: int | None) -> DataFrame:
-    """Distinct scores with their counts, the running counts, rank and precision."""
-    score = F.col("y_pred").cast("double")
-    truth = F.col("y_true").cast("double")
-    # missing values have no place in a curve
-    score = F.when(score.isNull() | F.isnan(score), F.raise_error(F.lit("null or NaN in y_pred"))).otherwise(score)
-    truth = F.when(truth.isin(0.0, 1.0), truth).otherwise(F.raise_error(F.lit("y_true must be 0 or 1")))
-    points = (scores.select("model", truth.cast("long").alias("positive"), score.alias("threshold"))
-              .groupBy("model", "threshold")
-              .agg(F.sum("positive").alias("positive"), F.count("*").alias("rows")))
+def _counted(scores: DataFrame) -> DataFrame:
+    """Distinct scores with their counts, the running counts, rank and precision, and the positives, examples and thresholds of the model.
+
+    Counts are doubles, exact up to 2^53. A faulty row counts as NaN, which spreads through all sums of its model, so that the query fails
+    in its last stage (:func:`_checked`); three columns serve every part of the plan, and what they come from is computed once.
+    """
+    score, truth = (F.col(c).cast("double") for c in ("y_pred", "y_true"))
+    fault, missing = F.lit(float("nan")), score.isNull() | F.isnan(score)
+    points = (scores.select("model", F.when(truth.isin(0.0, 1.0), truth).otherwise(fault).alias("positive"),
+                            F.when(missing, F.lit(0.0)).otherwise(score).alias("threshold"), F.when(missing, fault).otherwise(F.lit(1.0)).alias("rows"))
+              .groupBy("model", "threshold").agg(F.sum("positive").alias("positive"), F.sum("rows").alias("rows")))
     return running_totals(
-        points, ["model"], [F.col("threshold").desc()],
-        {"true_positive": F.col("positive"), "predicted": F.col("rows"), "rank": F.lit(1)},
-        slices, whole_groups=slices is None and is_small(scores)
+        points, ["model"], "threshold", {"true_positive": F.col("positive"), "predicted": F.col("rows"), "rank": F.lit(1)},
+        {"positives": F.col("positive"), "examples": F.col("rows"), "thresholds": F.lit(1)}
     ).withColumn("precision", F.col("true_positive") / F.col("predicted"))
 
 
-def _curve(scores: DataFrame, slices: int | None) -> DataFrame:
-    """:func:`_counted` with recall, average precision and the totals of the model."""
-    totalled = with_group_totals(_counted(scores, slices), ["model"], {
-        "positives": (F.sum, F.col("positive")), "thresholds": (F.sum, F.lit(1)),
-        "lowest": (F.min, F.col("threshold")), "highest": (F.max, F.col("threshold")),
-        # a threshold's recall gain is its own positives over all positives
-        "gains": (F.sum, F.col("positive") * F.col("precision"))})
-    return totalled.withColumns({
-        "recall": _recall(F.col("true_positive")), "auc": _auc(F.col("gains"), F.col("positives"))})
+def _checked(df: DataFrame) -> DataFrame:
+    """Fails when a row is asked for whose model has missing scores, which have no place in a curve, or other truths than 0 and 1."""
+    def error(text: str) -> Column:
+        return F.raise_error(F.lit(text)).cast("boolean")
+    # a NaN among the counts makes the average precision one
+    return df.where(F.when(~F.isnan("auc"), F.lit(True)).when(F.isnan("examples"), error("null or NaN in y_pred"))
+                    .otherwise(error("y_true must be 0 or 1")))
+
+
+def _curve(scores: DataFrame) -> DataFrame:
+    """:func:`_counted` with recall, average precision, and the lowest and highest score of the model."""
+    # The second key is always 0, but not a constant: a model that is one must not make the join a product.
+    counted = _counted(scores).withColumn("__zero", F.pmod("rank", F.lit(1)))
+    # A threshold's recall gain is its own positives over all positives. There is a row for each model.
+    models = counted.groupBy(GROUP, "__zero").agg(
+        F.min("threshold").alias("lowest"), F.max("threshold").alias("highest"),
+        _auc(F.sum(F.col("positive") * F.col("precision")), F.max("positives")).alias("auc"))
+    return _checked(counted.join(models, [GROUP, "__zero"])).withColumn("recall", _recall(F.col("true_positive")))
 
 
 def _auc(gains: Column, positives: Column) -> Column:
@@ -73,10 +82,12 @@ def _recall(true_positive: Column) -> Column:
     return F.when(F.col("positives") == 0, F.lit(1.0)).otherwise(F.try_divide(true_positive, F.col("positives")))
 
 
-def average_precision(scores: DataFrame, slices: int | None = None) -> DataFrame:
+def average_precision(scores: DataFrame) -> DataFrame:
     """``model, auc``: the sum over thresholds of recall gain times precision."""
     gains = F.sum(F.col("positive") * F.col("precision"))
-    return _counted(scores, slices).groupBy("model").agg(_auc(gains, F.sum("positive")).alias("auc"))
+    models = _counted(scores).groupBy("model").agg(
+        _auc(gains, F.max("positives")).alias("auc"), F.max("examples").alias("examples"))
+    return _checked(models).select("model", "auc")
 
 
 def _as_points(curve: DataFrame) -> DataFrame:
@@ -89,32 +100,29 @@ def _as_points(curve: DataFrame) -> DataFrame:
         "thresholds": F.when(binary, F.lit(1)).otherwise(F.col("thresholds"))})
 
 
-def prc_curve(scores: DataFrame, binary_as_point: bool = True, slices: int | None = None) -> DataFrame:
+def prc_curve(scores: DataFrame, binary_as_point: bool = True) -> DataFrame:
     """Precision and recall at every threshold of every model.
 
     Columns ``model, point_idx, precision, recall, threshold, is_binary, auc``;
     ``point_idx`` counts from the highest threshold. The closing point (precision 1,
     recall 0) is left out. With ``binary_as_point`` a model with at most two distinct
-    scores gives one point.
-
-    :param slices: number of slices for the running totals; by default one window per
-        model if there are few rows (they are counted), else as many slices as shuffle partitions
+    scores gives one point. The plan is lazy and the same for any number of rows.
     """
-    curve = _curve(scores, slices)
+    curve = _curve(scores)
     if binary_as_point:
         curve = _as_points(curve)
     return curve.select("model", (F.col("rank") - 1).alias("point_idx"), "precision", "recall", "threshold",
                         (F.col("thresholds") == 1).alias("is_binary"), "auc")
 
 
-def prc_step_curve(scores: DataFrame, binary_as_point: bool = True, slices: int | None = None) -> DataFrame:
+def prc_step_curve(scores: DataFrame, binary_as_point: bool = True) -> DataFrame:
     """The curve as the corners of a step plot, from (recall 0, precision 1) on.
 
     Columns ``model, point_idx, recall, precision, is_binary, auc``, recall ascending.
     Between two points comes the corner with the recall of the first and the precision of
     the second.
     """
-    curve = _curve(scores, slices)
+    curve = _curve(scores)
     single = F.lit(False)
     if binary_as_point:
         single = F.col("thresholds") <= 2

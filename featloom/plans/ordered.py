@@ -2,85 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import named_col
-from .storage import checkpointed, ensure_checkpoint_dir
+from .storage import checkpointed
 
-# Column that numbers the slices of a frame.
-SLICE = "__slice"
-# Column that holds the group of a sliced frame's row as a struct.
+# Column that holds the group of a row as a struct, so that nulls in it are equal.
 GROUP = "__group"
+# Bits of a number's mantissa that tell the digits of the two upper levels apart; its exponent is part of the first.
+DIGITS = (10, 21)
+_LEVELS = ("__digit1", "__digit2")
 
 
-def sliced(df: DataFrame, order: Sequence[Column], slices: int | None = None) -> DataFrame:
-    """``df`` cut into consecutive ranges of ``order``, numbered in ``__slice``.
+def _digits(number: Column, bits: Sequence[int]) -> list[Column]:
+    """Two digits of a double, in the order of the numbers: the second orders the numbers of equal first ones, as far as it goes.
 
-    The result is written to the checkpoint folder: the range bounds come from sampling,
-    and all later uses must see the same slices.
+    The first is sign, exponent and the leading bits of the mantissa; the second the bits that follow. Exponents come from a logarithm
+    that never falls as its argument grows, so a rounding error moves a border between digits but keeps the order.
     """
-    ranged = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
-    return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id()))
-
-
-# Frames of no more rows than this may be one window: even a single task can finish it.
-SMALL_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` has few rows, by counting them; asks for a checkpoint folder whatever the answer."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.count() <= SMALL_ROWS
-
-
-def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column], running: Mapping[str, Column],
-                   slices: int | None = None, whole_groups: bool = False) -> DataFrame:
-    """Add inclusive running sums of ``running`` along ``order`` within each group; null is a group like any other.
-
-    With ``whole_groups`` each group is one window, for frames small enough. Otherwise the
-    frame is range-partitioned into slices (columns ``__slice`` and ``__group`` of the result). The sums
-    per (group, slice) -- at most groups + slices rows -- give each slice its starting
-    value, and the windows run within slices. Those sums meet the rows in the shuffle that
-    the windows need anyway.
+    size = F.abs(number)
+    exponent = F.floor(F.log2(size))
+    mantissa = size / F.pow(F.lit(2.0), exponent.cast("double"))  # 1 to 2
+    first = (exponent + 1_100) * (1 << bits[0] + 1) + F.floor(mantissa * float(1 << bits[0]))
+    fine = F.floor(mantissa * float(1 << sum(bits)))
+    sign = F.when(number < 0, F.lit(-1)).otherwise(F.lit(1))
+    ends = F.lit(1 << 40)  # beyond every other digit
+
+    def signed(value: Column, infinite: Column) -> Column:
+        digit = F.when(size == 0, F.lit(0)).when(size == float("inf"), sign * infinite).otherwise(sign * value).cast("long")
+        # never null, so that a join on digits adds no filter to one side: equal sides are then computed once
+        return F.coalesce(digit, F.lit(0).cast("long"))
+    return [signed(first, ends), signed(F.pmod(fine, F.lit(1 << bits[1])), F.lit(0))]
+
+
+def running_totals(df: DataFrame, group: Sequence[str], by: str, running: Mapping[str, Column], totals: Mapping[str, Column] | None = None,
+                   digits: Sequence[int] = DIGITS) -> DataFrame:
+    """Add inclusive running sums of ``running`` along descending ``by`` within each group, and sums ``totals`` over the whole group.
+
+    ``by`` is a double that no two rows of a group share, and not NaN; null is a group like any other. Numbers are cut to two digits and a
+    rest, like the levels of a tree. Sums of the digits, each started by the level above, give the rows of a
+    pair of digits their starting value, so every window is bounded by what its level can tell apart, however the numbers
+    are distributed: a few million rows for digits, 2^21 for rows. Nothing is sampled, counted or stored: the plan is lazy, is the same
+    at every size, and gives the same on every run.
     """
     keys = [named_col(c) for c in group]
-    sums = {name: value.cast("long") for name, value in running.items()}
-    if whole_groups:
-        window = _upto(keys, order)
-        return df.select("*", *(F.sum(value).over(window).alias(name) for name, value in sums.items()))
-
-    # A struct equals another one with nulls in the same places, where a bare null would meet nothing.
-    cut = sliced(df.withColumn(GROUP, F.struct(*keys)), [*keys, *order], slices)
-    earlier = Window.partitionBy(GROUP).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = cut.groupBy(GROUP, SLICE).agg(*(F.sum(value).alias(f"__{name}") for name, value in sums.items()))
-    starts = per_slice.select(
-        GROUP, SLICE,
-        *(F.coalesce(F.sum(f"__{name}").over(earlier), F.lit(0)).alias(f"__before_{name}") for name in sums))
-    window = _upto([F.col(GROUP), F.col(SLICE)], order)
-    return cut.join(starts.hint("shuffle_hash"), on=[GROUP, SLICE]).select(
-        *(named_col(c) for c in df.columns), GROUP, SLICE,
-        *((F.col(f"__before_{name}") + F.sum(value).over(window)).alias(name) for name, value in sums.items()))
-
-
-def with_group_totals(df: DataFrame, group: Sequence[str],
-                      totals: Mapping[str, tuple[Callable[[Column], Column], Column]]) -> DataFrame:
-    """Add aggregates of each group to its rows: name -> (``F.sum | F.min | F.max``, column).
-
-    On a sliced frame, as :func:`running_totals` gives, the rows stay where they are: the
-    aggregates are taken per slice, combined, and brought back by (group, slice). A plain
-    join on the group would send a large group to one task.
-    """
-    if SLICE not in df.columns:
-        entire = Window.partitionBy(*map(named_col, group))
-        return df.select("*", *(how(value).over(entire).alias(name) for name, (how, value) in totals.items()))
-    entire = Window.partitionBy(GROUP)
-    per_slice = df.groupBy(GROUP, SLICE).agg(*(how(value).alias(name) for name, (how, value) in totals.items()))
-    combined = per_slice.select(GROUP, SLICE, *(how(named_col(name)).over(entire).alias(name)
-                                                for name, (how, _) in totals.items()))
-    return df.join(combined.hint("shuffle_hash"), on=[GROUP, SLICE])
+    totals = totals or {}
+    sums = dict(running)
+    base = df.withColumns({GROUP: F.struct(*keys), **dict(zip(_LEVELS, _digits(named_col(by), digits)))})
+    one, two = ([GROUP, *_LEVELS[:n]] for n in (1, 2))
+    lower = base.groupBy(*two).agg(*(F.sum(v).alias(n) for n, v in sums.items()), *(F.sum(v).alias(n) for n, v in totals.items()))
+    upper = lower.groupBy(*one).agg(*(F.sum(named_col(n)).alias(n) for n in [*sums, *totals]))
+
+    def earlier(name: str, partition: list[str], level: str) -> Column:
+        window = Window.partitionBy(*partition).orderBy(F.col(level).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(named_col(name)).over(window), F.lit(0))
+    above = upper.select(*one, *(earlier(n, [GROUP], _LEVELS[0]).alias(f"__above_{n}") for n in sums),
+                         *(F.sum(named_col(n)).over(Window.partitionBy(GROUP)).alias(f"__all_{n}") for n in totals))
+    starts = (lower.select(*two, *(earlier(n, one, _LEVELS[1]).alias(f"__start_{n}") for n in sums)).join(above, on=one)
+              .select(*two, *((F.col(f"__start_{n}") + F.col(f"__above_{n}")).alias(f"__start_{n}") for n in sums),
+                      *(f"__all_{n}" for n in totals)))
+    window = Window.partitionBy(*two).orderBy(named_col(by).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return base.join(starts, on=two).select(
+        *(named_col(c) for c in df.columns), GROUP, *((F.col(f"__start_{n}") + F.sum(v).over(window)).alias(n) for n, v in sums.items()),
+        *(F.col(f"__all_{n}").alias(n) for n in totals))
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -94,18 +81,13 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFram
     stored = checkpointed(ranged.withColumn("__id", F.monotonically_increasing_id()))
     # the id is (partition number << 33) + row number within the partition
     part = F.shiftright("__id", 33)
-    counts = stored.groupBy(part.alias(SLICE)).count().orderBy(SLICE).collect()
+    counts = stored.groupBy(part.alias("__slice")).count().orderBy("__slice").collect()
     starts, total = {}, 0
     for row in counts:
-        starts[row[SLICE]] = total
+        starts[row["__slice"]] = total
         total += row["count"]
     start_table = df.sparkSession.createDataFrame(
-        [(s, n) for s, n in starts.items()], f"{SLICE} long, __start long")
+        [(s, n) for s, n in starts.items()], "__slice long, __start long")
     position = F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return (stored.withColumn(SLICE, part).join(F.broadcast(start_table), on=SLICE)
+    return (stored.withColumn("__slice", part).join(F.broadcast(start_table), on="__slice")
             .select(position.alias(name), *(named_col(c) for c in df.columns)))
-
-
-def _upto(keys: Sequence[Column], order: Sequence[Column]):
-    return (Window.partitionBy(*keys).orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))

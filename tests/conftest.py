@@ -28,3 +28,14 @@ def sf_dir():
 def rows(df):
     """All rows as sorted plain tuples (nulls first)."""
     return sorted((tuple(r) for r in df.collect()), key=lambda r: [(v is not None, str(type(v)), v) for v in r])
+
+
+def counting(df, spark):
+    """``df`` behind Python, and how many of its rows were computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    return df.mapInArrow(run, df.schema), seen

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, Phase, given, settings
@@ -7,6 +9,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import featloom as fl
+from featloom.plans import ordered
+
+from .conftest import counting
 
 SCHEMA = "model string, y_true int, y_pred double"
 
@@ -45,13 +50,13 @@ scores = st.lists(st.tuples(st.integers(0, 1), st.sampled_from([0.1, 0.2, 0.25,
 
 
 @settings(max_examples=6, deadline=None, phases=[Phase.explicit, Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(a=scores, b=scores, slices=st.sampled_from([None, 3]))
-def test_curves_equal_brute_force(spark, a, b, slices):
+@given(a=scores, b=scores)
+def test_curves_equal_brute_force(spark, a, b):
     models = {"a": a, "b": b}
     df = spark.createDataFrame([(m, y, s) for m, ex in models.items() for y, s in ex], SCHEMA)
-    curve = fl.prc_curve(df, binary_as_point=False, slices=slices).orderBy("model", "point_idx").collect()
-    corner = fl.prc_step_curve(df, binary_as_point=False, slices=slices).orderBy("model", "point_idx").collect()
-    auc = {r.model: r.auc for r in fl.average_precision(df, slices=slices).collect()}
+    curve = fl.prc_curve(df, binary_as_point=False).orderBy("model", "point_idx").collect()
+    corner = fl.prc_step_curve(df, binary_as_point=False).orderBy("model", "point_idx").collect()
+    auc = {r.model: r.auc for r in fl.average_precision(df).collect()}
     for model, examples in models.items():
         points, expected_auc = brute_force(examples)
         mine = [r for r in curve if r.model == model]
@@ -65,15 +70,50 @@ def test_curves_equal_brute_force(spark, a, b, slices):
         assert not any(r.is_binary for r in mine)
 
 
-def test_many_slices_equal_one_window(spark):
+NUMBERS = [0.0, 5e-324, -5e-324, 2.2e-308, 1e-300, 0.1, 0.30000000000000004, 0.3, 1 - 2**-53, 1.0, 1 + 2**-52, 1.5, 2.0, 3.0, 1e9, 1e9 + 1, 2.0**53,
+           1.7e308, math.inf, -0.1, -1.0, -1 - 2**-52, -1.5, -2.0, -1e9, -1.7e308, -math.inf] + [1 + k * 2**-40 for k in range(20)]
+
+
+@pytest.mark.parametrize("bits", [ordered.DIGITS, (1, 2), (0, 3)])
+def test_digits_keep_the_order_of_numbers(spark, bits):
+    rng = random.Random(17)
+    numbers = NUMBERS + [rng.uniform(-1, 1) * 2.0**rng.randint(-1060, 1020) for _ in range(3000)] + [1 + rng.random() * 2**-20 for _ in range(1000)]
+    numbers += [s * 2.0**k * (1 + d * 2**-52) for k in range(-1000, 1000, 7) for d in (0, 1) for s in (1, -1)]
+    numbers += [math.nextafter(2.0**k, 0) for k in range(-1000, 1000, 7)]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    out = sorted((r.x, (r.d1, r.d2)) for r in df.select("x", *(c.alias(f"d{k}") for k, c in enumerate(ordered._digits(F.col("x"), bits), 1))).collect())
+    assert all(a[1] <= b[1] for a, b in zip(out, out[1:]))
+    if bits == ordered.DIGITS:  # 31 bits of the mantissa are told apart
+        assert len({d for _, d in out}) > 4000
+
+
+@pytest.mark.parametrize("bits", [ordered.DIGITS, (1, 2), (0, 1)])
+def test_running_totals_over_any_numbers(spark, monkeypatch, bits):
     rng = random.Random(5)
-    data = [(f"m{rng.randrange(3)}", rng.randrange(2), rng.choice([0.5, round(rng.random(), 3)])) for _ in range(3000)]
-    df = spark.createDataFrame(data, SCHEMA)
-    for build in (fl.prc_curve, fl.prc_step_curve, fl.average_precision):
-        plain = [tuple(r) for r in build(df).collect()]
-        cut = [tuple(r) for r in build(df, slices=7).collect()]
-        def key(r): return tuple(round(v, 9) if isinstance(v, float) else v for v in r)
-        assert sorted(map(key, plain)) == sorted(map(key, cut))
+    rows = [(m, x, rng.randrange(5)) for m in ("a", None) for x in NUMBERS + [round(rng.random(), 4) for _ in range(200)]]
+    rows = list({(m, x): (m, x, v) for m, x, v in rows}.values())
+    df = spark.createDataFrame(rows, "g string, x double, v int").repartition(5)
+    out = ordered.running_totals(df, ["g"], "x", {"upto": F.col("v"), "rank": F.lit(1)}, {"all": F.col("v")}, digits=bits).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        mine = [v for m, x, v in rows if m == r.g and x >= r.x]
+        assert (r.upto, r.rank) == (sum(mine), len(mine)) and r["all"] == sum(v for m, _, v in rows if m == r.g)
+
+
+def test_planning_runs_no_job_and_stores_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([("m", i % 2, float(i)) for i in range(50)], SCHEMA)
+    df, seen = counting(df, spark)
+    group = "curve-planning"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        curves = [fl.prc_curve(df), fl.prc_step_curve(df), fl.average_precision(df)]
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group) and seen.value == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for curve in curves:
+        before = seen.value
+        curve.collect()
+        assert seen.value - before == 50  # the scores are computed once, whatever is made of them
 
 
 def binary(spark, data):
@@ -132,40 +172,25 @@ def test_step_points_of_any_curve(spark):
     assert out == [(0, 0.0, 1.0), (1, 0.0, 0.5), (2, 0.4, 0.5), (3, 0.4, 0.7), (4, 1.0, 0.7)]
 
 
-def test_sliced_plan_moves_no_model_to_one_task(spark):
+def test_windows_are_bounded_by_digits(spark):
     df = spark.createDataFrame([("m", i % 2, float(i)) for i in range(50)], SCHEMA)
-    plan = fl.prc_curve(df, slices=4)._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan and "Broadcast" not in plan
-    # the rows themselves travel by (model, slice) only
-    assert plan.count("ShuffledHashJoin") >= 2
+    plan = fl.prc_curve(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    # the rows themselves are ordered within both digits
+    assert re.search(r"Window .*windowspecdefinition\(__group#\d+, __digit1#\d+L?, __digit2#\d+L?, threshold", plan)
 
 
-def test_null_models_are_models_in_both_forms(spark, tmp_path):
+def test_null_models_are_models(spark, tmp_path):
     df = spark.createDataFrame([(m, k % 2, float(k)) for m in (None, "a") for k in range(3)], "model string, y_true int, y_pred double")
     df.write.parquet(str(tmp_path / "scores"))
     df = spark.read.parquet(str(tmp_path / "scores"))
     for build in (fl.prc_curve, fl.prc_step_curve, fl.average_precision):
-        short, cut = ({tuple(r) for r in build(df, slices=n).collect()} for n in (None, 3))
-        assert short == cut and {r[0] for r in short} == {None, "a"}
-    assert fl.prc_curve(df, slices=3).count() == 6
+        assert {r.model for r in build(df).collect()} == {None, "a"}
+    assert fl.prc_curve(df).count() == 6
     steps = fl.step_points(fl.prc_curve(df, binary_as_point=False))
     assert steps.count() == 10 and steps.where("recall IS NULL").count() == 0
 
 
-def test_few_rows_are_one_window_and_exploded_ones_are_sliced(spark, tmp_path, monkeypatch):
-    from featloom.plans import ordered
-    stored = []
-    monkeypatch.setattr(ordered, "checkpointed", lambda df: stored.append(1) or df.cache())
-    monkeypatch.setattr(ordered, "SMALL_ROWS", 1000)
-    six = spark.createDataFrame([("m", k % 2, float(k)) for k in range(6)], "model string, y_true int, y_pred double")
-    assert fl.prc_curve(six).count() == 6 and not stored
-    six.write.parquet(str(tmp_path / "six"))
-    many = spark.read.parquet(str(tmp_path / "six")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500))))
-    many = many.select("model", "y_true", F.col("k").cast("double").alias("y_pred"))
-    assert fl.prc_curve(many).count() == 500 and stored
-
-
-def test_step_points_compute_the_curve_once(spark, sf_dir):
-    scores = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("'m' AS model", "int(l_returnflag = 'R') AS y_true", "l_tax AS y_pred")
-    plan = fl.step_points(fl.prc_curve(scores))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1
+def test_step_points_compute_the_curve_once(spark):
+    scores, seen = counting(spark.createDataFrame([("m", i % 2, float(i)) for i in range(50)], SCHEMA), spark)
+    assert len(fl.step_points(fl.prc_curve(scores)).collect()) == 99 and seen.value == 50
