@@ -48,6 +48,10 @@ def featureset_outer(t):
                      "feature.supplier@stats.all.rows": 0})
 
 
+#: Splits whatever can be split, at any size.
+_EVERYTHING_HOT = SkewPolicy(hot_rows=2, sample=1.0)
+
+
 _BY_STATUS = {"finished": "F", "open": "O", "pending": "P"}
 _SAMEKEY_SPEC = {name: ["orders", "total"] for name in _BY_STATUS}
 _SAMEKEY_SQL = """
@@ -80,33 +84,65 @@ def featureset_samekey_unique(t):
     return join_featuresets(_orders_by_status(t), _SAMEKEY_SPEC, ["cust"], unique_keys=True)
 
 
-@query("featureset_repeated_keys", """
+@query("featureset_samekey_spine", _SAMEKEY_SQL)
+def featureset_samekey_spine(t):
+    """The same by left joins onto the distinct customers of all sets."""
+    return join_featuresets(_orders_by_status(t), _SAMEKEY_SPEC, ["cust"], spine=True)
+
+
+_REPEATED_SQL = """
 WITH o AS (SELECT o_custkey AS cust, o_orderkey FROM orders),
      e AS (SELECT user_id AS cust, event_id FROM events)
 SELECT cust, o_orderkey AS "feature.orders@o_orderkey", event_id AS "feature.events@event_id"
-FROM o FULL JOIN e USING (cust)""")
-def featureset_repeated_keys(t):
-    """Keys repeat on both sides: rows multiply, as in any join."""
+FROM o FULL JOIN e USING (cust)"""
+
+
+def _repeated_keys(t, **options):
     return join_featuresets(
         {"orders": t("orders").withColumnRenamed("o_custkey", "cust"),
          "events": t("events").withColumnRenamed("user_id", "cust")},
-        {"orders": ["o_orderkey"], "events": ["event_id"]}, ["cust"])
+        {"orders": ["o_orderkey"], "events": ["event_id"]}, ["cust"], **options)
+
+
+@query("featureset_repeated_keys", _REPEATED_SQL)
+def featureset_repeated_keys(t):
+    """Keys repeat on both sides: rows multiply, as in any join."""
+    return _repeated_keys(t)
+
 
+@query("featureset_repeated_keys_spine", _REPEATED_SQL)
+def featureset_repeated_keys_spine(t):
+    """The same by left joins onto the distinct customers, hot ones dealt out to parts."""
+    return _repeated_keys(t, spine=True, skew=_EVERYTHING_HOT)
 
-@query("featureset_key_chain", """
+
+_CHAIN_SQL = """
 WITH e AS (SELECT user_id AS cust, count(*) AS n FROM events GROUP BY 1),
      o AS (SELECT o_custkey AS cust, o_orderstatus AS kind, count(*) AS n FROM orders GROUP BY 1, 2),
      l AS (SELECT l_linestatus AS kind, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT cust, kind, e.n AS "feature.events@n", o.n AS "feature.orders@n", l.n AS "feature.lines@n"
-FROM e FULL JOIN o USING (cust) FULL JOIN l USING (kind)""")
-def featureset_key_chain(t):
-    """Groups {cust}, {cust, kind} and {kind}: each step joins on what both sides have."""
+FROM e FULL JOIN o USING (cust) FULL JOIN l USING (kind)"""
+
+
+def _key_chain(t, **options):
     return join_featuresets(
         {"events": t("events").groupBy(F.col("user_id").alias("cust")).agg(F.count("*").alias("n")),
          "orders": t("orders").groupBy(F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("kind"))
          .agg(F.count("*").alias("n")),
          "lines": t("lineitem").groupBy(F.col("l_linestatus").alias("kind")).agg(F.count("*").alias("n"))},
-        {"events": ["n"], "orders": ["n"], "lines": ["n"]}, ["cust", "kind"])
+        {"events": ["n"], "orders": ["n"], "lines": ["n"]}, ["cust", "kind"], **options)
+
+
+@query("featureset_key_chain", _CHAIN_SQL)
+def featureset_key_chain(t):
+    """Groups {cust}, {cust, kind} and {kind}: each step joins on what both sides have."""
+    return _key_chain(t)
+
+
+@query("featureset_key_chain_spine", _CHAIN_SQL)
+def featureset_key_chain_spine(t):
+    """The same, each step by left joins onto the keys of both sides."""
+    return _key_chain(t, spine=True)
 
 
 # sets with the same keys meet first, by a full outer join; the result goes onto the customers
@@ -159,6 +195,16 @@ def featureset_initial_anti(t):
     return _onto_customers(t, "left_anti")
 
 
+@query("featureset_initial_anti_some", """
+WITH e AS (SELECT user_id AS cust, count(*) AS n FROM events WHERE event_type = 'error' AND value > 60 GROUP BY 1)
+SELECT c_custkey AS cust, c_mktsegment AS segment FROM customer ANTI JOIN e ON c_custkey = cust""")
+def featureset_initial_anti_some(t):
+    """Customers without a costly error: some stay and some go."""
+    costly = t("events").where("event_type = 'error' AND value > 60").groupBy(F.col("user_id").alias("cust")).agg(F.count("*").alias("n"))
+    return join_featuresets({"events": costly}, {"events": ["n"]}, ["cust"], join="left_anti",
+                            initial_df=t("customer").select(F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("segment")))
+
+
 _BROADCAST_SQL = """
 WITH s AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1),
      c AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1, 2),
@@ -204,10 +250,6 @@ def _written(timestamp):
     return F.date_format(timestamp, "yyyy-MM-dd HH:mm:ss")
 
 
-#: Splits whatever can be split, at any size.
-_EVERYTHING_HOT = SkewPolicy(hot_rows=2, sample=1.0)
-
-
 @query("featureset_outer_hot", """
 WITH e AS (SELECT date_trunc('day', ts) AS day, event_id FROM events),
      o AS (SELECT date_trunc('day', o_orderdate) AS day, o_orderkey FROM orders)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import named_col
 from ..functions.nested import select_nested_fields
-from ..plans.skew import DEFAULT_POLICY, HotKeys, SkewPolicy, find_hot_keys, split_join, with_all_values
+from ..plans.skew import DEFAULT_POLICY, HotKeys, SkewPolicy, hot_keys_of, split_join, stored_if_derived, with_all_values
 
 # Accepted spellings of each join type.
 JOIN_TYPES = {
@@ -60,26 +60,30 @@ class _Joined:
         self.name, self.df, self.keys, self.parts = name, df, keys, parts
         self.has_gaps = False  # rows of some parts have nulls in keys they lack
 
-    def hot(self, on: list[str], index_cols: list[str], policy: SkewPolicy | None, seen: dict) -> HotKeys:
-        total = HotKeys()
-        for part in self.parts:
-            if part.can_repeat(on, index_cols):
-                key = (id(part), tuple(on))
-                if key not in seen:
-                    seen[key] = find_hot_keys(part.df, on, policy)
-                total = total.merge(seen[key])
-        return total
-
-    def join(self, other: "_Joined", how: str, index_cols: list[str], policy, seen: dict) -> "_Joined":
+    def searched(self, on: list[str], index_cols: list[str]) -> list[_Part]:
+        """The parts in which keys of a join on ``on`` may repeat."""
+        return [part for part in self.parts if part.can_repeat(on, index_cols)]
+
+    def hot(self, on: list[str], index_cols: list[str], seen: dict) -> HotKeys:
+        return reduce(HotKeys.merge, (seen[id(part), tuple(on)] for part in self.searched(on, index_cols)), HotKeys())
+
+    def join(self, other: "_Joined", how: str, index_cols: list[str], policy, seen: dict, spine: bool = False) -> "_Joined":
         on = [c for c in index_cols if c in self.keys and c in other.keys]
         if not on:
             raise ValueError(f"{self.name} and {other.name} share none of the index columns {index_cols}")
-        hot_left = self.hot(on, index_cols, policy, seen)
         filtering = how in ("left_semi", "left_anti")
-        hot_right = HotKeys() if filtering else other.hot(on, index_cols, policy, seen)
+        # one job for all parts of both sides that were not searched for these keys before
+        new = [part for side in ([self] if filtering else [self, other]) for part in side.searched(on, index_cols)
+               if (id(part), tuple(on)) not in seen]
+        seen.update(((id(part), tuple(on)), hot) for part, hot in zip(new, hot_keys_of([part.df for part in new], on, policy)))
+        hot_left = self.hot(on, index_cols, seen)
+        hot_right = HotKeys() if filtering else other.hot(on, index_cols, seen)
         gaps = self.has_gaps or other.has_gaps
-        df = split_join(self.df, other.df, on, how, hot_left, hot_right,
-                        spread_nulls=policy is not None and gaps and how != "inner")
+        if spine and how == "full":
+            df = onto_spine([self.df, other.df], on, [hot_left, hot_right])
+        else:
+            df = split_join(self.df, other.df, on, how, hot_left, hot_right,
+                            spread_nulls=policy is not None and gaps and how != "inner")
         out = _Joined(f"{self.name} + {other.name}", df, self.keys, self.parts)
         out.has_gaps = self.has_gaps
         if not filtering:
@@ -101,6 +105,7 @@ def join_featuresets(
     ignore_missing_columns: bool = True,
     *,
     unique_keys: bool = False,
+    spine: bool = False,
     skew: SkewPolicy | None = DEFAULT_POLICY,
 ) -> DataFrame:
     """Extract features from many tables and join them to one.
@@ -116,8 +121,10 @@ def join_featuresets(
     :param ignore_missing_columns: drop index columns found nowhere, instead of raising
     :param unique_keys: the caller promises that no set repeats a key. Sets with the same
         index columns then meet in a single shuffle; a broken promise fails the query.
-    :param skew: when to look for hot keys in the inputs (a job over a sample of the key
-        columns, for inputs above a size); ``None`` never looks
+    :param spine: make full outer joins as left joins onto the distinct keys of all sides. Conditions on the
+        keys of the result then reach every side's scan, and *k* sets with the same index columns take *k* + 1 exchanges
+        instead of 2 *k* - 2; but keys are read once more. ``unique_keys`` takes precedence where it applies.
+    :param skew: when to look for hot keys in the inputs (a job over their key columns); ``None`` never looks
     """
     how = JOIN_TYPES.get(join)
     if how is None:
@@ -144,11 +151,25 @@ def join_featuresets(
     spread_values = _broadcast_values(broadcast_columns, groups, index_cols)
     seen: dict = {}
     sides = []
-    for keys, members in groups.items():
+    held = [[c for c in index_cols if c in keys or c in spread_values] for keys in groups]
+    if initial_df is not None:
+        held.insert(0, [c for c in index_cols if c in initial_df.columns])
+    searched = _searched_keys(held, index_cols, how)
+
+    def stored(frame: DataFrame, key_sets: list[list[str]], unique: bool) -> DataFrame:
+        own = [c for c in index_cols if c in frame.columns]
+        for on in ([c for c in keys if c in own] for keys in key_sets):
+            if on and _Part(frame, unique).can_repeat(on, index_cols):
+                frame = stored_if_derived(frame, on, skew)
+        return frame
+
+    for place, (keys, members) in enumerate(groups.items(), start=initial_df is not None):
         lacking = [c for c in index_cols if c not in keys and c in spread_values]
         if not keys and (len(members) > 1 or not lacking):
             raise ValueError(f"no index column in {[name for name, _ in members]}")
-        side = _join_group(list(keys), members, unique_keys, skew, seen)
+        inner = [list(keys)] if len(members) > 1 and not unique_keys else []
+        members = [(name, stored(frame, inner + searched[place], unique_keys)) for name, frame in members]
+        side = _join_group(list(keys), members, unique_keys, spine, skew, seen)
         for column in lacking:
             values = spread_values[column]
             side.parts = [_Part(with_all_values(part.df.select(*map(named_col, side.keys)), values), part.unique)
@@ -158,11 +179,11 @@ def join_featuresets(
         sides.append(side)
 
     if initial_df is not None:
-        keys = [c for c in index_cols if c in initial_df.columns]
-        sides.insert(0, _Joined("the initial table", initial_df, keys, [_Part(initial_df)]))
+        initial_df = stored(initial_df, searched[0], False)
+        sides.insert(0, _Joined("the initial table", initial_df, held[0], [_Part(initial_df)]))
     full = sides[0]
     for side in sides[1:]:
-        full = full.join(side, how, index_cols, skew, seen)
+        full = full.join(side, how, index_cols, skew, seen, spine)
 
     # index columns as given, then the rest in join order
     index = [c for c in index_cols if c in full.df.columns]
@@ -176,6 +197,19 @@ def join_featuresets(
         _filled(c, types[c], fills[c]).alias(c) if c in fills else named_col(c) for c in index + rest))
 
 
+def _searched_keys(sides: list[list[str]], index_cols: list[str], how: str) -> list[list[list[str]]]:
+    """For each side, in join order, the key sets of the joins that its rows take part in and whose hot keys are searched."""
+    out: list[list[list[str]]] = [[] for _ in sides]
+    joined = sides[0] if sides else []
+    for k, keys in enumerate(sides[1:], start=1):
+        on = [c for c in index_cols if c in joined and c in keys]
+        filtering = how in ("left_semi", "left_anti")
+        for side in out[:k] + ([] if filtering else [out[k]]):
+            side.append(on)
+        joined = joined if filtering else [c for c in index_cols if c in joined or c in keys]
+    return out
+
+
 def _filled(name: str, dtype: T.DataType, value) -> Column:
     column = named_col(name)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
@@ -197,7 +231,25 @@ def _broadcast_values(broadcast_columns, groups, index_cols) -> Mapping[str, Dat
     return values
 
 
-def _join_group(keys: list[str], members: list[tuple[str, DataFrame]], unique_keys: bool,
+def onto_spine(frames: Sequence[DataFrame], on: Sequence[str], hot: Sequence[HotKeys] | None = None) -> DataFrame:
+    """Full outer join of all frames on the same keys: left joins onto the distinct keys of all.
+
+    Rows with a null in the key match nothing; they are appended as they are. Hot keys of the frames are dealt out to parts.
+    """
+    hot = hot or [HotKeys() for _ in frames]
+    null_key = reduce(lambda a, b: a | b, (named_col(c).isNull() for c in on))
+    whole = [frame.where(~null_key) for frame in frames]
+    full = reduce(DataFrame.union, (frame.select(*map(named_col, on)) for frame in whole)).distinct()
+    known = HotKeys()
+    for frame, keys in zip(whole, hot):
+        keys = HotKeys(keys.table)
+        full = split_join(full, frame, on, "left", known, keys)
+        known = known.merge(keys)
+    loose = [frame.where(null_key) for frame in frames if any(frame.schema[c].nullable for c in on)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loose, full)
+
+
+def _join_group(keys: list[str], members: list[tuple[str, DataFrame]], unique_keys: bool, spine: bool,
                 skew: SkewPolicy | None, seen: dict) -> _Joined:
     sides = [_Joined(name, frame, keys, [_Part(frame, unique_keys)]) for name, frame in members]
     if len(sides) == 1:
@@ -205,6 +257,12 @@ def _join_group(keys: list[str], members: list[tuple[str, DataFrame]], unique_ke
     if unique_keys:
         return _Joined(" + ".join(name for name, _ in members), _merge_unique(keys, members), keys,
                        [part for side in sides for part in side.parts])
+    if spine:
+        frames = [frame for _, frame in members]
+        found = hot_keys_of(frames, keys, skew)
+        parts = [part for side in sides for part in side.parts]
+        seen.update(((id(part), tuple(keys)), hot) for part, hot in zip(parts, found))
+        return _Joined(" + ".join(name for name, _ in members), onto_spine(frames, keys, found), keys, parts)
     full = sides[0]
     for side in sides[1:]:
         full = full.join(side, "full", keys, skew, seen)
@@ -214,30 +272,30 @@ def _join_group(keys: list[str], members: list[tuple[str, DataFrame]], unique_ke
 def _merge_unique(keys: list[str], members: list[tuple[str, DataFrame]]) -> DataFrame:
     """Full outer join of sets without repeated keys, in one shuffle for all of them.
 
-    All rows are stacked, each set's features packed in a struct of its own, and grouped
-    by key. Rows with a null key match nothing, so each has a number of its own as a further key:
-    the set, and the row's place in it.
+    All rows with a whole key are stacked, each set's features packed in a struct of its own, and grouped
+    by key. Rows with a null in the key match nothing; they pass by the grouping, each set's as they are.
     """
     features = [[c for c in frame.columns if c not in keys] for _, frame in members]
     packs = [f"__set{i}" for i in range(len(members))]
-    null_key = reduce(lambda a, b: a | b, (named_col(k).isNull() for k in keys))
-    nullable = any(frame.schema[k].nullable for _, frame in members for k in keys)
-    apart = ["__apart"] if nullable else []
-
-    stacked = []
-    for number, ((_, frame), names, pack) in enumerate(zip(members, features, packs)):
-        row = F.struct(F.lit(number).alias("set"), F.monotonically_increasing_id().alias("row"))
-        stacked.append(frame.select(
-            *map(named_col, keys), *(F.when(null_key, row).alias(c) for c in apart),
-            F.struct(F.lit(1).alias("__row"), *map(named_col, names)).alias(pack)))
+    stacked = [frame.select(*map(named_col, keys), F.struct(F.lit(1).alias("__row"), *map(named_col, names)).alias(pack))
+               for (_, frame), names, pack in zip(members, features, packs)]
+    loose = []
+    for number, ((_, frame), pack) in enumerate(zip(members, packs)):
+        nullable = [named_col(k).isNull() for k in keys if frame.schema[k].nullable]
+        if nullable:
+            null_key = reduce(lambda a, b: a | b, nullable)
+            loose.append(stacked[number].where(null_key))
+            stacked[number] = stacked[number].where(~null_key)
 
     def checked(pack: str) -> Column:
         repeated = F.count(pack) > 1
         return F.when(repeated, F.raise_error(F.lit("unique_keys=True, but a feature set repeats a key"))) \
             .otherwise(F.any_value(pack, ignoreNulls=True)).alias(pack)
 
-    merged = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
-              .groupBy(*map(named_col, keys), *apart).agg(*map(checked, packs)))
-    return merged.select(
+    def together(frames: list[DataFrame]) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+    merged = together(stacked).groupBy(*map(named_col, keys)).agg(*map(checked, packs))
+    return together([merged, *loose]).select(
         *map(named_col, keys),
         *(F.col(pack).getField(name).alias(name) for pack, names in zip(packs, features) for name in names))

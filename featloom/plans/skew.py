@@ -1,9 +1,9 @@
 """Equi-joins that stay balanced when single keys hold a large share of the rows.
 
 Spark's adaptive execution splits skewed inner and one-sided outer joins, but never a
-full outer join, nor the optional side of a left join. Here the hot keys of each side
-are found first, by counting a sample of the key columns alone. They stay in Spark as a
-small stored table, so a key keeps its exact value. Which keys are treated as hot affects
+full outer join, nor the optional side of a left join. Here the hot keys of all sides that meet on a key
+are found first, by one job: a mergeable frequency sketch of each side's keys. A key travels through the sketch as
+a string that gives its exact value back. Which keys are treated as hot affects
 only the speed: every key of the table does exist in its side, and that is all the join relies on.
 """
 
@@ -14,17 +14,19 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import named_col
-from .storage import checkpointed, ensure_checkpoint_dir, known_unique, shuffle_partitions
+from .storage import checkpointed, known_unique, recomputed_cheaply, shuffle_partitions
 
 # A key with more rows than this on one side is worth splitting.
 HOT_ROWS = 1_000_000
-# Share of rows counted when looking for hot keys.
-SAMPLE = 0.01
+# Keys that a sketch keeps track of. A key with more than about 3.5 / TRACKED of all rows is always found.
+TRACKED = 10_000
+# Longest key, as a string, that is tracked; together they bound the bytes of a sketch.
+LONGEST = 256
 # Bound on the hot keys kept per side, and with it on what is broadcast.
 MAX_HOT_KEYS = 1_000
 MAX_PARTS = 4_096
@@ -36,10 +38,11 @@ _PARTS = ("__parts_left", "__parts_right")
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """From how many rows on a key is hot, and the share of rows counted to find such keys."""
+    """From how many rows on a key is hot, the share of rows that is looked at to find such keys, and how many are tracked."""
 
     hot_rows: int = HOT_ROWS
-    sample: float = SAMPLE
+    sample: float = 1.0
+    tracked: int = TRACKED
 
 
 DEFAULT_POLICY = SkewPolicy()
@@ -64,30 +67,89 @@ class HotKeys:
         return self.table is not None or self.nulls
 
 
-def find_hot_keys(df: DataFrame, on: Sequence[str], policy: SkewPolicy | None = DEFAULT_POLICY) -> HotKeys:
-    """Keys of ``df`` with more than ``policy.hot_rows`` rows.
+# Types whose values a string gives back exactly, with the way there and the way back. No such string holds a comma.
+_AS_TEXT = {
+    T.StringType: (lambda c: F.base64(c.cast("binary")), lambda s: F.unbase64(s).cast("string")),
+    T.BinaryType: (F.base64, F.unbase64),
+    T.DateType: (lambda c: F.unix_date(c).cast("string"), lambda s: F.date_from_unix_date(s.cast("int"))),
+    T.TimestampType: (lambda c: F.unix_micros(c).cast("string"), lambda s: F.timestamp_micros(s.cast("long"))),
+    # minus zero equals zero, and joins treat them so
+    T.DoubleType: (lambda c: (c + F.lit(0.0)).cast("string"), lambda s: s.cast("double")),
+    T.FloatType: (lambda c: (c + F.lit(0.0).cast("float")).cast("string"), lambda s: s.cast("float")),
+} | {kind: (lambda c: c.cast("string"), None) for kind in (
+    T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.TimestampNTZType)}
+
+
+def _searchable(field: T.StructField) -> bool:
+    kind = type(field.dataType)
+    return kind in _AS_TEXT and (kind is not T.StringType or field.dataType.simpleString() == "string")
+
+
+def _key_text(df: DataFrame, on: Sequence[str]) -> Column:
+    """The key as one string; null if any part is."""
+    parts = [_AS_TEXT[type(df.schema[c].dataType)][0](named_col(c)) for c in on]
+    joined = F.concat(*[p for k, part in enumerate(parts) for p in ([F.lit(",")] if k else []) + [part]])
+    return joined if len(parts) > 1 else parts[0]
+
+
+def _key_values(df: DataFrame, on: Sequence[str], text: Column) -> list[Column]:
+    """The key columns that a string stands for."""
+    pieces, out = F.split(text, ",", -1), []
+    for k, name in enumerate(on):
+        kind = df.schema[name].dataType
+        back = _AS_TEXT[type(kind)][1] or (lambda s, kind=kind: s.cast(kind))
+        out.append(back(pieces[k]).alias(name))
+    return out
+
+
+def may_repeat(df: DataFrame, on: Sequence[str], policy: SkewPolicy | None) -> bool:
+    """Whether hot keys of ``df`` are searched: its keys have types that can be, and Catalyst does not know them to be unique."""
+    return policy is not None and all(_searchable(df.schema[c]) for c in on) and not known_unique(df, on)
 
-    Counts the rows first, as a frame with fewer rows than that has no hot key. Otherwise reads the key
-    columns of a sample; rows are counted before the shuffle, and at most ``MAX_HOT_KEYS`` keys are
-    stored in the checkpoint folder. Two numbers come to the driver.
+
+def hot_keys_of(sides: Sequence[DataFrame], on: Sequence[str], policy: SkewPolicy | None = DEFAULT_POLICY) -> list[HotKeys]:
+    """For each side its keys with more than ``policy.hot_rows`` rows, in one job for all of them.
+
+    Each task sketches the key columns of its rows, side by side, and hands on one sketch a side; the merged sketches name at most
+    ``MAX_HOT_KEYS`` keys each, which come to the driver as strings of bounded length. A side is read through its lineage; a
+    caller that reads it again should hand over a stored one (:func:`stored_if_derived`).
     """
-    atomic = all(not isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) for c in on)
-    if policy is None or not atomic or known_unique(df, on):
-        return HotKeys()
-    ensure_checkpoint_dir(df.sparkSession)  # asked for whatever the size, so that a missing one shows early
-    if df.count() <= policy.hot_rows:
-        return HotKeys()
-    keys = df.select(*map(named_col, on))
+    out = [HotKeys() for _ in sides]
+    asked = [k for k, df in enumerate(sides) if may_repeat(df, on, policy)]
+    if not asked:
+        return out
+    keys = [sides[k].select(F.lit(k).alias("side"), _key_text(sides[k], on).alias("key")) for k in asked]
     if policy.sample < 1:
-        keys = keys.sample(policy.sample, seed=17)
+        keys = [df.sample(policy.sample, seed=17) for df in keys]
     least = policy.hot_rows * policy.sample
-    hottest = checkpointed(keys.groupBy(*map(named_col, on)).agg(F.count("*").alias("__rows"))
-                           .where(F.col("__rows") > least).orderBy(F.desc("__rows")).limit(MAX_HOT_KEYS))
-    null_key = reduce(lambda a, b: a | b, (named_col(c).isNull() for c in on))
-    found = hottest.agg(F.count(F.when(~null_key, 1)).alias("keys"), F.count(F.when(null_key, 1)).alias("nulls")).first()
-    parts = F.least(F.greatest(F.ceil(F.col("__rows") / F.lit(float(least))), F.lit(2)), F.lit(MAX_PARTS)).cast("int")
-    table = hottest.where(~null_key).select(*map(named_col, on), parts.alias("__parts")) if found["keys"] else None
-    return HotKeys(table, found["nulls"] > 0)
+    tracked = F.when(F.length("key") <= LONGEST, F.col("key"))
+    sketched = (reduce(DataFrame.union, keys).select("side", "key", tracked.alias("tracked")).groupBy("side")
+                .agg(F.expr(f"approx_top_k_accumulate(tracked, {policy.tracked}) FILTER (WHERE tracked IS NOT NULL)").alias("sketch"),
+                     F.count_if(F.col("key").isNull()).alias("nulls"), F.count_if(F.col("tracked").isNotNull()).alias("keys")))
+    found = sketched.select("side", "nulls", F.when(F.col("keys") > least, F.filter(
+        F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT_KEYS})"), lambda x: x["count"] > F.lit(least))).alias("top"))
+    for row in found.collect():  # a row a side
+        df, top = sides[row.side], row.top or []
+        table = None
+        if top:
+            parts = [(x["item"], min(max(math.ceil(x["count"] / max(least, 1)), 2), MAX_PARTS)) for x in top]
+            table = df.sparkSession.createDataFrame(parts, "key string, __parts int")
+            table = table.select(*_key_values(df, on, F.col("key")), "__parts")
+        out[row.side] = HotKeys(table, row.nulls > least)
+    return out
+
+
+def find_hot_keys(df: DataFrame, on: Sequence[str], policy: SkewPolicy | None = DEFAULT_POLICY) -> HotKeys:
+    """:func:`hot_keys_of` for one side."""
+    return hot_keys_of([df], on, policy)[0]
+
+
+def stored_if_derived(df: DataFrame, on: Sequence[str], policy: SkewPolicy | None) -> DataFrame:
+    """``df``, or a checkpoint of it if the search for its hot keys would compute what stands before a shuffle, a join or Python twice.
+
+    So planning and running a join pull every row of a derived side through its lineage once.
+    """
+    return checkpointed(df) if may_repeat(df, on, policy) and not recomputed_cheaply(df) else df
 
 
 def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
@@ -183,25 +245,22 @@ def _dealt_out(df: DataFrame) -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession)).withColumn(_SPREAD, F.spark_partition_id())
 
 
-def with_all_values(df: DataFrame, values: DataFrame, inline_limit: int = 1_000) -> DataFrame:
-    """Every row of ``df`` once per row of ``values``.
+def with_all_values(df: DataFrame, values: DataFrame, block: int = 1_000) -> DataFrame:
+    """Every row of ``df`` once per row of ``values``, in one lazy plan whatever the count of values.
 
-    Counts ``values`` first. Up to ``inline_limit`` of them are gathered to one value of the plan by a subquery, and no
-    row of ``df`` is moved. Beyond it both sides are cut into parts, each left part is joined
-    to each part of the values by an equi-join on the part numbers. No value leaves Spark.
+    The values are packed to numbered arrays of ``block`` at most. Every row of ``df`` gets all numbers, meets the arrays by
+    them in an equi-join (which Spark makes a broadcast join while the arrays are small, so that no row moves), and its array is unpacked. The
+    numbers are a value of the plan, one in ``block`` values. No value leaves Spark.
     """
     names = values.columns
     kept = [named_col(c) for c in df.columns]
-    count = values.count()
-    if count <= inline_limit:
-        row = values.agg(F.collect_list(F.struct(*map(named_col, names))).alias("__values"))
-        return (df.select(*kept, row.scalar().alias("__values")).select(*kept, F.explode("__values").alias("__value"))
-                .select(*kept, *(F.col("__value").getField(n).alias(n) for n in names)))
-
-    parts = shuffle_partitions(df.sparkSession)
-    slices = math.ceil(count / inline_limit)
-    left = (df.repartition(parts).withColumn("__part", F.spark_partition_id())
-            .withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
-    right = (values.withColumn("__slice", F.pmod(F.xxhash64(*map(named_col, names)), F.lit(slices)).cast("int"))
-             .withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-    return left.join(right, on=["__part", "__slice"]).select(*kept, *(named_col(n) for n in names))
+    # Hashed to buckets first, so that no task numbers all values; equal values may change places without harm.
+    bucket = F.pmod(F.xxhash64(*map(named_col, names)), F.lit(shuffle_partitions(df.sparkSession))).alias("__bucket")
+    within = Window.partitionBy("__bucket").orderBy(*map(named_col, names))
+    packed = (values.select(bucket, *map(named_col, names))
+              .withColumn("__slice", F.floor((F.row_number().over(within) - 1) / block))
+              .groupBy("__bucket", "__slice").agg(F.collect_list(F.struct(*map(named_col, names))).alias("__values"))
+              .select(F.struct("__bucket", "__slice").alias("__block"), "__values"))
+    numbers = packed.agg(F.collect_list("__block").alias("__blocks")).scalar()
+    met = df.select(*kept, F.explode(numbers).alias("__block")).join(packed, "__block").select(*kept, F.explode("__values").alias("__value"))
+    return met.select(*kept, *(F.col("__value").getField(n).alias(n) for n in names))

@@ -18,6 +18,16 @@ def known_unique(df: DataFrame, on: Sequence[str]) -> bool:
     return False
 
 
+# Operators after which rows cost more than a read of their columns.
+_COSTLY = ("Exchange", "Join", "Python", "Pandas", "Arrow", "MapPartitions", "Aggregate", "Window", "Generate")
+
+
+def recomputed_cheaply(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan with projections and filters, so that reading a few of its columns once more costs little."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return not any(name in plan for name in _COSTLY)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so lost executors cost no rerun.
 

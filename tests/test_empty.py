@@ -8,9 +8,8 @@ from featloom.plans.skew import SkewPolicy
 
 def test_curves(spark):
     scores = spark.createDataFrame([], "model string, y_true int, y_pred double")
-    for slices in (None, 3):
-        assert fl.prc_curve(scores, slices=slices).count() == 0
-        assert fl.average_precision(scores, slices=slices).count() == 0
+    for build in (fl.prc_curve, fl.prc_step_curve, fl.average_precision):
+        assert build(scores).count() == 0
 
 
 def test_mask_without_true_cells(spark):
@@ -23,7 +22,7 @@ def test_mask_without_true_cells(spark):
 
 def test_feature_sets(spark):
     full, empty = spark.range(3).withColumn("v", F.lit(1)), spark.createDataFrame([], "id long, v int")
-    for options in ({}, {"unique_keys": True}, {"skew": SkewPolicy(1, 1.0)}):
+    for options in ({}, {"unique_keys": True}, {"spine": True}, {"skew": SkewPolicy(1, 1.0)}):
         out = fl.join_featuresets({"f": full, "e": empty}, {"f": ["v"], "e": ["v"]}, ["id"], **options)
         assert out.count() == 3 and out.where("`feature.e@v` IS NOT NULL").count() == 0
 

@@ -3,6 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from featloom import join_featuresets, load_featuresets, transform_featureset
+from featloom.plans.skew import SkewPolicy
 
 from .conftest import rows
 
@@ -148,3 +149,48 @@ def test_nested_scan_is_pruned(spark, tmp_path):
         str(tmp_path / "n"))
     out = load_featuresets(spark, {"n": str(tmp_path / "n")}, {"n": {"s": "a"}}, ["id"])
     assert "s:struct<a:int>>" in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("skew", [None, SkewPolicy(hot_rows=3)])
+def test_spine_gives_the_rows_of_the_chain(spark, skew):
+    """Repeated, missing and null keys, a hot key, and sets whose keys differ."""
+    a = spark.createDataFrame([(1, f"a{i}") for i in range(9)] + [(2, "x"), (None, "n"), (None, "n")], "g int, a string")
+    b = spark.createDataFrame([(1, "b1"), (1, "b2"), (3, "b3"), (None, "m")], "g int, b string")
+    c = spark.createDataFrame([(2, "c"), (3, "c"), (4, "c")], "g int, c string")
+    d = spark.createDataFrame([(1, "t", "d"), (5, "t", "d5"), (3, None, "d3"), (None, "u", "dn")], "g int, t string, d string")
+    e = spark.createDataFrame([("t", 1), ("t", 2), ("w", 3), (None, 4)], "t string, e int")
+    sets = {"a": a, "b": b, "c": c, "d": d, "e": e}
+    args = (sets, {name: [name] for name in sets}, ["g", "t"])
+    chain, spine = join_featuresets(*args, skew=None), join_featuresets(*args, spine=True, skew=skew)
+    assert spine.columns == chain.columns and rows(spine) == rows(chain)
+    initial = spark.createDataFrame([(1, "i"), (7, "i")], "g int, i string")
+    for join in ("outer", "left", "right", "inner", "left_anti"):
+        sets.pop("e", None)  # shares nothing with the initial table
+        chain, spine = (join_featuresets(*args, initial_df=initial, join=join, spine=s, skew=None) for s in (False, True))
+        assert rows(spine) == rows(chain)
+
+
+def test_spine_saves_exchanges_and_passes_filters(spark, tmp_path):
+    spark.range(100).selectExpr("id AS g", "id AS v").write.parquet(str(tmp_path / "t"))
+    sets = {f"s{k}": spark.read.parquet(str(tmp_path / "t")) for k in range(5)}
+    args = (sets, {name: ["v"] for name in sets}, ["g"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chain, spine = (join_featuresets(*args, spine=s, skew=None) for s in (False, True))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (chain, spine)]
+        # 2 k - 2 and k + 1
+        assert [plan.count("Exchange hashpartitioning") for plan in plans] == [8, 6]
+        picked = spine.where("g = 5")._jdf.queryExecution().executedPlan().toString()
+        assert picked.count("FileScan") == picked.count("EqualTo(g,5)") >= 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_null_keys_of_unique_sets_need_no_numbers(spark):
+    """Equal rows with null keys stay apart, and nothing in the plan depends on the order of rows."""
+    a = spark.createDataFrame([(None, "n")] * 3 + [(1, "x")], "g int, a string").repartition(3)
+    b = spark.createDataFrame([(None, "m")] * 2 + [(1, "y"), (2, "z")], "g int, b string").repartition(2)
+    out = join_featuresets({"a": a, "b": b}, {"a": ["a"], "b": ["b"]}, ["g"], unique_keys=True)
+    assert rows(out) == rows(spark.createDataFrame([(None, "n", None)] * 3 + [(None, None, "m")] * 2 + [(1, "x", "y"), (2, None, "z")],
+                                                   "g int, a string, b string"))
+    assert "monotonically_increasing_id" not in out._jdf.queryExecution().optimizedPlan().toString()

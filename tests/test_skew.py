@@ -1,13 +1,16 @@
 """Salted joins give exactly the rows of plain joins, whatever is hot."""
 
+import datetime
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from featloom.operators.featuresets import join_featuresets
-from featloom.plans.skew import HotKeys, SkewPolicy, find_hot_keys, split_join, with_all_values
+from featloom.plans.skew import HotKeys, SkewPolicy, find_hot_keys, hot_keys_of, split_join, with_all_values
 from featloom.plans.storage import known_unique
 
-from .conftest import rows
+from .conftest import counting, rows
 
 EAGER = SkewPolicy(hot_rows=5, sample=1.0)
 
@@ -60,15 +63,57 @@ def test_hot_rows_reach_many_tasks(spark):
     assert sum(per_task) == 4000 and len(per_task) > 1 and max(per_task) < 4000
 
 
-def test_few_rows_are_not_searched_and_exploded_ones_are(spark, tmp_path, monkeypatch):
-    from featloom.plans import skew
-    stored = []
-    monkeypatch.setattr(skew, "checkpointed", lambda df: stored.append(df) or df.cache())
+def test_rows_of_any_scan_are_searched(spark, tmp_path):
     local = spark.createDataFrame([(1, "a")] * 6, "k int, v string")
-    assert not find_hot_keys(local, ["k"]) and not stored
+    assert not find_hot_keys(local, ["k"]) and not find_hot_keys(local.limit(0), ["k"])
     local.limit(1).write.parquet(str(tmp_path / "tiny"))
     tiny = spark.read.parquet(str(tmp_path / "tiny")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3_000_000))))
-    assert keys_of(find_hot_keys(tiny, ["k"])) == {(1,)} and len(stored) == 1
+    assert keys_of(find_hot_keys(tiny, ["k"])) == {(1,)}
+
+
+def test_planning_and_running_compute_derived_rows_once(sides, spark):
+    """All sides of a join are searched by one job; what stands behind Python is stored first and read from there."""
+    (left, seen_left), (right, seen_right) = (counting(side, spark) for side in sides)
+    args = ({"l": left, "r": right}, {"l": ["l"], "r": ["r"]}, ["k"])
+    plain = rows(join_featuresets(*({"l": sides[0], "r": sides[1]}, *args[1:]), skew=None))
+    joined = join_featuresets(*args, skew=EAGER)
+    assert rows(joined) == plain
+    assert (seen_left.value, seen_right.value) == (sides[0].count(), sides[1].count())
+
+
+def test_one_job_for_all_sides(sides, spark):
+    group = "hot-key-search"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        hot = hot_keys_of(list(sides), ["k"], EAGER)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [keys_of(h) for h in hot] == [{(1,), (3,), (4,)}, {(2,), (3,), (5,)}] and all(h.nulls for h in hot)
+    assert len(jobs) <= 2  # adaptive execution runs the stages of one query as jobs
+
+
+KEY_VALUES = {
+    "string": ["", "a,b", "é,", "a'\"\\", "x" * 100], "binary": [b"", b"a,b", b"\xff\x00"], "double": [0.1, -0.0, float("nan"), float("inf"), 1e300],
+    "float": [0.5, -0.0, float("nan")], "boolean": [True, False], "bigint": [2**62, -5], "decimal(20,3)": [Decimal("1.500"), Decimal("-7.000")],
+    "date": [datetime.date(1, 1, 1), datetime.date(2024, 2, 29)], "timestamp_ntz": [datetime.datetime(2024, 3, 10, 2, 30, 0, 123456)],
+    "timestamp": [datetime.datetime(2024, 3, 10, 3, 30, 0, 123456)]}
+
+
+@pytest.mark.parametrize("kind", KEY_VALUES)
+def test_keys_pass_the_sketch_unchanged(spark, kind):
+    values = KEY_VALUES[kind]
+    df = spark.createDataFrame([(v, i) for v in values for i in range(9)], f"k {kind}, i int")
+    hot = find_hot_keys(df, ["k", "i"], SkewPolicy(hot_rows=0))
+    assert hot.table.count() == 9 * len(values) and hot.table.schema["k"].dataType == df.schema["k"].dataType
+    single = find_hot_keys(df, ["k"], EAGER)
+    assert single.table.count() == len(values) and single.table.join(df, "k").count() == 9 * len(values)
+
+
+def test_long_keys_are_not_tracked(spark):
+    df = spark.range(20).select(F.repeat(F.lit("x"), 10_000).alias("k"))
+    assert not find_hot_keys(df, ["k"], EAGER)
+    assert split_join(df, df.withColumn("r", F.lit(1)), ["k"], "full", find_hot_keys(df, ["k"], EAGER)).count() == 400
 
 
 @pytest.mark.parametrize("how", HOWS)
@@ -96,7 +141,7 @@ def test_values_are_repeated_unchanged(spark, limit):
             F.timestamp_seconds(F.lit(1793511000) + 3600 * F.col("id")).alias("at"),
             F.expr("CASE WHEN id < 2 THEN timestamp_ntz'2026-03-08 02:30:00' END").alias("ntz"),
             F.struct(F.col("id").alias("a"), F.lit("x").alias("b")).alias("s"))
-        got = with_all_values(df, values, inline_limit=limit).selectExpr("id", "unix_seconds(at)", "string(ntz)", "s.a", "s.b")
+        got = with_all_values(df, values, block=limit).selectExpr("id", "unix_seconds(at)", "string(ntz)", "s.a", "s.b")
         expected = [(i, 1793511000 + 3600 * k, "2026-03-08 02:30:00" if k < 2 else None, k, "x") for i in range(2) for k in range(3)]
         assert rows(got) == sorted(expected, key=lambda r: [(v is not None, str(type(v)), v) for v in r])
     finally:
@@ -159,7 +204,7 @@ def test_featuresets_with_hot_keys(sides, spark, join):
 def test_with_all_values_is_the_full_product(spark, limit):
     left = spark.createDataFrame([(1,), (2,), (2,), (None,)], "a int")
     values = spark.createDataFrame([("x", 1), ("y", 2), (None, 3), ("z", 4), ("z", 4)], "b string, c int")
-    got = with_all_values(left, values, inline_limit=limit)
+    got = with_all_values(left, values, block=limit)
     assert got.columns == ["a", "b", "c"] and rows(got) == rows(left.crossJoin(values))
 
 
