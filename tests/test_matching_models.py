@@ -8,6 +8,7 @@ import featloom as fl
 
 from .conftest import rows
 
+# Documented names of both sides and the matches they must give.
 REF = ["X - T", "X - T", "Y - A"]
 ALT = ["Y___A", "Y___A", "B_Y", "X___T", "X___T", None]
 MATCHED = ["Y - A", "Y - A", None, "X - T", "X - T", None]
