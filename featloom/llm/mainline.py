@@ -1,10 +1,13 @@
 """Main text of HTML pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one for each block of the page. What stands in menus, headers, footers, sidebars,
-notices, adverts, forms, comments or code counts as empty. Text lengths are summed over sliding windows of lines; the
-text starts where the sum surges and ends where it dives to nothing, and every line between surge and dive that
-is not boilerplate is kept, short ones as well. Pages that mark their article (``article``, ``main`` or an
-equivalent attribute) have the lines outside it count as empty.
+Markup is stripped to lines, one for each block of the page. A line weighs as much as its text is long. Names of elements,
+roles, classes and ids only change that weight: what they call a menu, header, footer, sidebar, notice, advert, form, comment or code weighs
+nothing; links outside of articles count against their line; and on a page that marks its article (``article``, ``main`` or an equivalent
+attribute) lines within weigh more, and the others nothing. Weights are summed over sliding windows of lines; on every page the
+text starts where the sum surges and ends where it dives to nothing, and every line with a weight between surge and dive is kept, short ones as well.
+
+Pages are read once, forward: a tag ends at the first ``>`` outside of its quoted values, open elements are found by name, so time is
+in proportion to the page whatever its markup.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textwords import pieces
 
-# Lines in a window, characters in it that make a surge, and empty lines that part two texts.
+# Lines in a window, weight in it that makes a surge, and empty lines that part two texts.
 WINDOW, SURGE, GAP = 3, 40, 6
+# Weight of a character in a marked article.
+MARKED = 40
 
 # Elements of HTML by their role on a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,8 +49,10 @@ HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
 FOREIGN = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|related|promo\w*|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])", re.IGNORECASE)
 LAYOUT = re.compile(r"(?:^|\s)(?:has|with|no|layout)[_-](?:left-|right-)?(?:side-?bar|nav|menu|header)(?=$|\s)", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^<]*$", re.DOTALL)
-ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+# What follows a tag's name up to its end; quotes count behind an equals sign only, and if they are closed.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+ATTRIBUTE = re.compile(r"([\w:-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 
 
 @dataclass
@@ -56,86 +64,118 @@ class Line:
     heading: bool = False
 
 
-def lines_of(page: str) -> list[Line]:
-    """Blocks of a page in order, their white space made single."""
-    out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it is boilerplate, whether it is an article
-    pieces_of: list[str] = []
-    boiler = article = headings = 0
-    links = linked = 0
-
-    def end_line() -> None:
-        nonlocal linked
-        text = " ".join(entities.unescape("".join(pieces_of)).split())
+class Page:
+    """Blocks of a page as lines, with what is open at the place that has been read."""
+
+    def __init__(self):
+        self.lines: list[Line] = []
+        self.stack: list[tuple[str, bool, bool]] = []  # element, whether it is boilerplate, whether it is an article
+        self.places: dict[str, list[int]] = {}  # of each name, where it stands in the stack
+        self.blocks: list[int] = []  # where blocks stand in the stack
+        self.parts: list[str] = []
+        self.boiler = self.article = self.headings = self.links = self.linked = 0
+
+    def text(self, text: str) -> None:
         if text:
-            out.append(Line(text, boiler > 0, article > 0, linked, headings > 0))
-        pieces_of.clear()
-        linked = 0
-
-    def close(count: int) -> None:
-        nonlocal boiler, article, links, headings
-        for name, was_boiler, was_article in stack[len(stack) - count:][::-1]:
-            if name in BLOCKS or was_boiler:
-                end_line()
-            boiler -= was_boiler
-            article -= was_article
-            links -= name == "a"
-            headings -= name in HEADINGS
-        del stack[len(stack) - count:]
-
-    at, size = 0, len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        text = page[at:m.start() if m else size]
+            self.parts.append(text)
+            if self.links > 0:
+                self.linked += len(text.strip())
+
+    def end_line(self) -> None:
+        text = " ".join(entities.unescape("".join(self.parts)).split())
         if text:
-            pieces_of.append(text)
-            if links > 0:
-                linked += len(text.strip())
-        if m is None:
+            self.lines.append(Line(text, self.boiler > 0, self.article > 0, self.linked, self.headings > 0))
+        self.parts.clear()
+        self.linked = 0
+
+    def _count(self, name: str, is_boiler: bool, is_article: bool, by: int) -> None:
+        self.boiler += by * is_boiler
+        self.article += by * is_article
+        self.links += by * (name == "a")
+        self.headings += by * (name in HEADINGS)
+
+    def push(self, name: str, is_boiler: bool, is_article: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, is_boiler, is_article))
+        self._count(name, is_boiler, is_article, 1)
+
+    def pop(self) -> None:
+        name, was_boiler, was_article = self.stack[-1]
+        if name in BLOCKS or was_boiler:
+            self.end_line()
+        self.stack.pop()
+        self.places[name].pop()
+        if name in BLOCKS:
+            self.blocks.pop()
+        self._count(name, was_boiler, was_article, -1)
+
+    def end(self, name: str) -> None:
+        """An end tag; that of an inline element closes nothing beyond its own block."""
+        at = self.places.get(name)
+        if at and (name in BLOCKS or not self.blocks or self.blocks[-1] < at[-1]):
+            for _ in range(len(self.stack) - at[-1]):
+                self.pop()
+        elif name in BLOCKS:
+            self.end_line()
+
+    def start(self, name: str, attributes: str) -> None:
+        if name in BLOCKS:
+            self.end_line()
+            # the innermost block, with inline elements that are open in it, ends where this one begins
+            while self.blocks and name in ENDS_AT.get(self.stack[self.blocks[-1]][0], ()):
+                for _ in range(len(self.stack) - self.blocks[-1]):
+                    self.pop()
+        if name not in VOID and not attributes.endswith("/"):
+            self.push(name, *_kind(name, attributes, self.article > 0))
+
+
+def lines_of(page: str) -> list[Line]:
+    """Blocks of a page in order, their white space made single.
+
+    A ``<`` that begins no tag is text, as is one whose tag does not end, but for the last one, which ends the page. If a tag would end
+    at none of the ends left because quotes hold them, quotes are ordinary characters from there on.
+    """
+    out, at, size, last_end, last_start, quotes = Page(), 0, len(page), page.rfind(">"), page.rfind("<"), True
+    while at < size:
+        open_at = page.find("<", at)
+        out.text(page[at:open_at if open_at >= 0 else size])
+        if open_at < 0:
             break
-        at = m.end()
-        if m[2] is None:
+        at = open_at + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = end + 3 if end >= 0 else size
             continue
-        name = m[2].lower()
-        if name == "br":
-            pieces_of.append(" ")
+        if page.startswith(("!", "?"), at) and at < last_end:
+            at = page.find(">", at) + 1
             continue
-        if m[1]:
-            depth = next((k for k, x in enumerate(reversed(stack), 1) if x[0] == name), 0)
-            # An end tag of an inline element closes nothing beyond its own block.
-            if depth and (name in BLOCKS or not any(x[0] in BLOCKS for x in stack[len(stack) - depth + 1:])):
-                close(depth)
-            elif name in BLOCKS:
-                end_line()
+        ends = page.startswith("/", at)
+        letter = page[at + ends:at + ends + 1]
+        if not (letter.isascii() and letter.isalpha()) or open_at > last_end:
+            if open_at == last_start and letter.isascii() and letter.isalpha():
+                break  # cut off in a tag
+            out.text("<")
             continue
-        if name in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+        named = NAME.match(page, at + ends)
+        rest = REST.match(page, named.end()) if quotes else None
+        quotes = rest is not None
+        stop = rest.end() if rest else page.find(">", named.end()) + 1
+        name, attributes, at = named[0].lower(), page[named.end():stop - 1].rstrip(), stop
+        if name == "br":
+            out.parts.append(" ")
+        elif ends:
+            out.end(name)
+        elif name in RAW and not attributes.endswith("/"):
+            end = re.compile(rf"</{re.escape(name)}\s*+>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
             if name == "title":
-                end_line()
-            continue
-        if name in BLOCKS:
-            end_line()
-            while stack and (any(x[0] in ENDS_AT and name in ENDS_AT[x[0]] for x in stack[-1:]) or stack[-1][0] not in BLOCKS and _in_paragraph(stack, name)):
-                close(1)
-        if name in VOID or m[3].rstrip().endswith("/"):
-            continue
-        is_boiler, is_article = _kind(name, m[3], article > 0)
-        stack.append((name, is_boiler, is_article))
-        boiler += is_boiler
-        article += is_article
-        links += name == "a"
-        headings += name in HEADINGS
-    end_line()
-    return out
-
-
-def _in_paragraph(stack: list, name: str) -> bool:
-    """Whether only inline elements lie between the top and an open element that ``name`` ends."""
-    for element, _, _ in reversed(stack):
-        if element in BLOCKS:
-            return element in ENDS_AT and name in ENDS_AT[element]
-    return False
+                out.end_line()
+        else:
+            out.start(name, attributes)
+    out.end_line()
+    return out.lines
 
 
 def _kind(name: str, attributes: str, within: bool) -> tuple[bool, bool]:
@@ -155,25 +195,29 @@ def _kind(name: str, attributes: str, within: bool) -> tuple[bool, bool]:
     return apart or bool(BOILER.search(hints)) or not within and bool(HEADER.search(hints)), is_article
 
 
+def weights(lines: list[Line]) -> list[int]:
+    """What each line weighs: its characters, as marks and links have them count."""
+    marked = any(x.inside and not x.boiler for x in lines)
+    return [0 if x.boiler or marked and not x.inside else MARKED * len(x.text) if x.inside else max(0, len(x.text) - 2 * x.linked) for x in lines]
+
+
 def main_text(page: str | None) -> str:
     """The main text: blocks in page order, parted by an empty line; empty if there is none."""
     lines = lines_of(page or "")
-    marked = any(x.inside and not x.boiler for x in lines)
-    # A line of links alone, as in menus without any marking, weighs nothing outside of articles.
-    counts = [0 if x.boiler or marked and not x.inside else len(x.text) if x.inside else max(0, len(x.text) - 2 * x.linked) for x in lines]
-    return "\n\n".join(lines[k].text for start, end in _texts(lines, counts, marked) for k in range(start, end) if counts[k])
+    counts = weights(lines)
+    return "\n\n".join(lines[k].text for start, end in _texts(lines, counts) for k in range(start, end) if counts[k])
 
 
-def _texts(lines: list[Line], counts: list[int], marked: bool) -> list[tuple[int, int]]:
+def _texts(lines: list[Line], counts: list[int]) -> list[tuple[int, int]]:
     """Ranges of lines from a surge to the dive after it.
 
-    Known boilerplate inside a text does not part it, and headings right before a text belong to it.
-    In a marked article everything is one text, as nothing else is left. A page that never surges has its longest line.
+    Known boilerplate inside a text does not part it, and headings right before a text belong to it. A page that never surges has
+    its heaviest line with what stands around it up to the first empty line.
     """
     sums = [sum(counts[k:k + WINDOW]) for k in range(len(counts))]
     found, k = [], 0
     while k < len(counts):
-        if not counts[k] or sums[k] < SURGE and not marked:
+        if not counts[k] or sums[k] < SURGE:
             k += 1
             continue
         start = before = k
@@ -182,14 +226,21 @@ def _texts(lines: list[Line], counts: list[int], marked: bool) -> list[tuple[int
             if counts[before]:
                 start = before
         last, empty = k, 0
-        while k < len(counts) and (marked or empty <= GAP):
+        while k < len(counts) and empty <= GAP:
             if counts[k]:
                 last, empty = k, 0
             else:
                 empty += not lines[k].boiler
             k += 1
         found.append((start, last + 1))
-    return found or [(k, k + 1) for k, n in enumerate(counts) if n == max(counts) > 0][:1]
+    if found or not any(counts):
+        return found
+    start = end = counts.index(max(counts))
+    while start > 0 and (counts[start - 1] or lines[start - 1].boiler):
+        start -= 1
+    while end < len(counts) and (counts[end] or lines[end].boiler):
+        end += 1
+    return [(start, end)]
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", keep=("page_id", "url")) -> DataFrame:
@@ -202,8 +253,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep=("page_id", "ur
                                                  names=[*keep, "text", "n_chars"])
 
     source = pages.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{html}`"))
-    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{fields}, text string, n_chars long")
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
