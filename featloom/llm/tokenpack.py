@@ -43,7 +43,7 @@ MAGIC = b"FLTOKEN1"
 BLOCK = 1 << 16
 # Bytes that a worker's remembered words take, and as many again its remembered pieces; what each entry takes besides its characters
 # and ids; and bytes of text that are encoded together.
-REMEMBERED, ENTRY, TOGETHER = 96 << 20, 130, 2 << 20
+REMEMBERED, ENTRY, TOGETHER = 192 << 20, 130, 2 << 20
 
 
 def bits_for(vocabulary: int) -> int:
