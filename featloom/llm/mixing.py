@@ -58,6 +58,8 @@ class DomainClassifier:
 
     def scores(self) -> Column:
         """Array of log scores over the columns of ``_features``."""
+        if not self.domains:
+            return F.array().cast("array<double>")
         base = F.array(*(F.lit(p + a) for p, a in zip(self.prior, self.absent)))
         for name, table in self.levels.items():
             levels = F.array(*(F.array(*map(F.lit, row)) for row in table))
@@ -74,7 +76,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id
                 max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> DomainClassifier:
     """Fit on the documents named in ``labelled`` (``doc_id``, ``domain``), at most ``max_labelled`` of them.
 
-    Null ids and domains are left out; an id with several domains takes the smallest.
+    Null ids and domains are left out; an id with several domains takes the smallest. Where no label meets a document there are no domains.
     """
     known = (labelled.where(F.col(domain).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("key"))
              .agg(F.min(domain).alias("domain")).orderBy(F.xxhash64("key"), "key").limit(max_labelled))
@@ -86,7 +88,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id
     domains = tuple(sorted(sizes))
     total = sum(sizes.values())
     if not domains:
-        raise ValueError("no labelled document is among the documents")
+        return DomainClassifier((), (), {}, (), {})
 
     per_domain = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)]
     seen = rows.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*per_domain)
@@ -150,9 +152,11 @@ def fit_rates(rows: DataFrame, domains: Sequence[str], weights: Mapping[str, flo
     The budget is all tokens by default. The fit minimises the squared differences of totals and targets, each
     divided by what its domain holds in documents whose rate is not zero yet; no domain's row of the Hessian sums to more,
     so a full gradient step is safe. A domain without any
-    tokens cannot be raised; its target stays unmet. ``rows`` is read once a step, so it should be stored.
+    tokens cannot be raised; its target stays unmet. Without domains all rates are 1. ``rows`` is read once a step, so it should be stored.
     """
     n = len(domains)
+    if not n:
+        return Mixture((), (), (), (), ())
 
     def totals(rate: Column) -> tuple[list[float], list[float]]:
         held = rows.select("tokens", "posterior", rate.alias("rate"))

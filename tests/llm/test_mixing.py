@@ -62,8 +62,9 @@ def test_odd_rows(docs_of, labelled):
 
 def test_empty_tables(spark, docs_of, corpus, labelled):
     assert mx.mixture_of(docs_of([]), labelled, {"clean": 1.0}).count() == 0
-    with pytest.raises(ValueError):
-        mx.mixed(corpus, spark.createDataFrame([], "doc_id long, domain string"), {"clean": 1.0})
+    for none in ([], [(-5, "clean"), (None, "clean"), (3, None)]):  # no label meets a document: nothing is known, and nothing changes
+        rated, mixture = mx.mixed(corpus, spark.createDataFrame(none, "doc_id long, domain string"), {"clean": 1.0})
+        assert mixture.domains == () and {(r.rate, r.copies, len(r.posterior)) for r in rated.collect()} == {(1.0, 1, 0)}
 
 
 def test_query_covers_all_documents_without_python(spark, sf_dir):
