@@ -26,6 +26,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,7 +201,7 @@ class Encoder:
 
         self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), Memory(REMEMBERED), Memory(REMEMBERED)
         self.bits = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
+        self.kind = np.dtype(np.uint16 if self.bits <= 16 else np.uint32)
         with open(path, encoding="utf-8") as file:
             self.wordwise = self._is_wordwise(json.load(file))
         marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -220,11 +221,15 @@ class Encoder:
                             for t in parts["added_tokens"]))
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[bytes]) -> None:
         cut = {}
         for word in new:
+            if word.isalpha():  # ASCII letters alone are one piece
+                cut[word] = [word.lower().decode()]
+                continue
             w = word.decode()
             # Latin-1 is in normal form already and lower-cased letter by letter.
             plain = (w.isascii() or max(w) <= "\xff") and w.isprintable() and not self.marked(w)
