@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import curves
+from ..plans.storage import shuffle_partitions
 from .base import query
 
 _DOCS = "SELECT quality AS y, {score}::DOUBLE AS score, '{score}' AS model FROM labels JOIN documents USING (doc_id)"
@@ -135,8 +136,9 @@ def pr_curve_null_model(t):
 
 @query("pr_curve_null_model_sliced", _NULL_MODELS)
 def pr_curve_null_model_sliced(t):
-    """The same behind a shuffle."""
-    return _rounded(curves.prc_curve(_null_model_scores(t).repartition("model")))
+    """The same behind a shuffle, by model and score: by the model alone, two tasks would hold all rows."""
+    parts = shuffle_partitions(t.spark)
+    return _rounded(curves.prc_curve(_null_model_scores(t).repartition(parts, "model", "y_pred")))
 
 
 @query("pr_step_points_null_model", "SELECT * REPLACE (nullif(model, '~') AS model) FROM ("

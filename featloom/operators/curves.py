@@ -45,9 +45,11 @@ def _counted(scores: DataFrame) -> DataFrame:
     """
     score, truth = (F.col(c).cast("double") for c in ("y_pred", "y_true"))
     fault, missing = F.lit(float("nan")), score.isNull() | F.isnan(score)
-    points = (scores.select("model", F.when(truth.isin(0.0, 1.0), truth).otherwise(fault).alias("positive"),
+    # The model stands in a struct: scores that come partitioned by it are dealt anew, by score.
+    points = (scores.select(F.struct("model").alias(GROUP), F.when(truth.isin(0.0, 1.0), truth).otherwise(fault).alias("positive"),
                             F.when(missing, F.lit(0.0)).otherwise(score).alias("threshold"), F.when(missing, fault).otherwise(F.lit(1.0)).alias("rows"))
-              .groupBy("model", "threshold").agg(F.sum("positive").alias("positive"), F.sum("rows").alias("rows")))
+              .groupBy(GROUP, "threshold").agg(F.sum("positive").alias("positive"), F.sum("rows").alias("rows"))
+              .select(f"{GROUP}.model", "threshold", "positive", "rows"))
     return running_totals(
         points, ["model"], "threshold", {"true_positive": F.col("positive"), "predicted": F.col("rows"), "rank": F.lit(1)},
         {"positives": F.col("positive"), "examples": F.col("rows"), "thresholds": F.lit(1)}

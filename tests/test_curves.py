@@ -194,3 +194,21 @@ def test_null_models_are_models(spark, tmp_path):
 def test_step_points_compute_the_curve_once(spark):
     scores, seen = counting(spark.createDataFrame([("m", i % 2, float(i)) for i in range(50)], SCHEMA), spark)
     assert len(fl.step_points(fl.prc_curve(scores)).collect()) == 99 and seen.value == 50
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_partitioned_by_model_are_dealt_anew(spark):
+    df = spark.createDataFrame([(m, i % 2, float(i)) for m in ("a", None) for i in range(20)], SCHEMA).repartition("model")
+    # the grouping of equal scores has an exchange of its own, by model and score
+    assert re.search(r"Exchange hashpartitioning\(__group#\d+, (knownfloatingpointnormalized\()?.*threshold#", planned(fl.prc_curve(df)))
+    assert len(fl.prc_curve(df).collect()) == 40
+
+
+def test_sliced_scores_are_dealt_by_score_as_well(spark, sf_dir):
+    from featloom.catalog import QUERIES
+    plan = planned(QUERIES["pr_curve_null_model_sliced"](spark, sf_dir))
+    by = re.findall(r"Exchange hashpartitioning\(([^)]*)\), REPARTITION_BY_NUM", plan)
+    assert by and all("y_pred" in b for b in by)
