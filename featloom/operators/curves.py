@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import named_col
-from ..plans.ordered import GROUP, running_totals
+from ..plans.ordered import DIGIT, GROUP, running_totals
 
 
 def scores_long(df: DataFrame, y_trues: str | Sequence[str], y_preds: str | Sequence[str],
@@ -67,13 +67,16 @@ def _checked(df: DataFrame) -> DataFrame:
 
 def _curve(scores: DataFrame) -> DataFrame:
     """:func:`_counted` with recall, average precision, and the lowest and highest score of the model."""
-    # The second key is always 0, but not a constant: a model that is one must not make the join a product.
-    counted = _counted(scores).withColumn("__zero", F.pmod("rank", F.lit(1)))
-    # A threshold's recall gain is its own positives over all positives. There is a row for each model.
-    models = counted.groupBy(GROUP, "__zero").agg(
-        F.min("threshold").alias("lowest"), F.max("threshold").alias("highest"),
-        _auc(F.sum(F.col("positive") * F.col("precision")), F.max("positives")).alias("auc"))
-    return _checked(counted.join(models, [GROUP, "__zero"])).withColumn("recall", _recall(F.col("true_positive")))
+    counted = _counted(scores)
+    # A threshold's recall gain is its own positives over all positives. What holds for a model meets the thresholds by the first digit
+    # of their scores: by the model alone, all of a model would meet in one task.
+    every = Window.partitionBy(GROUP)
+    models = counted.groupBy(GROUP, DIGIT).agg(
+        F.min("threshold").alias("lowest"), F.max("threshold").alias("highest"), F.sum(F.col("positive") * F.col("precision")).alias("gains"))
+    models = models.select(GROUP, DIGIT, F.min("lowest").over(every).alias("lowest"), F.max("highest").over(every).alias("highest"),
+                           F.sum("gains").over(every).alias("gains"))
+    curve = counted.join(models, [GROUP, DIGIT]).withColumn("auc", _auc(F.col("gains"), F.col("positives")))
+    return _checked(curve).withColumn("recall", _recall(F.col("true_positive")))
 
 
 def _auc(gains: Column, positives: Column) -> Column:

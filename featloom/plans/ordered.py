@@ -15,6 +15,7 @@ GROUP = "__group"
 # Bits of a number's mantissa that tell the digits of the two upper levels apart; its exponent is part of the first.
 DIGITS = (10, 21)
 _LEVELS = ("__digit1", "__digit2")
+DIGIT = _LEVELS[0]
 
 
 def _digits(number: Column, bits: Sequence[int]) -> list[Column]:
@@ -46,14 +47,20 @@ def running_totals(df: DataFrame, group: Sequence[str], by: str, running: Mappin
     rest, like the levels of a tree. Sums of the digits, each started by the level above, give the rows of a
     pair of digits their starting value, so every window is bounded by what its level can tell apart, however the numbers
     are distributed: a few million rows for digits, 2^21 for rows. Nothing is sampled, counted or stored: the plan is lazy, is the same
-    at every size, and gives the same on every run.
+    at every size, and gives the same on every run. Rows are dealt out by their digits once; the sums of
+    a pair of digits are the last running sums of its rows, so no task holds both the rows and a hash table of their digits.
+    The result has the group as a struct (:data:`GROUP`) and the first digit (:data:`DIGIT`) as well.
     """
     keys = [named_col(c) for c in group]
     totals = totals or {}
     sums = dict(running)
-    base = df.withColumns({GROUP: F.struct(*keys), **dict(zip(_LEVELS, _digits(named_col(by), digits)))})
     one, two = ([GROUP, *_LEVELS[:n]] for n in (1, 2))
-    lower = base.groupBy(*two).agg(*(F.sum(v).alias(n) for n, v in sums.items()), *(F.sum(v).alias(n) for n, v in totals.items()))
+    base = df.withColumns({GROUP: F.struct(*keys), **dict(zip(_LEVELS, _digits(named_col(by), digits)))}).repartition(*two)
+    order = Window.partitionBy(*two).orderBy(named_col(by).desc())
+    window = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = base.select(*(named_col(c) for c in df.columns), *two, *(F.sum(v).over(window).alias(f"__in_{n}") for n, v in {**totals, **sums}.items()),
+                         F.lead(named_col(by)).over(order).isNull().alias("__last"))
+    lower = within.where("__last").select(*two, *(F.col(f"__in_{n}").alias(n) for n in [*sums, *totals]))
     upper = lower.groupBy(*one).agg(*(F.sum(named_col(n)).alias(n) for n in [*sums, *totals]))
 
     def earlier(name: str, partition: list[str], level: str) -> Column:
@@ -64,9 +71,8 @@ def running_totals(df: DataFrame, group: Sequence[str], by: str, running: Mappin
     starts = (lower.select(*two, *(earlier(n, one, _LEVELS[1]).alias(f"__start_{n}") for n in sums)).join(above, on=one)
               .select(*two, *((F.col(f"__start_{n}") + F.col(f"__above_{n}")).alias(f"__start_{n}") for n in sums),
                       *(f"__all_{n}" for n in totals)))
-    window = Window.partitionBy(*two).orderBy(named_col(by).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return base.join(starts, on=two).select(
-        *(named_col(c) for c in df.columns), GROUP, *((F.col(f"__start_{n}") + F.sum(v).over(window)).alias(n) for n, v in sums.items()),
+    return within.join(starts, on=two).select(
+        *(named_col(c) for c in df.columns), *one, *((F.col(f"__start_{n}") + F.col(f"__in_{n}")).alias(n) for n in sums),
         *(F.col(f"__all_{n}").alias(n) for n in totals))
 
 

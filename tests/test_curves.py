@@ -212,3 +212,11 @@ def test_sliced_scores_are_dealt_by_score_as_well(spark, sf_dir):
     plan = planned(QUERIES["pr_curve_null_model_sliced"](spark, sf_dir))
     by = re.findall(r"Exchange hashpartitioning\(([^)]*)\), REPARTITION_BY_NUM", plan)
     assert by and all("y_pred" in b for b in by)
+
+
+def test_no_join_and_no_hash_table_holds_a_whole_model(spark):
+    df = spark.createDataFrame([(m, i % 2, float(i)) for m in ("a", None) for i in range(20)], SCHEMA)
+    plan = planned(fl.prc_curve(df))
+    joins = re.findall(r"Join \[([^\]]*)\]", plan)
+    assert joins and all("__digit1" in keys for keys in joins)
+    assert not re.search(r"HashAggregate\(keys=\[[^\]]*__digit2", plan)
