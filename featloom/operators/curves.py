@@ -156,7 +156,8 @@ def step_points(curve: DataFrame, group: Sequence[str] = ("model",), order: str
     ``curve`` holds ``precision`` and ``recall``; ``order`` numbers the points 0..n-1 by
     ascending recall. A point's corner comes from the point before it, so each point is
     sent under its own number and under the next one, and the two meet in a grouping: the curve is
-    computed once, and no window orders a whole group. Null is a group like any other.
+    computed once, and no window orders a whole group. Null is a group like any other. The points are dealt out
+    by number before the grouping; grouping first would hold them in a hash table and merge nothing.
     """
     group = list(group)
     position = F.col(order).cast("long")
@@ -164,8 +165,9 @@ def step_points(curve: DataFrame, group: Sequence[str] = ("model",), order: str
                    F.col("precision").alias("precision"))
     later = F.struct((position + 1).alias("at"), F.lit(None).cast("double").alias("mine"), F.col("recall").alias("before"),
                      F.lit(None).cast("double").alias("precision"))
-    met = (curve.select(*map(named_col, group), F.explode(F.array(own, later)).alias("p"))
-           .groupBy(*map(named_col, group), F.col("p.at").alias("at"))
+    sent = curve.select(*map(named_col, group), F.explode(F.array(own, later)).alias("p")).withColumn("at", F.col("p.at"))
+    met = (sent.repartition(*map(named_col, group), "at")
+           .groupBy(*map(named_col, group), "at")
            .agg(F.max("p.mine").alias("mine"), F.max("p.before").alias("before"), F.max("p.precision").alias("precision"))
            .where(F.col("mine").isNotNull()))
     corners = F.array(F.struct((2 * F.col("at") - 1).alias("idx"), F.col("before").alias("recall")),

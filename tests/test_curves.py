@@ -220,3 +220,8 @@ def test_no_join_and_no_hash_table_holds_a_whole_model(spark):
     joins = re.findall(r"Join \[([^\]]*)\]", plan)
     assert joins and all("__digit1" in keys for keys in joins)
     assert not re.search(r"HashAggregate\(keys=\[[^\]]*__digit2", plan)
+
+
+def test_points_of_a_step_curve_are_dealt_out_before_they_are_grouped(spark):
+    curve = spark.createDataFrame([("m", 0, 1.0, 0.0), ("m", 1, 0.5, 0.4)], "model string, point_idx long, precision double, recall double")
+    assert re.search(r"Exchange hashpartitioning\(model#\d+, at#\d+L?, \d+\), REPARTITION_BY_COL", planned(fl.step_points(curve)))
