@@ -45,6 +45,8 @@ BLOCK = 1 << 16
 # Bytes that a worker's remembered words take, and as many again its remembered pieces; what each entry takes besides its characters
 # and ids; and bytes of text that are encoded together.
 REMEMBERED, ENTRY, TOGETHER = 192 << 20, 130, 2 << 20
+# Pieces that are encoded as one text.
+JOINED = 20_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -224,20 +226,42 @@ class Encoder:
         code = "H" if self.kind.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[bytes]) -> None:
-        cut = {}
-        for word in new:
-            if word.isalpha():  # ASCII letters alone are one piece
-                cut[word] = [word.lower().decode()]
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the pre-tokenizer leaves whole: texts of many with a space between, cut by the piece of each id."""
+        out = []
+        for first in range(0, len(pieces), JOINED):
+            part = pieces[first:first + JOINED]
+            made = self.tokenizer.encode_batch([" ".join(part)], add_special_tokens=False)[0]
+            of = made.word_ids
+            if None in of or set(of) != set(range(len(part))):
+                out += self._encoded(part)
                 continue
+            data = np.array(made.ids, self.kind).tobytes()
+            ends = (np.searchsorted(of, np.arange(len(part) + 1)) * self.kind.itemsize).tolist()
+            out += [data[i:j] for i, j in zip(ends, ends[1:])]
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain = [word for word in new if word.isalpha()]  # ASCII letters alone are one piece
+        lower = b" ".join(plain).lower().decode().split(" ") if plain else []
+        cut, whole = {}, {}
+        for word in new.difference(plain):
             w = word.decode()
             # Latin-1 is in normal form already and lower-cased letter by letter.
-            plain = (w.isascii() or max(w) <= "\xff") and w.isprintable() and not self.marked(w)
-            cut[word] = LATIN_PIECES.findall(w.lower()) if plain else [w]
-        unknown = list(self.pieces.missing({p for pieces in cut.values() for p in pieces}))
-        self.pieces.add(dict(zip(unknown, self._encoded(unknown))))
+            if (w.isascii() or max(w) <= "\xff") and w.isprintable() and not self.marked(w):
+                cut[word] = LATIN_PIECES.findall(w.lower())
+            else:
+                whole[word] = w
+        pieces = set(lower).union(*cut.values())
+        unknown = self.pieces.missing(pieces.union(whole.values()))
+        single = list(unknown.intersection(pieces))
+        self.pieces.add(dict(zip(single, self._joined(single))))
+        single = list(unknown.difference(pieces))
+        self.pieces.add(dict(zip(single, self._encoded(single))))
         known = self.pieces.young.__getitem__
-        self.words.add({word: known(pieces[0]) if len(pieces) == 1 else b"".join(map(known, pieces)) for word, pieces in cut.items()})
+        self.words.add(dict(zip(plain, map(known, lower))))
+        self.words.add({word: known(p[0]) if len(p) == 1 else b"".join(map(known, p)) for word, p in cut.items()})
+        self.words.add({word: known(w) for word, w in whole.items()})
 
     def together(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text."""

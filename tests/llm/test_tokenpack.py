@@ -109,3 +109,10 @@ def test_query_equals_the_library_on_the_whole_table(spark, sf_dir):
         start += len(ids)
     out = tp.op2_token_ids(spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32")
     assert sorted(tuple(r) for r in out.collect()) == want
+
+
+def test_joined_pieces_are_those_encoded_alone():
+    encoder = tp.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = ["the", "'s", "'", "zq", "été", "7", "²", "--", "<", "('", "antidisestablishmentarianism", "ß"]
+    assert encoder._joined(pieces) == encoder._encoded(pieces)
+    assert encoder._joined([*pieces, "two words"]) == encoder._encoded([*pieces, "two words"])  # not whole: encoded alone
