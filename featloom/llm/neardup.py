@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checkpointed, unused
+from .shared import checkpointed, forget_encoders, unused
 from .textwords import mix, pieces, utf8, window_hashes, window_starts, word_hashes, word_spans
 
 SHINGLE = 5
@@ -117,6 +117,7 @@ def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.nda
 def _bands(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
     """``id``, ``digest`` of the text, the hash of each band (null for a text without words), 8 bits of each component, and ``n`` distinct shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in (part for whole in batches for part in pieces(whole, 2)):
             hashes, owners, weights = counted(*shingles(batch.column(2)))
             if not weighted:
@@ -150,6 +151,7 @@ def _sets(docs: DataFrame, ids: DataFrame, weighted: bool) -> DataFrame:
     parts = ["s", "w"] if weighted else ["s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in (part for whole in batches for part in pieces(whole, 1)):
             hashes, owners, weights = counted(*shingles(batch.column(1)))
             ends = np.searchsorted(owners, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -243,6 +245,7 @@ def _together(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _links(met: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """``a``, ``b``, ``similarity`` and joint ``class`` of the links of documents of side 0 to all with the same keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for group in _groups(batches, keys):
             found = Block(group).links(int((group.column("side").to_numpy() == 0).sum()), threshold)
             if found:
@@ -374,6 +377,7 @@ def _likely(buckets: DataFrame, signatures: DataFrame, size: int, threshold: flo
     least = size * (threshold - SLACK)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for group in _groups(batches, MEETING):
             band, first = group.column("band")[0].as_py(), int((group.column("side").to_numpy() == 0).sum())
             ids, of = (group.column(k).to_numpy() for k in ("id", "class"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.storage import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "new_folder", "rewritten", "unused"]
+__all__ = ["checkpointed", "forget_encoders", "new_folder", "rewritten", "unused"]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -23,6 +24,16 @@ def rewritten(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def forget_encoders() -> None:
+    """Lets go of the encoders that this Python worker keeps from earlier tasks, and of all that they remember.
+
+    Operators call it whose tasks need the memory and that may run in workers that have encoded texts.
+    """
+    kept = getattr(sys.modules.get("tokenizers"), "_encoders_by_path", None)
+    if kept:
+        kept.clear()
+
+
 def unused(name: str, df: DataFrame) -> str:
     """``name``, with underscores in front until no column of ``df`` bears it."""
     taken = {c.lower() for c in df.columns}

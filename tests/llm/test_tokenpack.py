@@ -116,3 +116,12 @@ def test_joined_pieces_are_those_encoded_alone():
     pieces = ["the", "'s", "'", "zq", "été", "7", "²", "--", "<", "('", "antidisestablishmentarianism", "ß"]
     assert encoder._joined(pieces) == encoder._encoded(pieces)
     assert encoder._joined([*pieces, "two words"]) == encoder._encoded([*pieces, "two words"])  # not whole: encoded alone
+
+
+def test_other_operators_let_go_of_kept_encoders():
+    from featloom.llm.shared import forget_encoders
+    path = public_tokenizers.path("word_bpe_49k.json")
+    kept = tp.worker_encoder(path)
+    assert tp.worker_encoder(path) is kept
+    forget_encoders()
+    assert tp.worker_encoder(path) is not kept
